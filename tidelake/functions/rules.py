@@ -1,54 +1,86 @@
-"""Contracts compiled into columns: one error text per record, empty for a valid one."""
+"""Contracts compiled into rules: one error text per record, empty for a valid one.
+
+The rules are data, not code: a record meets the rules of its table through a broadcast of the contracts,
+and one expression of fixed size checks them. An expression with a branch per table grows with the
+number of contracts until the JVM refuses to compile it.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelake.functions.contracts import Contract
 from tidelake.functions.types import spark_type
 
 POLICIES = ("pass", "fail")
 
+# Types whose text is checked by a cast; every text is a good string.
+_CHECKED_TYPES = ("int", "bigint", "float", "double", "boolean")
+
+# A rule takes well below 200 bytes, so this many stay below 10 MB when broadcast.
+_MAX_BROADCAST_RULES = 50_000
+
+RULES = "_rules"
+_RULES_TYPE = "array<struct<name:string,kind:string,required:boolean,is_key:boolean>>"
+
+
+def _rules(contract: Contract) -> list[dict]:
+    not_null = contract.not_null
+    known = {f.name for f in contract.fields}
+    rules = [
+        {
+            "name": f.name,
+            "kind": spark_type(f.type).simpleString(),
+            "required": f.name in not_null or f.primary_key,
+            "is_key": f.primary_key,
+        }
+        for f in contract.fields
+    ]
+    extra = [name for name in not_null if name not in known]
+    return rules + [{"name": n, "kind": "string", "required": True, "is_key": False} for n in extra]
 
-def _missing(name: str, image: Column) -> Column:
-    return F.when(image[name].isNull(), F.lit(f"{name}: required"))
 
+def rules_frame(spark: SparkSession, contracts: Mapping[str, Contract]) -> DataFrame:
+    """The rules of all contracts, one row per table. They travel in the plan as one JSON literal."""
+    tables = [{"_table": table, RULES: _rules(contract)} for table, contract in sorted(contracts.items())]
+    schema = f"array<struct<_table:string,{RULES}:{_RULES_TYPE}>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(tables)), schema)))
 
-def _mistyped(name: str, contract_type: str, image: Column) -> Column | None:
-    target = spark_type(contract_type)
-    if isinstance(target, T.StringType):
-        return None
-    text = image[name]
-    return F.when(text.isNotNull() & text.try_cast(target).isNull(), F.lit(f"{name}: type"))
 
+def with_rules(df: DataFrame, contracts: Mapping[str, Contract]) -> DataFrame:
+    """Adds `_rules`, the rules of the record's `_table`; null where there is no contract."""
+    if not contracts:
+        return df.withColumn(RULES, F.lit(None).cast(_RULES_TYPE))
+    rules = rules_frame(df.sparkSession, contracts)
+    if sum(len(_rules(c)) for c in contracts.values()) <= _MAX_BROADCAST_RULES:
+        rules = F.broadcast(rules)
+    return df.join(rules, "_table", "left")
 
-def row_errors(contract: Contract, image: Column, op: Column) -> Column:
+
+def row_errors(rules: Column, image: Column, op: Column) -> Column:
     """Broken rules of a row image (a map of texts), joined by `; `. A delete only needs its key."""
-    not_null = set(contract.not_null)
-    full, key_only = [], []
-    for field in contract.fields:
-        mistyped = _mistyped(field.name, field.type, image)
-        checks = [_missing(field.name, image)] if field.name in not_null or field.primary_key else []
-        checks += [mistyped] if mistyped is not None else []
-        full += checks
-        if field.primary_key:
-            key_only += checks
-    known = {f.name for f in contract.fields}
-    full += [_missing(name, image) for name in contract.not_null if name not in known]
 
-    def joined(checks: list[Column]) -> Column:
-        return F.concat_ws("; ", *checks) if checks else F.lit("")
+    def broken(rule: Column) -> Column:
+        text = image[rule["name"]]
+        mistyped = F.lit(False)
+        for kind in _CHECKED_TYPES:
+            mistyped = F.when(rule["kind"] == kind, text.try_cast(kind).isNull()).otherwise(mistyped)
+        return (
+            F.when((op == "d") & ~rule["is_key"], F.lit(None).cast("string"))
+            .when(text.isNull(), F.when(rule["required"], F.concat(rule["name"], F.lit(": required"))))
+            .when(mistyped, F.concat(rule["name"], F.lit(": type")))
+        )
 
-    return F.when(op == "d", joined(key_only)).otherwise(joined(full))
+    return F.array_join(F.transform(rules, broken), "; ")
 
 
 def error_column(
-    contracts: Mapping[str, Contract],
     table: Column,
+    rules: Column,
     image: Column,
     op: Column,
     defect: Column,
@@ -59,7 +91,9 @@ def error_column(
     if on_missing_contract not in POLICIES:
         raise ValueError(f"on_missing_contract must be one of {POLICIES}")
     unknown = F.lit("") if on_missing_contract == "pass" else F.concat(F.lit("contract not found: "), table)
-    verdict = F.when(tombstone, F.lit(""))
-    for name, contract in sorted(contracts.items()):
-        verdict = verdict.when(table == name, F.coalesce(defect, row_errors(contract, image, op)))
-    return verdict.otherwise(unknown)
+    return (
+        F.when(tombstone, F.lit(""))
+        .when(rules.isNull(), unknown)
+        .when(defect.isNotNull(), defect)
+        .otherwise(row_errors(rules, image, op))
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions.contracts import Contract
 from tidelake.functions.envelope import MAP_IMAGE, event_time, is_tombstone, parse_records, table_of
-from tidelake.functions.rules import error_column
+from tidelake.functions.rules import RULES, error_column, with_rules
 
 VALID_COLUMNS = (
     "_raw_value",
@@ -51,12 +51,16 @@ def to_bronze(
     changes: DataFrame,
     contracts: Mapping[str, Contract],
     on_missing_contract: str = "pass",
-    ingested_at: Column | None = None,
+    ingested_at: Column | str | None = None,
 ) -> DataFrame:
     """One bronze row per change record, with `_table` and `_validation_error` ('' = valid).
 
-    A row-local projection: no shuffle, one JSON parse per record, whatever the number of tables.
+    `ingested_at` is a column or a fixed time; the default is the time of the query.
+
+    No shuffle and one JSON parse per record, whatever the number of tables.
     """
+    if isinstance(ingested_at, str):
+        ingested_at = F.lit(ingested_at)
     stamp = F.current_timestamp() if ingested_at is None else ingested_at.cast("timestamp")
     rows = read_changes(changes).select(
         "_raw_value",
@@ -66,10 +70,10 @@ def to_bronze(
         stamp.alias("_ingested_at"),
         table_of("_source_topic").alias("_table"),
     )
-    parsed = parse_records(rows, "_raw_value", MAP_IMAGE if contracts else None)
+    parsed = parse_records(with_rules(rows, contracts), "_raw_value", MAP_IMAGE)
     verdict = error_column(
-        contracts,
         F.col("_table"),
+        F.col(RULES),
         F.col("_image"),
         F.col("_op"),
         F.col("_defect"),
