@@ -99,6 +99,13 @@ def _silver(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return silver.merge_frames(_empty_silver(spark, changes), changes, fx.CONTRACTS[table].keys)
 
 
+def _stored(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
+    """A frame several results are computed from, written once to the scratch folder."""
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _naive(column: str) -> Column:
     return F.col(column).cast("timestamp_ntz").alias(column.lstrip("_"))
 
@@ -648,7 +655,7 @@ UNION ALL SELECT 'gold', 'orders_summary', count(DISTINCT (CAST(changed_at AS DA
 UNION ALL SELECT 'gold', 'customers_orders', count(*) FROM customer""",
 )
 def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = {table: _silver(spark, sf_dir, table) for table in fx.CONTRACTS}
+    stored = {t: _stored(spark, _silver(spark, sf_dir, t), f"silver-{t}") for t in fx.CONTRACTS}
     models = {
         "orders_summary": gold.orders_summary(stored["orders"]),
         "customers_orders": gold.customers_orders(stored["customers"], stored["orders"]),

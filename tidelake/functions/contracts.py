@@ -150,9 +150,8 @@ def to_text(contract: Contract) -> str:
 def load_contracts(spark: SparkSession, folder: str) -> dict[str, Contract]:
     """All contracts of a folder on any file system Spark reads; the file stem names the table."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.{yaml,yml,json}")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.{yaml,yml,json}")
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), "value")
     )
     contracts = {}

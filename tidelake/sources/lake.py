@@ -23,6 +23,7 @@ BRONZE_TYPES = {
     "_partition": T.IntegerType(),
     "_offset": T.LongType(),
 }
+_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 _STATUS_COLUMNS = {"valid": VALID_COLUMNS, "invalid": INVALID_COLUMNS}
 
 
@@ -151,15 +152,23 @@ class BronzeTables:
         for row in spark.sql(f"SHOW PARTITIONS {name} PARTITION (_batch_id={batch_id})").collect():
             spec = ", ".join("{}='{}'".format(*p.split("=", 1)) for p in row[0].split("/"))
             spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
-        part.withColumn("_ingest_date", F.to_date("_ingested_at")).withColumn(
+        rows = part.withColumn("_ingest_date", F.to_date("_ingested_at")).withColumn(
             "_batch_id", F.lit(batch_id).cast("bigint")
-        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+        )
+        # insertInto only knows the session's overwrite mode; in the default one it would empty the table
+        mode = spark.conf.get(_OVERWRITE_MODE)
+        spark.conf.set(_OVERWRITE_MODE, "dynamic")
+        try:
+            rows.write.mode("overwrite").insertInto(name)
+        finally:
+            spark.conf.set(_OVERWRITE_MODE, mode)
 
     def read(self, spark: SparkSession, table: str, status: str = "valid", day: str | None = None) -> DataFrame:
         name = f"{self.database}.{check_table_name(table)}_{status}"
         columns = list(_STATUS_COLUMNS[status])
         if not spark.catalog.tableExists(name):
             return spark.createDataFrame([], T.StructType([T.StructField(c, BRONZE_TYPES[c]) for c in columns]))
+        spark.catalog.refreshTable(name)  # the stream writes in a session of its own
         frame = spark.table(name)
         if day is not None:
             if "_ingest_date" in frame.columns:
