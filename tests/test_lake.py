@@ -131,15 +131,20 @@ def test_schema_change_is_refused(spark):
         lake.write_version(spark, spark.range(1).withColumn("more", F.lit(1)), name)
 
 
-def test_bucketed_version_is_joined_without_a_shuffle_of_it(spark):
+def test_bucketed_version_is_joined_without_a_shuffle_of_it(spark, tmp_path):
     from tidelake.operators.silver import merge_frames
 
     name = "bucketed.items"
     schema = lake.silver_schema(ITEMS)
     stored = spark.createDataFrame([(i, f"n{i}", 1.0, True, "c", None, None) for i in range(50)], schema)
     lake.publish_version(spark, name, lake.write_version(spark, stored, name, ["id"], buckets=4))
-    merged = merge_frames(spark.table(name), stored.limit(3), ["id"])
+    path = str(tmp_path / "batch")
+    stored.filter("id < 30").write.parquet(path)
+    merged = merge_frames(spark.table(name), spark.read.parquet(path), ["id"])
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
     left = plan[plan.index("FullOuter") : plan.index("FileScan")]
     assert "Exchange" not in left
+    version = lake.write_version(spark, merged, name, ["id"], buckets=4, aligned=True)
+    written = lake.read_version(spark, name, version)
+    assert written.count() == 50 and len(written.inputFiles()) <= 4  # one file per bucket, without another shuffle

@@ -19,7 +19,7 @@ from tidelake.functions.types import spark_type
 POLICIES = ("pass", "fail")
 
 # Types whose text is checked by a cast; every text is a good string.
-_CHECKED_TYPES = ("int", "bigint", "float", "double", "boolean")
+_CHECKED_TYPES = ("bigint", "int", "double", "float", "boolean")
 
 # A rule takes well below 200 bytes, so this many stay below 10 MB when broadcast.
 _MAX_BROADCAST_RULES = 50_000
@@ -66,9 +66,9 @@ def row_errors(rules: Column, image: Column, op: Column) -> Column:
 
     def broken(rule: Column) -> Column:
         text = image[rule["name"]]
-        mistyped = F.lit(False)
+        mistyped = F.when(rule["kind"] == "string", F.lit(False))
         for kind in _CHECKED_TYPES:
-            mistyped = F.when(rule["kind"] == kind, text.try_cast(kind).isNull()).otherwise(mistyped)
+            mistyped = mistyped.when(rule["kind"] == kind, text.try_cast(kind).isNull())
         return (
             F.when((op == "d") & ~rule["is_key"], F.lit(None).cast("string"))
             .when(text.isNull(), F.when(rule["required"], F.concat(rule["name"], F.lit(": required"))))

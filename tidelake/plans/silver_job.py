@@ -100,7 +100,8 @@ def merge_day(
         create_silver(spark, name, contract, options.timestamps, options.buckets)
         merge = merge_small_batch if _broadcastable(spark, staged) else merge_frames
         merged = merge(spark.table(name), staged, keys, options.guard, options.tombstones)
-        publish_version(spark, name, write_version(spark, merged, name, keys, options.buckets))
+        version = write_version(spark, merged, name, keys, options.buckets, aligned=True)
+        publish_version(spark, name, version)
     rows = spark.table(name).count() if options.count else None
     return Outcome(contract.table, "merged", time.monotonic() - start, rows)
 

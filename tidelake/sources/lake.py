@@ -197,22 +197,24 @@ def write_version(
     name: str,
     keys: Sequence[str] = (),
     buckets: int | None = None,
+    aligned: bool = False,
 ) -> int:
     """Write a frame as the next, not yet visible version of a table; fails if the columns change.
 
-    With `buckets` the version is bucketed and sorted by its keys, so the next merge on these keys
-    reads it without shuffling it.
+    With `buckets` the version is bucketed by its keys, so the next merge on these keys reads it without
+    shuffling it. `aligned` says that the rows already lie in tasks by bucket, as they do after a merge
+    into a bucketed table; otherwise they are shuffled once, so that each bucket becomes one file.
     """
     database, table = split_name(name)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     if spark.catalog.tableExists(name) and _columns(spark.table(name).schema) != _columns(df.schema):
         raise SchemaChanged(f"{name}: columns differ from the published table")
     version = max(_versions(spark, database, table), default=0) + 1
-    writer = df.write.format("parquet")
     if buckets and keys:
-        # one task per bucket, so that each bucket is one file
-        writer = df.repartition(buckets, *keys).write.format("parquet")
-        writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+        rows = df if aligned else df.repartition(buckets, *keys)
+        writer = rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    else:
+        writer = df.write.format("parquet")
     writer.saveAsTable(f"{database}.{table}__v{version}")
     return version
 
