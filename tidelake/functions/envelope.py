@@ -40,7 +40,7 @@ def is_tombstone(value: Column) -> Column:
     return value.isNull() | (F.trim(value) == "")
 
 
-def envelope_schema(image: T.DataType | None) -> T.StructType:
+def envelope_schema(image: T.DataType | None) -> T.ArrayType:
     """What is read of a record; `image` is the type of before/after, None where rows are not needed."""
     body = [
         T.StructField("op", T.StringType()),
@@ -49,45 +49,57 @@ def envelope_schema(image: T.DataType | None) -> T.StructType:
     ]
     if image is not None:
         body += [T.StructField("before", image), T.StructField("after", image)]
-    return T.StructType(
-        [T.StructField("payload", T.StructType(body)), *body, T.StructField("_corrupt_record", T.StringType())]
-    )
+    end = T.StructField("_end", T.StringType())
+    return T.ArrayType(T.StructType([T.StructField("payload", T.StructType(body)), *body, end]))
 
 
-def parse_records(df: DataFrame, value: str, image: T.DataType | None = MAP_IMAGE) -> DataFrame:
-    """Adds `_op`, `_ts_ms`, `_lsn` (text), `_image` and `_defect` to every row of `df`.
+def parse_records(
+    df: DataFrame, value: str, image: T.DataType | None = MAP_IMAGE, check: bool = True
+) -> DataFrame:
+    """Adds `_op`, `_ts_ms`, `_lsn` (text), `_image` and, with `check`, `_defect` to every row of `df`.
 
-    The image is `before` for deletes and `after` otherwise. `_defect` is null for a usable record.
+    The image is `before` for deletes and `after` otherwise. `_defect` is null for a usable record; for
+    it, the text is read as the first of two array elements, the second being a mark: the JSON reader
+    stops after the first value, so on the bare text it would miss whatever follows the record.
 
-    The JSON is parsed once per record. The parsed struct goes through a one-element explode because
-    a filter on a plain projection is pushed below it, which parses the text again for the filter.
+    The JSON is parsed once per record. The parsed value goes through a one-element explode because a
+    filter on a plain projection is pushed below it, which parses the text again for the filter.
     """
     raw = F.col(value)
-    parsed = F.from_json(raw, envelope_schema(image), {"columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = df.select("*", F.explode(F.array(parsed)).alias("_envelope"))
-
-    def part(name: str) -> Column:
-        return F.coalesce(F.col(f"_envelope.payload.{name}"), F.col(f"_envelope.{name}"))
+    schema = envelope_schema(image)
+    if check:
+        parsed = F.from_json(F.concat(F.lit("["), raw, F.lit(',{"_end":"1"}]')), schema)
+        envelope, mark = F.get("_parsed", F.lit(0)), F.get("_parsed", F.lit(1))
+    else:
+        parsed = F.from_json(raw, schema.elementType)
+        envelope = F.col("_parsed")
+    rows = df.select("*", F.explode(F.array(parsed)).alias("_parsed"))
+
+    def part(*path: str) -> Column:
+        wrapped, bare = envelope["payload"], envelope
+        for name in path:
+            wrapped, bare = wrapped[name], bare[name]
+        return F.coalesce(wrapped, bare)
 
     op = F.lower(F.coalesce(part("op"), F.lit("r")))
     images = F.lit(None) if image is None else F.when(op == "d", part("before")).otherwise(part("after"))
-    # A record that parsed but goes on after its closing brace is as broken as one that did not parse.
-    cut_short = F.col("_envelope").isNotNull() & ~F.rtrim(raw).endswith("}")
-    defect = F.when(
-        F.col("_envelope._corrupt_record").isNotNull() | cut_short,
-        F.when(F.try_parse_json(raw).isNull(), F.lit("malformed json"))
-        .when(~F.ltrim(raw).startswith("{"), F.lit("not an object"))
-        .when(cut_short, F.lit("malformed json"))
-        .otherwise(F.lit("malformed envelope")),
-    )
-    return rows.select(
+    columns = [
         *[F.col(c) for c in df.columns],
         op.alias("_op"),
         part("ts_ms").alias("_ts_ms"),
-        part("source.lsn").alias("_lsn"),
+        part("source", "lsn").alias("_lsn"),
         images.alias("_image"),
-        defect.alias("_defect"),
-    )
+    ]
+    if check:
+        whole = (F.size("_parsed") == 2) & envelope.isNotNull() & (mark["_end"] == "1")
+        defect = F.when(
+            ~F.coalesce(whole, F.lit(False)),
+            F.when(F.try_parse_json(raw).isNull(), F.lit("malformed json"))
+            .when(~F.ltrim(raw).startswith("{"), F.lit("not an object"))
+            .otherwise(F.lit("malformed json")),
+        )
+        columns.append(defect.alias("_defect"))
+    return rows.select(*columns)
 
 
 def change_record(

@@ -29,7 +29,7 @@ def parse_envelope(bronze: DataFrame, contract: Contract, timestamps: str = "lon
     if timestamps not in TIMESTAMP_MODES:
         raise ValueError(f"timestamps must be one of {TIMESTAMP_MODES}")
     keys = contract.require_keys()
-    parsed = parse_records(bronze, "_raw_value", contract.text_struct())
+    parsed = parse_records(bronze, "_raw_value", contract.text_struct(), check=False)
     fields = []
     for field in contract.to_struct().fields:
         column = F.col("_image")[field.name].try_cast(field.dataType)
