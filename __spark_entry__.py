@@ -875,6 +875,30 @@ def stream_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- driver contract
 
 
+def _add_optional() -> None:
+    """Add the training-data queries where their modules exist; the rest works without them."""
+    try:
+        from tidelake.llm import queries as llm
+    except ModuleNotFoundError as error:
+        if not (error.name or "").startswith("tidelake.llm"):
+            raise
+        return
+    _QUERIES.update(llm.QUERIES)
+    _ORACLE.update(llm.ORACLE_SQL)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as error:
+        if error.name != "corpus_pipeline":
+            raise
+        return
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+_add_optional()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: order changes through bronze and silver into the daily summary."""
     return _QUERIES["gold_orders_summary"](spark, "/root/testdata/sf0.001")
