@@ -51,8 +51,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most `max_rows` labelled rows that are not held out, chosen by a hash of the id.
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, *metadata: str) -> DataFrame:
+    """(doc_id, text, metadata, label) of at most `max_rows` labelled rows that are not held out, chosen by a hash of the id.
 
     The bound makes the chosen labels safe to broadcast. Null labels and ids take no part; of an id with several
     labels the largest counts.
@@ -65,7 +65,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return documents.select("doc_id", "text", *metadata).join(F.broadcast(chosen), "doc_id")
 
 
 # ---------------------------------------------------------------- texts as bytes

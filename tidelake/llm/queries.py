@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelake.llm import licenses, url_filter
-from tidelake.llm._common import table
+from tidelake.llm import licenses, quality, toxicity, url_filter
+from tidelake.llm._common import held_out, table
 
 # The rules that judge pages.
 URL_RULES = [
@@ -27,12 +28,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, models)
 
 
+def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.fit(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(documents, machine, "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(documents, model, "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op6_quality_machine": op6_quality_machine,
+    "op7_toxicity": op7_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
