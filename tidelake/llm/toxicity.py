@@ -1,12 +1,12 @@
-"""Toxicity of texts whose words may be disguised: noisy-channel restoration, then a decision list over restored words.
+"""Toxicity of texts whose words may be disguised: noisy-channel restoration, then a score of the restored words.
 
 A disguised word (digits and signs for letters, letters pulled apart, letters repeated) is read as a lattice: at each
 character the channel may have replaced, repeated or inserted something, at a cost. Viterbi decoding under a character
 language model of the whole corpus picks the word. Words of letters only have a single path and stay as they are.
 
-The score comes from a decision list over restored words and their openings, learned from labelled rows by sequential
-covering: the most reliable feature becomes a rule, what it covers is set aside, and the rest is counted anew, so that
-words which merely go along with toxic ones earn no rule.
+The score comes from restored words and their openings. Sequential covering of labelled rows chooses them: the most
+reliable feature is taken, what it covers is set aside, and the rest is counted anew, so that words which merely go along
+with toxic ones are left out. A logistic regression weighs how often and how densely the chosen ones are met.
 """
 
 from __future__ import annotations
@@ -25,14 +25,15 @@ from pyspark.sql.types import DoubleType
 
 from tidelake.llm._common import slices, training_rows, widened
 
-#: Labelled rows that the decision list is learned from, at most.
+#: Labelled rows that the score is learned from, at most.
 MAX_ROWS = 8_000
 #: Features are hashed into this many cells.
 CELLS = 1 << 22
-#: A rule's reliability is its share of toxic rows, with this many clean ones added; below the least it is no rule.
+#: A feature's reliability is its share of toxic rows, with this many clean ones added; below the least it isn't chosen.
 DOUBT, LEAST = 2.0, 0.6
-#: A rule may ask that its feature is met up to this often.
-LEVELS = 3
+PENALTY = 0.05
+#: A feature counts up to this often, and up to this many times in a hundred words.
+LEVELS = 4
 #: Decoded words a Python worker keeps; more are decoded again.
 KEPT_WORDS = 300_000
 
@@ -159,7 +160,7 @@ def restore(text: str | None, logp: np.ndarray) -> str:
     return " ".join(w for t in text.split() if (w := restore_token(t, logp)))
 
 
-# ---------------------------------------------------------------- decision list
+# ---------------------------------------------------------------- scoring
 
 
 def _features(word: str) -> list[tuple[int, int]]:
@@ -171,104 +172,138 @@ def _features(word: str) -> list[tuple[int, int]]:
 @dataclass(frozen=True)
 class ToxicModel:
     logp: np.ndarray
-    rules: dict[tuple[int, int], float]  # reliability by cell and how often it must be met
-    rest: float  # share of toxic rows that no rule covers
+    weights: dict[int, tuple[float, float]]  # by cell: for how often it is met, for how dense that is
+    bias: float
 
 
-class _Rules(dict):
-    """The cells with rules that a token's restored words have, by token; filled as tokens come up."""
+class _Cells(dict):
+    """The cells with weights that a token's restored words have, by token; filled as tokens come up."""
 
     def __init__(self, model: ToxicModel) -> None:
         super().__init__()
         self.model = model
-        self.cells = {cell for cell, _ in model.rules}
 
     def __missing__(self, token: str) -> list[int]:
-        found = [c for w in restore_token(token, self.model.logp).split() for c, _ in _features(w) if c in self.cells]
+        found = [c for w in restore_token(token, self.model.logp).split() for c, _ in _features(w) if c in self.model.weights]
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[token] = found
         return found
 
 
-def score_text(text: str | None, model: ToxicModel, rules: _Rules | None = None) -> float:
-    """1 less the chance that every rule the restored text meets is wrong; without a rule the share left over."""
-    rules = _Rules(model) if rules is None else rules
+def _strengths(n: float | np.ndarray, n_words: int | np.ndarray) -> tuple:
+    """How often and how densely a cell is met, both 0 to 1."""
+    return np.minimum(n, LEVELS) / LEVELS, np.minimum(100 * n / n_words, LEVELS) / LEVELS
+
+
+def score_text(text: str | None, model: ToxicModel, cells: _Cells | None = None) -> float:
+    """The logistic function of the weights of what the restored text meets; for a text that meets nothing, of the bias."""
+    cells = _Cells(model) if cells is None else cells
     text = (text or "").lower()
     tokens = Counter(text.split())
     for apart in _APART.finditer(text):
         tokens.update(decode(apart[0], model.logp).split())
     met: Counter[int] = Counter()
     for token, n in tokens.items():
-        for cell in rules[token]:
+        for cell in cells[token]:
             met[cell] += n
-    wrong = 1.0 - model.rest
+    z, n_words = model.bias, max(1, tokens.total())
     for cell in sorted(met):
-        wrong *= 1.0 - max((model.rules.get((cell, least), 0.0) for least in range(1, min(LEVELS, met[cell]) + 1)))
-    return 1.0 - wrong
+        often, dense = _strengths(met[cell], n_words)
+        z += model.weights[cell][0] * often + model.weights[cell][1] * dense
+    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def _feature_rows(logp: np.ndarray):
+    """Of each labelled text its number of words and, once for each time up to LEVELS that it is met, each feature."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met = []
+            met, n_words = [], []
             for text in batch.column("text").to_pylist():
                 times: Counter[tuple[int, int]] = Counter()
-                for word, n in Counter(restore(text, logp).split()).items():
+                tokens = Counter(restore(text, logp).split())
+                for word, n in tokens.items():
                     for feature in _features(word):
                         times[feature] += n
-                met.append([cell * 32 + rank * 4 + least for (cell, rank), n in times.items() for least in range(1, min(LEVELS, n) + 1)])
-            yield pa.record_batch({"label": batch.column("label").cast(pa.int32()), "met": pa.array(met, pa.list_(pa.int32()))})
+                met.append([cell * 32 + rank * 4 + least for (cell, rank), n in times.items() for least in range(min(LEVELS, n))])
+                n_words.append(max(1, tokens.total()))
+            yield pa.record_batch({"label": batch.column("label").cast(pa.int32()), "n_words": pa.array(n_words, pa.int64()), "met": pa.array(met, pa.list_(pa.int32()))})
 
     return rows
 
 
-def learn_rules(labels: np.ndarray, met: list[np.ndarray]) -> tuple[dict[tuple[int, int], float], float]:
-    """Rules (reliability by cell and times) and the share of toxic rows they leave.
+def choose_cells(labels: np.ndarray, met: list[np.ndarray]) -> list[int]:
+    """The cells that tell toxic rows, by sequential covering.
 
-    The next rule is always the most reliable one over the rows not yet covered; of equals, the most specific.
+    The next feature is always the most reliable one over the rows not yet covered, with its reliability over all rows as
+    what is known beforehand; of equals, the most specific. So a feature that merely goes along with others is left out.
     """
     toxic = labels == 1
     if not toxic.any():
-        return {}, 0.0
+        return []
     names, n = np.unique(np.concatenate([m for m, t in zip(met, toxic, strict=True) if t]), return_counts=True)
-    names = names[n / (n + DOUBT) >= LEAST]  # others can't become rules
-    row = np.concatenate([np.full(np.isin(m, names).sum(), i) for i, m in enumerate(met)])
-    column = np.concatenate([np.searchsorted(names, m[np.isin(m, names)]) for m in met])
-    open_rows, rules = np.ones(len(labels), bool), {}
-    while len(names) and (toxic & open_rows).any():
-        live = open_rows[row]
-        yes = np.bincount(column[live & toxic[row]], minlength=len(names))
-        no = np.bincount(column[live & ~toxic[row]], minlength=len(names))
-        sure = yes / (yes + no + DOUBT)
-        best = int(np.lexsort((names, names & 31, -sure))[0])
+    names = names[n / (n + DOUBT) >= LEAST]  # others can't be chosen
+    known = [m[np.isin(m, names)] for m in met]
+    row = np.repeat(np.arange(len(known)), [len(m) for m in known])
+    column = np.searchsorted(names, np.concatenate(known))
+    count = lambda rows: np.bincount(column[rows[row]], minlength=len(names))
+    yes, no = count(toxic), count(~toxic)
+    before = (yes / (yes + no + DOUBT)) ** 2
+    open_rows, chosen = np.ones(len(labels), bool), []
+    while len(names):
+        yes, no = count(open_rows & toxic), count(open_rows & ~toxic)
+        sure = np.where(yes > 0, (yes + 2 * DOUBT * before) / (yes + no + 2 * DOUBT), 0)
+        best = int(np.lexsort((names, names & 31, -sure.round(6)))[0])
         if sure[best] < LEAST:
             break
-        rules[int(names[best] >> 5), int(names[best] & 3)] = float(sure[best])
+        chosen.append(int(names[best] >> 5))
         open_rows[row[column == best]] = False
-    return rules, float((toxic & open_rows).sum() / (open_rows.sum() + 1))
+    return sorted(set(chosen))
+
+
+def learn(labels: np.ndarray, n_words: np.ndarray, met: list[np.ndarray]) -> tuple[dict[int, tuple[float, float]], float]:
+    """Weights by cell and the bias: logistic regression with a small penalty over the chosen cells, by Newton's steps."""
+    cells = np.array(choose_cells(labels, met), np.int64)
+    y = (labels == 1).astype(float)
+    often = np.zeros((len(y), len(cells)))
+    for i, m in enumerate(met):
+        found, n = np.unique(m >> 5, return_counts=True)
+        at = np.isin(found, cells)
+        often[i, np.searchsorted(cells, found[at])] = n[at]
+    x = np.hstack([np.ones((len(y), 1)), *(_strengths(often, n_words[:, None]) if len(y) else (often, often))])
+    w = np.zeros(x.shape[1])
+    penalty = np.full(len(w), PENALTY)
+    penalty[0] = 1e-6
+    w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    for _ in range(25 if len(cells) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + penalty * w
+        w -= np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), slope)
+    n = len(cells)
+    return {int(c): (float(a), float(b)) for c, a, b in zip(cells, w[1 : n + 1], w[n + 1 :], strict=True)}, float(w[0])
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicModel:
-    """Language model of all texts; decision list of at most `max_rows` labelled rows that are not held out."""
+    """Language model of all texts; weights from at most `max_rows` labelled rows that are not held out."""
     logp = language_model(documents)
     sample = training_rows(documents, labels, "toxic", max_rows).select("text", "label")
-    rows = sample.mapInArrow(_feature_rows(logp), "label int, met array<int>").toArrow()
-    rules, rest = learn_rules(np.asarray(rows["label"]), [np.asarray(m.values) for m in rows["met"]])
-    return ToxicModel(logp, rules, rest)
+    rows = sample.mapInArrow(_feature_rows(logp), "label int, n_words long, met array<int>").toArrow()
+    weights, bias = learn(np.asarray(rows["label"]), np.asarray(rows["n_words"]), [np.asarray(m.values) for m in rows["met"]])
+    return ToxicModel(logp, weights, bias)
 
 
 def score_documents(documents: DataFrame, model: ToxicModel, into: str = "toxic_score") -> DataFrame:
     """The frame with the score (0 to 1) of its `text` as a further column, called `into`, whatever other columns there are.
 
-    Null and empty texts get the share of toxic rows without a rule. Repeated rows are scored alike, each on its own.
+    Null and empty texts get the score of a text that meets nothing. Repeated rows are scored alike, each on its own.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = _Rules(model)
+        cells = _Cells(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            scores = pa.array([score_text(t.as_py(), model, rules) for t in texts], pa.float64())
+            scores = pa.array([score_text(t.as_py(), model, cells) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, into])
 
     return documents.mapInArrow(score, widened(documents, **{into: DoubleType()}))
@@ -278,9 +313,9 @@ def keep_clean(documents: DataFrame, model: ToxicModel, threshold: float = 0.3)
     """The rows whose score is below the threshold, with all their columns."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = _Rules(model)
+        cells = _Cells(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([score_text(t.as_py(), model, rules) < threshold for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([score_text(t.as_py(), model, cells) < threshold for t in texts], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
