@@ -32,6 +32,8 @@ CELLS = 1 << 22
 #: A feature's reliability is its share of toxic rows, with this many clean ones added; below the least it isn't chosen.
 DOUBT, LEAST = 2.0, 0.6
 PENALTY = 0.05
+#: Features with this reliability that at least this share of toxic rows has are taken even if others cover them.
+RELIABLE, COMMON = 0.8, 0.03
 #: A feature counts up to this often, and up to this many times in a hundred words.
 LEVELS = 4
 #: Decoded words a Python worker keeps; more are decoded again.
@@ -237,7 +239,8 @@ def choose_cells(labels: np.ndarray, met: list[np.ndarray]) -> list[int]:
     """The cells that tell toxic rows, by sequential covering.
 
     The next feature is always the most reliable one over the rows not yet covered, with its reliability over all rows as
-    what is known beforehand; of equals, the most specific. So a feature that merely goes along with others is left out.
+    what is known beforehand; of equals, the most specific. So a feature that merely goes along with others is left out. Words
+    and openings of five letters or more that are reliable over all rows, and common in toxic ones, are in any case taken.
     """
     toxic = labels == 1
     if not toxic.any():
@@ -249,17 +252,18 @@ def choose_cells(labels: np.ndarray, met: list[np.ndarray]) -> list[int]:
     column = np.searchsorted(names, np.concatenate(known))
     count = lambda rows: np.bincount(column[rows[row]], minlength=len(names))
     yes, no = count(toxic), count(~toxic)
-    before = (yes / (yes + no + DOUBT)) ** 2
-    open_rows, chosen = np.ones(len(labels), bool), []
+    reliable = yes / (yes + no + DOUBT)
+    before = reliable**2
+    open_rows, chosen = np.ones(len(labels), bool), list(names[(yes >= COMMON * toxic.sum()) & (reliable >= RELIABLE) & ((names & 31) < 20)] >> 5)
     while len(names):
         yes, no = count(open_rows & toxic), count(open_rows & ~toxic)
         sure = np.where(yes > 0, (yes + 2 * DOUBT * before) / (yes + no + 2 * DOUBT), 0)
         best = int(np.lexsort((names, names & 31, -sure.round(6)))[0])
         if sure[best] < LEAST:
             break
-        chosen.append(int(names[best] >> 5))
+        chosen.append(names[best] >> 5)
         open_rows[row[column == best]] = False
-    return sorted(set(chosen))
+    return sorted({int(c) for c in chosen})
 
 
 def learn(labels: np.ndarray, n_words: np.ndarray, met: list[np.ndarray]) -> tuple[dict[int, tuple[float, float]], float]:
@@ -276,10 +280,15 @@ def learn(labels: np.ndarray, n_words: np.ndarray, met: list[np.ndarray]) -> tup
     penalty = np.full(len(w), PENALTY)
     penalty[0] = 1e-6
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(25 if len(cells) else 0):
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (penalty * w**2).sum() / 2
+    for _ in range(30 if len(cells) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + penalty * w
-        w -= np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), slope)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), slope)
+        size = next((h for h in 0.5 ** np.arange(20) if loss(w - h * step) < loss(w)), 0.0)
+        w -= size * step
+        if size * np.abs(step).max() < 1e-6:
+            break
     n = len(cells)
     return {int(c): (float(a), float(b)) for c, a, b in zip(cells, w[1 : n + 1], w[n + 1 :], strict=True)}, float(w[0])
 
