@@ -49,8 +49,10 @@ MASKS = "*#"
 VOWELS = "aeiou"
 #: Costs of the channel, in nats: a replaced letter, a masked one, a repetition, a dropped sign, a sign read as a gap.
 REPLACED, MASKED, REPEATED, DROPPED, PARTED = 0.5, 2.0, 0.5, 1.5, 3.0
+#: Longer pieces than this need more letters than other characters to be read as words, shorter ones half as many.
+LEAST_HALF = 15
 #: Readings that are kept at each step of the decoding.
-BEAM = 64
+BEAM = 24
 
 #: Symbols of the language model: 0 for what parts words, 1 to 26 for letters, 27 to 31 for others by their last byte.
 SYMBOLS = 32
@@ -63,6 +65,8 @@ for _i in range(0x80, 0xC0):
 _TRAILING = ".,;:?\"')]}%&*#|"
 _LEADING = "\"'([{%&*#|"
 _APART = re.compile(r"(?<!\S)(?:[^\W_]\s){2,}[^\W_](?!\S)")
+#: What may stand between words of one token.
+_MARKS = re.compile(r"[^\w@$!|+(<€£¡*#]|_")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _DECORATION = re.compile(r"([$+@])\1{2,}$|!+$")
 
@@ -117,42 +121,62 @@ def _symbol_of(char: str) -> int:
 
 def decode(token: str, logp: np.ndarray) -> str:
     """The likeliest reading of a disguised token, which may be several words."""
-    # A state is the last three symbols and the last letter; of readings that share it the best goes on.
-    states: dict[tuple[int, int, int, str], tuple[float, str]] = {(0, 0, 0, ""): (0.0, "")}
-    table = logp
-
-    def put(to: dict, key: tuple[int, int, int, str], cost: float, text: str) -> None:
-        if key not in to or cost < to[key][0]:
-            to[key] = (cost, text)
-
+    table = memoryview(logp).cast("B").cast("f")  # plain floats, with the four symbols as one number
+    # A state is the last three symbols, as a number, and the last letter; of readings that share it the best goes on.
+    states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
     for char in token:
-        letters = [(char, 0.0)] if char.isalpha() else [(x, REPLACED) for x in LEET.get(char, "")]
+        plain = char.isalpha()
+        letters = [(char, 0.0)] if plain else [(x, REPLACED) for x in LEET.get(char, "")]
         if char in MASKS:
             letters += [(x, MASKED) for x in VOWELS]
-        step: dict[tuple[int, int, int, str], tuple[float, str]] = {}
-        for (a, b, c, last), (cost, text) in states.items():
-            for letter, more in letters:
-                s = _symbol_of(letter)
-                put(step, (b, c, s, letter) if c else (0, 0, s, letter), cost + more - float(table[a, b, c, s]), text + letter)
+        letters = [(x, _symbol_of(x), more) for x, more in letters]
+        drop = 0.0 if char.isspace() else DROPPED
+        step: dict[tuple[int, str], tuple[float, str]] = {}
+        for (back, last), (cost, text) in states.items():
+            for letter, symbol, more in letters:
+                now = back << 5 | symbol
+                key, total = (now & 0x7FFF, letter), cost + more - table[now]
+                if key not in step or total < step[key][0]:
+                    step[key] = (total, text + letter)
                 if letter == last:
-                    put(step, (a, b, c, last), cost + more + REPEATED, text)
-            if not char.isalpha():
-                put(step, (a, b, c, last), cost + DROPPED * (not char.isspace()), text)
-                if c:
-                    put(step, (0, 0, 0, ""), cost + PARTED - float(table[a, b, c, 0]), text + " ")
+                    key, total = (back, last), cost + more + REPEATED
+                    if key not in step or total < step[key][0]:
+                        step[key] = (total, text)
+            if not plain:
+                key, total = (back, last), cost + drop
+                if key not in step or total < step[key][0]:
+                    step[key] = (total, text)
+                if back & 31:
+                    key, total = (0, ""), cost + PARTED - table[back << 5]
+                    if key not in step or total < step[key][0]:
+                        step[key] = (total, text + " ")
         states = dict(sorted(step.items(), key=lambda x: x[1])[:BEAM]) if len(step) > BEAM else step
-    best = min(((cost - float(table[a, b, c, 0]) * bool(c), text) for (a, b, c, _), (cost, text) in states.items()), default=(0.0, token))
-    return best[1].strip()
+    ended = ((cost - (table[back << 5] if back & 31 else 0.0), text) for (back, _), (cost, text) in states.items())
+    return min(ended, default=(0.0, token))[1].strip()
 
 
 def restore_token(token: str, logp: np.ndarray) -> str:
-    """A lower-case token without what surrounds it, decoded where it is disguised; empty if it has no letters."""
+    """A lower-case token's words, parted by spaces and decoded where they are disguised; empty if it has no letters.
+
+    A token is disguised if letters repeat thrice, if signs or digits that may stand for letters lie among more letters
+    than there are of them, or if marks part it into pieces of a few letters. Other marks part it into words.
+    """
     if token.isalpha() and not _THRICE.search(token):
         return token
     core = _DECORATION.sub("", token.lstrip(_LEADING).rstrip(_TRAILING)).rstrip(_TRAILING)
     if core.isalpha() and not _THRICE.search(core):
         return core
-    return decode(core, logp) if any(c.isalpha() for c in core) else ""
+    pieces = [x for x in _MARKS.split(core) if x]
+    if len(pieces) > 1 and max(map(len, pieces)) <= 3:
+        pieces = [core]  # pulled apart
+    found = []
+    for piece in pieces:
+        letters = sum(map(str.isalpha, piece))
+        if letters == len(piece) and not _THRICE.search(piece):
+            found.append(piece)
+        elif (3 if len(piece) <= LEAST_HALF else 2) * letters > len(piece) or len(pieces) == 1 and len(piece) > letters > 1 and _MARKS.search(piece):
+            found.append(decode(piece, logp))
+    return " ".join(found)
 
 
 def restore(text: str | None, logp: np.ndarray) -> str:
@@ -206,8 +230,8 @@ def score_text(text: str | None, model: ToxicModel, cells: _Cells | None = None)
     for apart in _APART.finditer(text):
         tokens.update(decode(apart[0], model.logp).split())
     met: Counter[int] = Counter()
-    for token, n in tokens.items():
-        for cell in cells[token]:
+    for found, n in [(found, n) for token, n in tokens.items() if (found := cells[token])]:
+        for cell in found:
             met[cell] += n
     z, n_words = model.bias, max(1, tokens.total())
     for cell in sorted(met):
