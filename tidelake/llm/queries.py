@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import licenses, mixing, quality, topk, toxicity, url_filter
+from tidelake.llm import licenses, mixing, packing, quality, syncmers, topk, toxicity, url_filter
 from tidelake.llm._common import held_out, table
 
 # The rules that judge pages.
@@ -20,6 +21,8 @@ URL_RULES = [
 ]
 #: Words of a host that mark a URL as rejected when the models are fitted.
 REJECT_WORDS = ["casino", "bets", "pills", "ads", "adult", "spam"]
+#: The vocabulary of byte_bpe_50k.json as ranks.
+TOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, models)
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -65,16 +72,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKEN_RANKS, public_tokenizers.PATTERN)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_syncmers": op3_syncmers,
     "op4_source_mix": op4_source_mix,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_quality_machine": op6_quality_machine,
     "op7_toxicity": op7_toxicity,
+    "op9_hilbert_packing": op9_hilbert_packing,
     "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_top_k": OP5_SQL}
