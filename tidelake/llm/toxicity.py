@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType
 from tidelake.llm._common import slices, training_rows, widened
 
 #: Labelled rows that the score is learned from, at most.
-MAX_ROWS = 8_000
+MAX_ROWS = 6_000
 #: Features are hashed into this many cells.
 CELLS = 1 << 22
 #: A feature's reliability is its share of toxic rows, with this many clean ones added; below the least it isn't chosen.
@@ -259,30 +259,23 @@ def _feature_rows(logp: np.ndarray):
     return rows
 
 
-def choose_cells(labels: np.ndarray, met: list[np.ndarray]) -> list[int]:
-    """The cells that tell toxic rows, by sequential covering.
+def choose_cells(toxic: np.ndarray, row: np.ndarray, names: np.ndarray, column: np.ndarray) -> list[int]:
+    """The cells that tell toxic rows, by sequential covering. A feature is met at (row, names[column]).
 
     The next feature is always the most reliable one over the rows not yet covered, with its reliability over all rows as
     what is known beforehand; of equals, the most specific. So a feature that merely goes along with others is left out. Words
     and openings of five letters or more that are reliable over all rows, and common in toxic ones, are in any case taken.
     """
-    toxic = labels == 1
-    if not toxic.any():
-        return []
-    names, n = np.unique(np.concatenate([m for m, t in zip(met, toxic, strict=True) if t]), return_counts=True)
-    names = names[n / (n + DOUBT) >= LEAST]  # others can't be chosen
-    known = [m[np.isin(m, names)] for m in met]
-    row = np.repeat(np.arange(len(known)), [len(m) for m in known])
-    column = np.searchsorted(names, np.concatenate(known))
     count = lambda rows: np.bincount(column[rows[row]], minlength=len(names))
     yes, no = count(toxic), count(~toxic)
     reliable = yes / (yes + no + DOUBT)
     before = reliable**2
-    open_rows, chosen = np.ones(len(labels), bool), list(names[(yes >= COMMON * toxic.sum()) & (reliable >= RELIABLE) & ((names & 31) < 20)] >> 5)
+    open_rows, chosen = np.ones(len(toxic), bool), list(names[(yes >= COMMON * toxic.sum()) & (reliable >= RELIABLE) & ((names & 31) < 20)] >> 5)
     while len(names):
         yes, no = count(open_rows & toxic), count(open_rows & ~toxic)
-        sure = np.where(yes > 0, (yes + 2 * DOUBT * before) / (yes + no + 2 * DOUBT), 0)
-        best = int(np.lexsort((names, names & 31, -sure.round(6)))[0])
+        sure = np.where(yes > 0, (yes + 2 * DOUBT * before) / (yes + no + 2 * DOUBT), 0).round(6)
+        equal = np.flatnonzero(sure == sure.max())
+        best = int(equal[np.lexsort((names[equal], names[equal] & 31))[0]])
         if sure[best] < LEAST:
             break
         chosen.append(names[best] >> 5)
@@ -290,20 +283,47 @@ def choose_cells(labels: np.ndarray, met: list[np.ndarray]) -> list[int]:
     return sorted({int(c) for c in chosen})
 
 
+def _told(toxic: np.ndarray, met: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, names, column) of the features that could tell toxic rows: those met in a few, and not mostly in clean ones."""
+    names, n = np.unique(np.concatenate([m for m, t in zip(met, toxic, strict=True) if t]), return_counts=True)
+    names = names[n / (n + DOUBT) >= LEAST]
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(met) if len(names) else 0, 256):
+        part = met[at : at + 256]
+        row, flat = np.repeat(np.arange(at, at + len(part)), [len(m) for m in part]), np.concatenate(part)
+        column = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+        known = names[column] == flat
+        rows.append(row[known])
+        columns.append(column[known])
+    row, column = np.concatenate(rows), np.concatenate(columns)
+    share = np.bincount(column[toxic[row]], minlength=len(names)) / np.maximum(1, np.bincount(column, minlength=len(names)))
+    kept = share >= LEAST / 2
+    column, row = (np.cumsum(kept) - 1)[column][kept[column]], row[kept[column]]
+    return row, names[kept], column
+
+
 def learn(labels: np.ndarray, n_words: np.ndarray, met: list[np.ndarray]) -> tuple[dict[int, tuple[float, float]], float]:
-    """Weights by cell and the bias: logistic regression with a small penalty over the chosen cells, by Newton's steps."""
-    cells = np.array(choose_cells(labels, met), np.int64)
-    y = (labels == 1).astype(float)
+    """Weights by cell and the bias: logistic regression with a small penalty over the chosen cells, by Newton's steps.
+
+    Without toxic rows there are no weights.
+    """
+    toxic = labels == 1
+    y = toxic.astype(float)
+    bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    if not toxic.any():
+        return {}, bias
+    row, names, column = _told(toxic, met)
+    cells = np.array(choose_cells(toxic, row, names, column), np.int64)
     often = np.zeros((len(y), len(cells)))
     for i, m in enumerate(met):
         found, n = np.unique(m >> 5, return_counts=True)
         at = np.isin(found, cells)
         often[i, np.searchsorted(cells, found[at])] = n[at]
-    x = np.hstack([np.ones((len(y), 1)), *(_strengths(often, n_words[:, None]) if len(y) else (often, often))])
+    x = np.hstack([np.ones((len(y), 1)), *_strengths(often, n_words[:, None])])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), PENALTY)
     penalty[0] = 1e-6
-    w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w[0] = bias
     loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (penalty * w**2).sum() / 2
     for _ in range(30 if len(cells) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
