@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import licenses, mixing, packing, quality, syncmers, topk, toxicity, url_filter
+from tidelake.llm import licenses, mixing, near_dedup, packing, quality, substring_dedup, syncmers, topk, toxicity, url_filter
 from tidelake.llm._common import held_out, table
 
 # The rules that judge pages.
@@ -31,6 +31,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, models)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKEN_RANKS, public_tokenizers.PATTERN)
 
@@ -82,11 +90,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_syncmers": op3_syncmers,
     "op4_source_mix": op4_source_mix,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_quality_machine": op6_quality_machine,
     "op7_toxicity": op7_toxicity,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_license_scan": op10_license_scan,
 }
