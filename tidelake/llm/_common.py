@@ -132,16 +132,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; with `lowered`, A-Z count as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(data) + 1)
+def prefix_sums(data: np.ndarray, lowered: bool = False) -> np.ndarray:
+    """What `hashes_between` needs of the bytes; with `lowered`, A-Z count as a-z."""
+    power, _ = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWERED_VALUES if lowered else _BYTE_VALUES)[data] * power[: len(data)], out=sums[1:])
+    return sums
+
+
+def hashes_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes, wherever they stand."""
+    _, inverse = _power_tables(len(sums))
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; with `lowered`, A-Z count as a-z."""
+    return hashes_between(prefix_sums(data, lowered), starts, ends)
+
+
 def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `k` words that lie in one text, and the number of each run's first word.
 

@@ -12,18 +12,16 @@ with toxic ones are left out. A logistic regression weighs how often and how den
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidelake.llm._common import slices, training_rows, widened
+from tidelake.llm._common import SPACED_WORD, hashes_between, mixed, prefix_sums, slices, training_rows, widened, words
 
 #: Labelled rows that the score is learned from, at most.
 MAX_ROWS = 6_000
@@ -186,75 +184,160 @@ def restore(text: str | None, logp: np.ndarray) -> str:
     return " ".join(w for t in text.split() if (w := restore_token(t, logp)))
 
 
-# ---------------------------------------------------------------- scoring
+# ---------------------------------------------------------------- features
 
 
-def _features(word: str) -> list[tuple[int, int]]:
-    """(cell, how unspecific) of a word and its openings: the whole word 0, openings of 8 to 3 letters 1 to 6."""
-    named = [(f"={word}", 0), *((word[:n], 9 - n) for n in range(3, min(8, len(word)) + 1))]
-    return [(xxhash.xxh3_64_intdigest(name) % CELLS, rank) for name, rank in named]
+#: Openings of words that are features, in bytes.
+OPENINGS = range(8, 2, -1)
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_TRAILING, _IS_LEADING = np.zeros(256, bool), np.zeros(256, bool)
+_IS_TRAILING[list(_TRAILING.encode())] = True
+_IS_LEADING[list(_LEADING.encode())] = True
 
 
-@dataclass(frozen=True)
-class ToxicModel:
-    logp: np.ndarray
-    weights: dict[int, tuple[float, float]]  # by cell: for how often it is met, for how dense that is
-    bias: float
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 with A-Z and the capitals of Latin-1 in lower case."""
+    data = _LOWER[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    data[capital] += 0x20
+    return data
 
 
-class _Cells(dict):
-    """The cells with weights that a token's restored words have, by token; filled as tokens come up."""
+class _Restored(dict):
+    """Restored words by token, as UTF-8; filled as disguised tokens come up."""
 
-    def __init__(self, model: ToxicModel) -> None:
+    def __init__(self, logp: np.ndarray) -> None:
         super().__init__()
-        self.model = model
+        self.logp = logp
 
-    def __missing__(self, token: str) -> list[int]:
-        found = [c for w in restore_token(token, self.model.logp).split() for c, _ in _features(w) if c in self.model.weights]
+    def __missing__(self, token: bytes) -> bytes:
+        found = restore_token(token.decode(errors="replace"), self.logp).encode()
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[token] = found
         return found
 
 
-def _strengths(n: float | np.ndarray, n_words: int | np.ndarray) -> tuple:
+def _plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, end) of the words of letters only, (text, start, end) of the other tokens, and tokens by text."""
+    starts, ends, first = words(data, offsets, SPACED_WORD)
+    n_words = np.diff(first)
+    row = np.repeat(np.arange(len(n_words)), n_words)
+    inner_starts, inner_ends = starts.copy(), ends.copy()
+    for _ in range(4):  # what surrounds a word; with more of it, a token is looked at on its own
+        inner_ends -= _IS_TRAILING[data[inner_ends - 1]] & (inner_ends > inner_starts + 1)
+        inner_starts += _IS_LEADING[data[np.minimum(inner_starts, len(data) - 1)]] & (inner_ends > inner_starts + 1)
+    letter = _LETTER[data]
+    # A letter that comes thrice, or a character that isn't one, makes a token one to look at.
+    odd = ~letter
+    odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
+    upto = np.concatenate([[0], np.cumsum(odd)])
+    plain = upto[inner_ends] == upto[np.minimum(inner_starts + 2, inner_ends)]
+    plain &= letter[inner_starts] & letter[inner_ends - 1] & letter[np.minimum(inner_starts + 1, inner_ends - 1)]
+    return row[plain], inner_starts[plain], inner_ends[plain], row[~plain], starts[~plain], ends[~plain], n_words
+
+
+def _apart_runs(data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(text, run) of three or more words of one letter that follow each other by one byte each."""
+    single = (ends - starts == 1) | (ends - starts == 2) & (data[starts] >= 0xC2)
+    at = np.flatnonzero(single)
+    joins = (starts[at[1:]] == ends[at[:-1]] + 1) & (row[at[1:]] == row[at[:-1]])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], joins.view(np.int8), [0]])))
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        if b - a >= 2:
+            yield int(row[at[a]]), data[starts[at[a]] : ends[at[b]]].tobytes()
+
+
+def _cells(data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(rank, text, cell) of the features of words: whole words have rank 0, openings from the longest ranks 1 to 6."""
+    sums = prefix_sums(data)
+    yield 0, row, (mixed(hashes_between(sums, starts, ends) ^ _WHOLE) % np.uint64(CELLS)).astype(np.int64)
+    for rank, n in enumerate(OPENINGS, 1):
+        long = ends - starts >= n
+        yield rank, row[long], (hashes_between(sums, starts[long], starts[long] + n) % np.uint64(CELLS)).astype(np.int64)
+
+
+def features(column: pa.Array, restored: _Restored) -> Iterator[tuple[int, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """By run of texts: the first, the number of words of each, and (rank, text, cell) of all words' features."""
+    for low, _, data, offsets in slices(column):
+        data = _lowered(data)
+        row, starts, ends, odd_row, odd_starts, odd_ends, n_words = _plain_words(data, offsets)
+        found = list(_cells(data, row, starts, ends))
+        raw = memoryview(data)
+        more = [(i, restored[bytes(raw[a:b])]) for i, a, b in zip(odd_row.tolist(), odd_starts.tolist(), odd_ends.tolist(), strict=True)]
+        more += [(i, decode(run.decode(errors="replace"), restored.logp).encode()) for i, run in _apart_runs(data, row, starts, ends)]
+        if more:
+            texts = np.frombuffer(b" ".join(text for _, text in more), np.uint8)
+            token = np.concatenate([[0], np.cumsum([len(text) + 1 for _, text in more])])
+            token[-1] = len(texts)
+            starts, ends, first = words(texts, token, SPACED_WORD)
+            found += _cells(texts, np.repeat([i for i, _ in more], np.diff(first)), starts, ends)
+        yield low, np.maximum(1, n_words), found
+
+
+# ---------------------------------------------------------------- learning and scoring
+
+
+@dataclass(frozen=True)
+class ToxicModel:
+    logp: np.ndarray
+    weights: dict[int, tuple[float, float]]  # by cell: for how often it is met, for how dense that is
+    bias: float
+
+
+def _strengths(n: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often and how densely a cell is met, both 0 to 1."""
     return np.minimum(n, LEVELS) / LEVELS, np.minimum(100 * n / n_words, LEVELS) / LEVELS
 
 
-def score_text(text: str | None, model: ToxicModel, cells: _Cells | None = None) -> float:
-    """The logistic function of the weights of what the restored text meets; for a text that meets nothing, of the bias."""
-    cells = _Cells(model) if cells is None else cells
-    text = (text or "").lower()
-    tokens = Counter(text.split())
-    for apart in _APART.finditer(text):
-        tokens.update(decode(apart[0], model.logp).split())
-    met: Counter[int] = Counter()
-    for found, n in [(found, n) for token, n in tokens.items() if (found := cells[token])]:
-        for cell in found:
-            met[cell] += n
-    z, n_words = model.bias, max(1, tokens.total())
-    for cell in sorted(met):
-        often, dense = _strengths(met[cell], n_words)
-        z += model.weights[cell][0] * often + model.weights[cell][1] * dense
-    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+def scores(column: pa.Array, model: ToxicModel, restored: _Restored | None = None) -> np.ndarray:
+    """The logistic function of the weights of what each restored text meets; where it meets nothing, of the bias."""
+    restored = _Restored(model.logp) if restored is None else restored
+    cells = np.array(sorted(model.weights), np.int64)
+    weights = np.array([model.weights[c] for c in cells.tolist()]).reshape(-1, 2)
+    wanted = np.zeros(CELLS, bool)
+    wanted[cells] = True
+    z = np.full(len(column), model.bias)
+    for low, n_words, found in features(column, restored) if len(cells) else ():
+        met = np.zeros(len(n_words) * len(cells))
+        for _, row, cell in found:
+            hit = np.flatnonzero(wanted[cell])
+            met += np.bincount(row[hit] * len(cells) + np.searchsorted(cells, cell[hit]), minlength=len(met))
+        often, dense = _strengths(met.reshape(-1, len(cells)), n_words[:, None])
+        z[low : low + len(n_words)] += often @ weights[:, 0] + dense @ weights[:, 1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def score_text(text: str | None, model: ToxicModel) -> float:
+    return float(scores(pa.array([text], pa.string()), model)[0])
 
 
 def _feature_rows(logp: np.ndarray):
     """Of each labelled text its number of words and, once for each time up to LEVELS that it is met, each feature."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restored = _Restored(logp)
         for batch in batches:
-            met, n_words = [], []
-            for text in batch.column("text").to_pylist():
-                times: Counter[tuple[int, int]] = Counter()
-                tokens = Counter(restore(text, logp).split())
-                for word, n in tokens.items():
-                    for feature in _features(word):
-                        times[feature] += n
-                met.append([cell * 32 + rank * 4 + least for (cell, rank), n in times.items() for least in range(min(LEVELS, n))])
-                n_words.append(max(1, tokens.total()))
-            yield pa.record_batch({"label": batch.column("label").cast(pa.int32()), "n_words": pa.array(n_words, pa.int64()), "met": pa.array(met, pa.list_(pa.int32()))})
+            labels = batch.column("label").cast(pa.int32())
+            for low, n_words, found in features(batch.column("text"), restored):
+                keys = np.concatenate([row * (CELLS * 8) + cell * 8 + rank for rank, row, cell in found])
+                keys, times = np.unique(keys, return_counts=True)
+                times = np.minimum(times, LEVELS)
+                level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                keys = np.repeat(keys, times)
+                met = (keys % (CELLS * 8) * 4 + level).astype(np.int32)
+                offsets = np.searchsorted(keys // (CELLS * 8), np.arange(len(n_words) + 1)).astype(np.int32)
+                yield pa.record_batch(
+                    {
+                        "label": labels.slice(low, len(n_words)),
+                        "n_words": pa.array(n_words.astype(np.int64)),
+                        "met": pa.ListArray.from_arrays(pa.array(offsets), pa.array(met)),
+                    }
+                )
 
     return rows
 
@@ -353,11 +436,10 @@ def score_documents(documents: DataFrame, model: ToxicModel, into: str = "toxic_
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _Cells(model)
+        restored = _Restored(model.logp)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            scores = pa.array([score_text(t.as_py(), model, cells) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, into])
+            found = scores(batch.column(batch.schema.get_field_index("text")), model, restored)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, into])
 
     return documents.mapInArrow(score, widened(documents, **{into: DoubleType()}))
 
@@ -366,9 +448,9 @@ def keep_clean(documents: DataFrame, model: ToxicModel, threshold: float = 0.3)
     """The rows whose score is below the threshold, with all their columns."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _Cells(model)
+        restored = _Restored(model.logp)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([score_text(t.as_py(), model, cells) < threshold for t in texts], pa.bool_()))
+            found = scores(batch.column(batch.schema.get_field_index("text")), model, restored)
+            yield batch.filter(pa.array(found < threshold))
 
     return documents.mapInArrow(keep, documents.schema)
