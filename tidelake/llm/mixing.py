@@ -28,17 +28,17 @@ SHARD_DOCUMENTS = 2000
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
 
 
-def sized(documents: DataFrame, into: str = "size") -> DataFrame:
-    """The frame with the number of words of its text (null: 0) as a further column."""
+def sized(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The frame with the number of words of its column `text` (null: 0) as a further column, `size`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [np.zeros(0, np.int64)]
-            for _, _, data, offsets in slices(batch.column(batch.schema.get_field_index("text"))):
+            for _, _, data, offsets in slices(batch.column(batch.schema.get_field_index(text))):
                 n.append(np.diff(words(data, offsets, SPACED_WORD)[2]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64())], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64())], names=[*batch.schema.names, "size"])
 
-    return documents.mapInArrow(count, widened(documents, **{into: LongType()}))
+    return documents.mapInArrow(count, widened(documents, size=LongType()))
 
 
 def apportion(frame: DataFrame, of: list[str], key: str, weight: str, seats: str, into: str) -> DataFrame:
@@ -151,10 +151,10 @@ def _taken_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as the mix takes them: the whole text for each pass, then the words of the run; passes are parted by a line end."""
     for batch in batches:
         index = batch.schema.get_field_index
-        texts = batch.column(index("text")).to_pylist()
+        texts = batch.column(index("_in_text")).to_pylist()
         figures = zip(*(batch.column(index(c)).to_pylist() for c in ("_passes", "_low", "_high")), strict=True)
         spans = [None] * len(texts)
-        for low, _, data, offsets in slices(batch.column(index("text"))):
+        for low, _, data, offsets in slices(batch.column(index("_in_text"))):
             starts, ends, first = words(data, offsets, SPACED_WORD)
             for i in range(len(offsets) - 1):
                 spans[low + i] = (starts[first[i] : first[i + 1]] - offsets[i], ends[first[i] : first[i + 1]] - offsets[i])
@@ -165,8 +165,8 @@ def _taken_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(text if b - a == len(starts) else text.encode()[starts[a] : ends[b - 1]].decode())
             out.append("\n".join(parts))
         columns = list(batch.columns)
-        columns[index("text")] = pa.array(out, pa.string())
-        columns[index("n_chars")] = pa.array([len(t) for t in out], pa.int64())
+        columns[index("_in_text")] = pa.array(out, pa.string())
+        columns[index("_in_n_chars")] = pa.array([len(t) for t in out], pa.int64())
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
@@ -176,7 +176,9 @@ def mix(documents: DataFrame, seed: int = 1) -> DataFrame:
     A document taken more than once has its text as often, parted by line ends. The columns are those of `documents`; null
     and wordless texts are not taken.
     """
-    rows = documents.withColumns({"source_key": source_key(F.col("source")), "n_chars": F.col("n_chars").cast("long")})
-    taken = _placed(sized(rows), seed).where(F.col("taken") > 0)
-    wanted = taken.select(*documents.columns, "_passes", "_low", "_high")
-    return wanted.mapInArrow(_taken_text, wanted.schema).select(*documents.columns)
+    # Names of the input's own columns can't clash with what is added.
+    own = [f"_in_{c}" for c in documents.columns]
+    rows = documents.withColumn("n_chars", F.col("n_chars").cast("long")).toDF(*own)
+    rows = rows.withColumns({"doc_id": F.col("_in_doc_id"), "source_key": source_key(F.col("_in_source"))})
+    taken = _placed(sized(rows, "_in_text"), seed).where(F.col("taken") > 0).select(*own, "_passes", "_low", "_high")
+    return taken.mapInArrow(_taken_text, taken.schema).select(*own).toDF(*documents.columns)
