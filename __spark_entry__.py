@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidelake import fixtures as fx  # noqa: E402
-from tidelake.functions.contracts import Contract  # noqa: E402
+from tidelake.functions.contracts import BrokenContract, Contract  # noqa: E402
 from tidelake.functions.envelope import json_field, parse_records, table_of  # noqa: E402
 from tidelake.operators import bronze, capture, checks, consume, gold, profile, report, silver  # noqa: E402
+from tidelake.plans.silver_job import SilverOptions, merge_all  # noqa: E402
 from tidelake.session import scratch_dir  # noqa: E402
 from tidelake.sources import kafka, seed  # noqa: E402
 from tidelake.sources.lake import BronzeFiles  # noqa: E402
@@ -210,10 +211,11 @@ def topic_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "list_topics",
-    "SELECT 'cdc.public.customers' AS topic UNION ALL SELECT 'cdc.public.orders' UNION ALL SELECT 'cdc.public.events'",
+    "SELECT DISTINCT 'cdc.public.' || event_type AS topic FROM events WHERE event_type LIKE '%i%'",
 )
 def list_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.list_topics(fx.all_changes(_load(spark, sf_dir)), r"cdc\.public\..*")
+    """A topic for each event type; those that match a pattern."""
+    return report.list_topics(fx.event_type_changes(fx.table(spark, sf_dir, "events")), r"cdc\.public\..*i.*")
 
 
 @query(
@@ -302,7 +304,7 @@ def cdc_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "distinct_ops",
-    f"WITH {_EV} SELECT DISTINCT op AS _cdc_op FROM ev WHERE NOT broken AND NOT lost ORDER BY 1 LIMIT 10",
+    f"WITH {_EV} SELECT DISTINCT op AS _cdc_op FROM ev WHERE NOT broken AND NOT lost",
 )
 def distinct_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consume.distinct_ops(_valid(spark, sf_dir, "events"))
@@ -370,6 +372,39 @@ def contract_type_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("_offset").alias("offset"), F.col("_validation_error").alias("validation_error"))
 
 
+@query(
+    "contract_type_rules",
+    """SELECT o_orderkey AS "offset",
+       CASE o_orderkey % 13 WHEN 1 THEN 'i: type' WHEN 2 THEN 'f: type' WHEN 3 THEN 'd: type' WHEN 4 THEN 'n: type'
+            WHEN 5 THEN 'b: type' WHEN 6 THEN 's: type' WHEN 7 THEN 't: type' WHEN 8 THEN 'created_at: type'
+            WHEN 9 THEN 'day: type' WHEN 10 THEN 'o: type' WHEN 11 THEN 'x: type' ELSE '' END AS validation_error
+FROM orders""",
+)
+def contract_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of every contract type, and records in which one of them is wrong."""
+    changes = fx.typed_changes(fx.table(spark, sf_dir, "orders"))
+    rows = bronze.to_bronze(changes, {"typed": fx.TYPED}, ingested_at=F.col("timestamp"))
+    return rows.select(F.col("_offset").alias("offset"), F.col("_validation_error").alias("validation_error"))
+
+
+@query(
+    "parse_typed_fields",
+    """SELECT o_orderkey AS id, o_orderkey AS i, CAST(1.5 AS FLOAT) AS f, CAST(2.5 AS DOUBLE) AS d, o_totalprice AS n, TRUE AS b,
+       '[text' AS s, 'text' AS t, epoch_us(o_orderdate) AS created_at_us, o_orderdate AS created_at,
+       CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, '{"a":' || o_orderkey || '}' AS o, 'YWJj' AS x
+FROM orders WHERE o_orderkey % 13 IN (0, 12)""",
+)
+def parse_typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sound ones of these records parsed, timestamps both as microseconds and as timestamps."""
+    changes = fx.typed_changes(fx.table(spark, sf_dir, "orders"))
+    valid = bronze.valid_rows(bronze.to_bronze(changes, {"typed": fx.TYPED}, ingested_at=F.col("timestamp")), "typed")
+    as_long = silver.parse_envelope(valid, fx.TYPED).withColumnRenamed("created_at", "created_at_us")
+    as_time = silver.parse_envelope(valid, fx.TYPED, "timestamp").select("id", _naive("created_at"))
+    names = [f.name for f in fx.TYPED.fields if f.name != "created_at"]
+    joined = as_long.join(as_time, "id").withColumn("i", F.col("i").cast("bigint"))
+    return joined.select(*names, "created_at_us", "created_at")
+
+
 @query(
     "bronze_valid",
     f"""WITH {_EV}, {_OC}
@@ -434,19 +469,16 @@ def bronze_routing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("_table").alias("table_name"), F.col("_status").alias("status"), "n_rows")
 
 
-@query("bronze_stream_counts", _ROUTING_SQL)
-def bronze_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming job over the three topics until it has read everything, then the written pairs counted."""
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # a pattern, because a streaming source does not take the path of a single file
+    return spark.readStream.schema(fx.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
 
-    def stream(name: str) -> DataFrame:
-        # a pattern, because a streaming source does not take the path of a single file
-        return spark.readStream.schema(fx.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
 
-    folder = scratch_dir(spark, "bronze-stream")
-    store = BronzeFiles(f"{folder}/bronze")
-    running = start_bronze(fx.all_changes(stream), store, f"{folder}/checkpoint", fx.CONTRACTS, interval=None)
-    running.awaitTermination()
+def _run_stream(changes: DataFrame, store: BronzeFiles, checkpoint: str) -> None:
+    start_bronze(changes, store, checkpoint, fx.CONTRACTS, interval=None).awaitTermination()
+
 
+def _stored_counts(spark: SparkSession, store: BronzeFiles) -> DataFrame:
     def counts(status: str) -> DataFrame:
         rows = store.read(spark, status=status)
         return rows.groupBy(F.col("_table").alias("table_name"), F.lit(status).alias("status")).agg(
@@ -456,6 +488,47 @@ def bronze_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts("valid").unionByName(counts("invalid"))
 
 
+@query("bronze_stream_counts", _ROUTING_SQL)
+def bronze_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming job over the three topics until it has read everything, then the written pairs counted."""
+    folder = scratch_dir(spark, "bronze-stream")
+    store = BronzeFiles(f"{folder}/bronze")
+    _run_stream(fx.all_changes(lambda name: _stream(spark, sf_dir, name)), store, f"{folder}/checkpoint")
+    return _stored_counts(spark, store)
+
+
+@query("bronze_two_streams_counts", f"SELECT table_name, status, 2 * n_rows AS n_rows FROM ({_ROUTING_SQL}) WHERE n_rows > 0")
+def bronze_two_streams_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams with checkpoints of their own into one root: both start at batch 0, and all rows stay."""
+    folder = scratch_dir(spark, "bronze-two-streams")
+    store = BronzeFiles(f"{folder}/bronze")
+    for checkpoint in ("one", "two"):
+        _run_stream(fx.all_changes(lambda name: _stream(spark, sf_dir, name)), store, f"{folder}/{checkpoint}")
+    return _stored_counts(spark, store)
+
+
+@query("bronze_compacted_counts", _ROUTING_SQL)
+def bronze_compacted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream per table into one root, then the day folded into few files."""
+    folder = scratch_dir(spark, "bronze-compacted")
+    store = BronzeFiles(f"{folder}/bronze")
+    for table, (source, derive) in _CHANGES.items():
+        _run_stream(derive(_stream(spark, sf_dir, source)), store, f"{folder}/{table}")
+    days = store.read(spark).select(F.date_format("_ingested_at", "yyyy-MM-dd")).distinct().collect()  # one, or two at midnight
+    for (day,) in days:
+        store.compact_day(spark, day)
+    return _stored_counts(spark, store)
+
+
+@query(
+    "preview",
+    f"""WITH {_OC} SELECT order_id * 3 + step AS "offset", op AS cdc_op FROM oc ORDER BY 1 LIMIT 10""",
+)
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = consume.preview(_valid(spark, sf_dir, "orders"), 10, "_offset")
+    return rows.select(F.col("_offset").alias("offset"), F.col("_cdc_op").alias("cdc_op"))
+
+
 @query(
     "json_field_lookup",
     f"""WITH {_SC} SELECT customer_id AS "offset", 'r' AS cdc_op, email FROM sc WHERE email = 'customer_46@example.com'""",
@@ -531,10 +604,63 @@ def silver_merge_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = silver.parse_envelope(_valid(spark, sf_dir, "orders"), fx.ORDERS)
     stored = silver.dedup_changes(rows.filter(F.col("_cdc_op") == "r"), fx.ORDERS)
     changes = silver.dedup_changes(rows.filter(F.col("_cdc_op") != "r"), fx.ORDERS)
+    stored, changes = _stored(spark, stored, "merge-stored"), _stored(spark, changes, "merge-changes")
     merged = silver.merge_small_batch(stored, changes, ["order_id"])
     return merged.select("order_id", "customer_id", "status", "amount", F.col("_cdc_op").alias("cdc_op"))
 
 
+@query(
+    "silver_merge_ties",
+    """SELECT 'forth' AS runs, l_orderkey AS id, max(l_linenumber) AS last_line FROM lineitem GROUP BY 2
+UNION ALL SELECT 'back', l_orderkey, max(l_linenumber) FROM lineitem GROUP BY 2""",
+)
+def silver_merge_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a key at one time, ordered by log position only, in two runs, and the runs in both orders."""
+    at = F.lit(EVENTS_CUT).cast("timestamp")
+    lines = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        F.col("l_linenumber").alias("last_line"),
+        F.lit("u").alias("_cdc_op"),
+        at.alias("_cdc_ts"),
+        at.alias("_ingested_at"),
+        F.col("l_linenumber").cast("bigint").alias("_lsn"),
+    )
+    # A line number occurs more than once in some orders; what differs is the position alone.
+    halves = [silver.latest_per_key(lines.filter(F.col("last_line") % 2 == n), ["id"]) for n in (0, 1)]
+    halves = [_stored(spark, half, f"ties-{n}") for n, half in enumerate(halves)]
+    result = None
+    for name, order in (("forth", halves), ("back", halves[::-1])):
+        merged = _empty_silver(spark, halves[0])
+        for half in order:
+            merged = silver.merge_frames(merged, half, ["id"])
+        part = merged.select(F.lit(name).alias("runs"), "id", "last_line")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@query(
+    "silver_job_all_tables",
+    f"""WITH {_OC}, {_EV}
+SELECT 'silver:customers' AS stage, 'SUCCESS' AS status, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'silver:events', 'SUCCESS', count(DISTINCT user_id) FROM ev WHERE NOT broken AND NOT lost
+UNION ALL SELECT 'silver:orders', 'ERROR', 0""",
+)
+def silver_job_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch job over written bronze: every table of a day, one with a broken contract, and the run log it wrote."""
+    folder = scratch_dir(spark, "silver-job")
+    store = BronzeFiles(f"{folder}/bronze")
+    store.write(bronze.to_bronze(fx.all_changes(_load(spark, sf_dir)), fx.CONTRACTS, ingested_at=LATENCY_INGESTED_AT), 0)
+    database = f"silver_{os.path.basename(folder).replace('-', '_')}"
+    contracts = {**fx.CONTRACTS, "orders": BrokenContract("orders", "unknown quality rules")}
+    options = SilverOptions(database=database)
+    merge_all(spark, store, contracts, LATENCY_INGESTED_AT[:10], options=options, log=f"{folder}/log", run_id="all")
+    log = spark.read.parquet(f"{folder}/log")
+    counts = consume.table_counts({f"silver:{t}": spark.table(f"{database}.{t}") for t in ("customers", "events")})
+    status = F.when(F.col("error").isNull(), "SUCCESS").otherwise("ERROR").alias("status")
+    rows = log.select("stage", status).join(counts.withColumnRenamed("table_name", "stage"), "stage", "left")
+    return rows.select("stage", "status", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 @query(
     "silver_composite_key",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate FROM (

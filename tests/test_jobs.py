@@ -1,13 +1,15 @@
 """The stream and the batch jobs end to end, with exact counts."""
 
+import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from tests.helpers import ITEMS, record
 
 from tidelake import fixtures as fx
-from tidelake.functions.contracts import Contract, Field, load_contract, load_contracts, to_text
+from tidelake.functions.contracts import BrokenContract, Contract, ContractError, ContractFolder, Field, load_contract, load_contracts, to_text
 from tidelake.operators import bronze, report
 from tidelake.plans import gold_job, silver_job
 from tidelake.plans.silver_job import SilverOptions
@@ -53,8 +55,9 @@ def test_stream_restart_and_replay(spark, tmp_path, kind):
     run(spark, source, store, tmp_path / "cp", contracts, files_per_batch=1)  # continues, reads file 3 only
     counts = lambda: (store.read(spark, "items", "valid").count(), store.read(spark, "items", "invalid").count())
     assert counts() == (4, 1)
-    run(spark, source, store, tmp_path / "cp2", contracts, files_per_batch=1)  # the same batches once more
-    assert counts() == (4, 1)
+    # A new checkpoint is another stream: it reads everything again, and nothing of the first is lost.
+    run(spark, source, store, tmp_path / "cp2", contracts, files_per_batch=1)
+    assert counts() == (8, 2)
 
 
 def test_contracts_can_change_while_the_stream_runs(spark, tmp_path):
@@ -82,7 +85,7 @@ def write_bronze(spark, store, values, batch_id, at, contracts, topic="cdc.publi
 
 
 def names(spark, table):
-    return {r["id"]: r["name"] for r in spark.table(table).collect()}
+    return {r["id"]: r["name"] for r in spark.table(table).filter("_cdc_op <> 'd'").collect()}
 
 
 @pytest.mark.parametrize("buckets", [None, 4])
@@ -101,8 +104,29 @@ def test_merge_days(spark, tmp_path, buckets):
     assert names(spark, f"{database}.items") == expected
     merge("2024-03-02")  # a rerun changes nothing
     assert names(spark, f"{database}.items") == expected
-    merge("2024-03-01")  # an old day does not undo a newer one; without tombstones the deleted key returns
-    assert names(spark, f"{database}.items") == {**expected, 3: "n3"}
+    merge("2024-03-01")  # neither does a rerun of an old day
+    assert names(spark, f"{database}.items") == expected
+    assert not [f for f in os.listdir(spark.conf.get("spark.checkpoint.dir")) if f.startswith("silver-items")]  # nothing staged stays
+
+
+def test_hard_delete_leaves_no_trace(spark, tmp_path):
+    store, contracts = BronzeFiles(str(tmp_path / "b")), {"items": ITEMS}
+    options = SilverOptions(database="hard", tombstones=False, count=True)
+    write_bronze(spark, store, [good(1), good(3)], 0, "2024-03-01 10:00:00", contracts)
+    write_bronze(spark, store, [record("d", {"id": 3}, 1700000001000)], 1, "2024-03-02 10:00:00", contracts)
+    rows = [silver_job.merge_day(spark, store, ITEMS, d, options=options).rows for d in ("2024-03-01", "2024-03-02", "2024-03-01")]
+    assert rows == [2, 1, 2] and spark.table("hard.items").filter("_cdc_op = 'd'").isEmpty()
+
+
+@pytest.mark.parametrize("tombstones", [True, False])
+def test_equal_times_are_ordered_by_log_position_across_runs(spark, tmp_path, tombstones):
+    store, contracts = BronzeFiles(str(tmp_path / "b")), {"items": ITEMS}
+    options = SilverOptions(database=f"ties_{tombstones}", tombstones=tombstones)
+    write_bronze(spark, store, [record("u", {"id": 1, "name": "low"}, 5, lsn=10)], 0, "2024-03-01 10:00:00", contracts)
+    write_bronze(spark, store, [record("u", {"id": 1, "name": "high"}, 5, lsn=20)], 1, "2024-03-02 10:00:00", contracts)
+    for day in ("2024-03-01", "2024-03-02", "2024-03-01"):
+        silver_job.merge_day(spark, store, ITEMS, day, options=options)
+    assert names(spark, f"ties_{tombstones}.items") == {1: "high"}
 
 
 def test_merge_with_tombstones_survives_an_old_day(spark, tmp_path):
@@ -132,7 +156,11 @@ def test_one_failing_table_does_not_stop_the_others(spark, tmp_path):
     write_bronze(spark, store, [good(1)], 0, "2024-03-01 10:00:00", contracts)
     outcomes = silver_job.merge_all(spark, store, contracts, "2024-03-01", options=SilverOptions(database="several"))
     assert {o.table: o.status for o in outcomes} == {"items": "merged", "keyless": "failed", "quiet": "empty"}
-    summary = report.run_report(silver_job.run_log(spark, "r1", outcomes)).first()
+    log = str(tmp_path / "log")
+    for run in ("r1", "r2"):
+        silver_job.merge_all(spark, store, contracts, "2024-03-01", options=SilverOptions(database="several"), log=log, run_id=run)
+    assert spark.read.parquet(log).count() == 6
+    summary = report.run_report(spark.read.parquet(log)).filter("run_id = 'r1'").first()
     assert summary["status"] == "ERROR" and not summary["passed"] and "no primary key" in summary["error"]
 
 
@@ -181,7 +209,7 @@ def test_gold_is_not_published_when_a_test_fails(spark):
 def test_missing_lifetime_value_is_only_reported(spark):
     meta = ", _cdc_op string, _cdc_ts timestamp, _ingested_at timestamp"
     spark.sql("CREATE DATABASE IF NOT EXISTS lonely")
-    customers = [(1, "a@x", "A", "c", None, None)]
+    customers = [(1, "a@x", "A", "c", None, dt.datetime(2024, 3, 1))]
     spark.createDataFrame(customers, "customer_id bigint, email string, name string" + meta).write.saveAsTable("lonely.customers")
     orders = "order_id bigint, customer_id bigint, status string, amount double" + meta
     spark.createDataFrame([], orders).write.saveAsTable("lonely.orders")
@@ -204,3 +232,61 @@ def test_contract_folder(spark, tmp_path):
     assert contracts["orders"].keys == [] and contracts["orders"].not_null == ["id"]
     with pytest.raises(FileNotFoundError):
         load_contract(spark, str(tmp_path), "absent")
+
+
+BROKEN = {
+    "unknown_rule.yaml": "name: unknown_rule\nschema: {fields: [{name: id, type: long, primaryKey: true}]}\nquality: [{type: rowCount}]",
+    "misspelt.yaml": "name: misspelt\nschema: {fields: [{name: s}]}\nquality: [{type: not_null, column: s}]",
+    "other.yaml": "name: other\nschema: [{name: orders, fields: [{name: id}]}]",
+    "nameless.yaml": "name: nameless\nschema: {fields: [{type: long}]}",
+    "empty.yaml": "name: empty",
+    "text.yaml": "just text",
+    "bad_yaml.yaml": "name: [",
+}
+
+
+def test_a_broken_contract_holds_back_its_own_table_only(spark, tmp_path):
+    folder = tmp_path / "contracts"
+    folder.mkdir()
+    (folder / "items.yaml").write_text(to_text(ITEMS))
+    for name, text in BROKEN.items():
+        (folder / name).write_text(text)
+    contracts = load_contracts(spark, str(folder))
+    assert {t for t, c in contracts.items() if isinstance(c, BrokenContract)} == {n.removesuffix(".yaml") for n in BROKEN}
+    assert load_contract(spark, str(folder), "items") == ITEMS
+    with pytest.raises(ContractError):
+        load_contract(spark, str(folder), "misspelt")
+    store, source = BronzeFiles(str(tmp_path / "b")), tmp_path / "in"
+    land(source, "1.json", [good(1)])
+    land(source, "2.json", [good(1), None], topic="cdc.public.misspelt")
+    run(spark, source, store, tmp_path / "cp", ContractFolder(spark, str(folder)))
+    assert store.read(spark, "items").count() == 1
+    held = store.read(spark, "misspelt", "invalid").collect()
+    assert len(held) == 1 and "not_null" in held[0]["_validation_error"]
+    day = store.read(spark, "items").select(F.to_date("_ingested_at").cast("string")).first()[0]
+    outcomes = silver_job.merge_all(spark, store, contracts, day, options=SilverOptions(database="isolated"))
+    assert {o.table: o.status for o in outcomes} == {"items": "merged", **{t: "failed" for t in contracts if t != "items"}}
+
+
+def test_contracts_are_read_again_when_the_folder_changes(spark, tmp_path):
+    (tmp_path / "items.yaml").write_text(to_text(ITEMS))
+    folder = ContractFolder(spark, str(tmp_path))
+    first = folder()
+    assert folder() is first
+    (tmp_path / "more.yaml").write_text(to_text(Contract("more", (Field("id", "long", True, True),))))
+    assert set(folder()) == {"items", "more"}
+
+
+def test_gold_waits_for_sound_silver_tables(spark):
+    meta = ", _cdc_op string, _cdc_ts timestamp, _ingested_at timestamp"
+    at = dt.datetime(2024, 3, 1)
+    spark.sql("CREATE DATABASE IF NOT EXISTS unsound")
+    customers = [(1, "a@x", "A", "c", at, at), (1, "b@x", "B", "c", at, at)]
+    spark.createDataFrame(customers, "customer_id bigint, email string, name string" + meta).write.saveAsTable("unsound.customers")
+    orders = [(1, 1, "pending", 1.0, "c", at, at), (1, None, None, None, "d", at, at)]  # a deleted key is no duplicate
+    spark.createDataFrame(orders, "order_id bigint, customer_id bigint, status string, amount double" + meta).write.saveAsTable("unsound.orders")
+    with pytest.raises(gold_job.ChecksFailed, match="unsound.customers"):
+        gold_job.refresh_gold(spark, "unsound", "unsound_gold")
+    assert not spark.catalog.databaseExists("unsound_gold")
+    found = gold_job.silver_violations(spark, "unsound")
+    assert found["orders"] == [] and [(r["check_name"], r["column_name"]) for r in found["customers"]] == [("unique", "customer_id")]

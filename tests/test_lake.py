@@ -65,6 +65,47 @@ def test_a_repeated_batch_may_judge_differently(spark, store):
     assert offsets(store, spark) == [0] and offsets(store, spark, "invalid") == [1]
 
 
+def test_batches_of_several_streams_stay(spark, store):
+    store.write(batch(spark, [good(1), good(2), good(3)]), 0, "first")
+    store.write(batch(spark, [good(1), good(2)]), 0, "second")
+    store.write(batch(spark, [good(1)], at="2024-03-08 10:00:00"), 0, "third")  # a new checkpoint, a week later
+    assert offsets(store, spark) == [0, 0, 0, 1, 1, 2]
+    store.write(batch(spark, [good(1)]), 0, "first")  # repeated, with another outcome
+    assert offsets(store, spark, day="2024-03-01") == ([0, 0, 1])
+
+
+def test_a_closed_day_is_folded_into_few_files(spark, tmp_path):
+    store = lake.BronzeFiles(str(tmp_path / "bronze"))
+    for i in range(5):
+        store.write(batch(spark, [good(1), "{broken"]).unionByName(batch(spark, [good(1)], topic="cdc.public.other")), i, "s")
+    store.write(batch(spark, [good(1)], at="2024-03-02 10:00:00"), 5, "s")
+    before = {s: offsets(store, spark, s) for s in ("valid", "invalid")}
+    assert store.compact_day(spark, "2024-03-01") == 5 and store.compact_day(spark, "2024-02-01") == 0
+    assert {s: offsets(store, spark, s) for s in ("valid", "invalid")} == before
+    assert offsets(store, spark, table="other") == [0] * 5
+    assert len(list((tmp_path / "bronze").glob("_ingest_date=2024-03-01/*/*/_status=valid/_table=items/*.parquet"))) == 1
+    store.write(batch(spark, [good(1), "{broken"]), 3, "s")  # the stream repeats a folded batch
+    assert {s: offsets(store, spark, s) for s in ("valid", "invalid")} == before
+    store.write(batch(spark, [good(7)]), 9, "s")  # a late batch, folded by the next run
+    assert store.compact_day(spark, "2024-03-01") == 7
+    assert offsets(store, spark, day="2024-03-01") == [0] * 6
+
+
+def test_folding_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
+    store = lake.BronzeFiles(str(tmp_path / "bronze"))
+    for i in range(3):
+        store.write(batch(spark, [good(1)]), i, "s")
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+
+        def crash(*_):
+            raise RuntimeError
+
+        patch.setattr(lake, "delete_folder", crash)  # after the batches are gone, before the rows are in place
+        store.compact_day(spark, "2024-03-01")
+    store.compact_day(spark, "2024-03-01")
+    assert offsets(store, spark) == [0, 0, 0]
+
+
 def test_tables_do_not_mix(spark, store):
     rows = batch(spark, [good(1)]).unionByName(batch(spark, [good(1), good(2)], topic="cdc.public.other"))
     store.write(rows, 0)
@@ -99,7 +140,7 @@ def test_silver_table_is_created_from_the_contract(spark):
     lake.create_silver(spark, "created.items", ITEMS)
     lake.create_silver(spark, "created.items", ITEMS)
     table = spark.table("created.items")
-    assert table.columns == ["id", "name", "price", "ok", "_cdc_op", "_cdc_ts", "_ingested_at"]
+    assert table.columns == ["id", "name", "price", "ok", "_cdc_op", "_cdc_ts", "_ingested_at", "_lsn", "_offset", "_partition"]
     assert dict(table.dtypes)["price"] == "double" and table.isEmpty()
     with pytest.raises(ContractError):
         lake.create_silver(spark, "created.keyless", Contract("keyless", (Field("a"),)))
@@ -136,7 +177,7 @@ def test_bucketed_version_is_joined_without_a_shuffle_of_it(spark, tmp_path):
 
     name = "bucketed.items"
     schema = lake.silver_schema(ITEMS)
-    stored = spark.createDataFrame([(i, f"n{i}", 1.0, True, "c", None, None) for i in range(50)], schema)
+    stored = spark.createDataFrame([(i, f"n{i}", 1.0, True, "c", None, None, None, None, None) for i in range(50)], schema)
     lake.publish_version(spark, name, lake.write_version(spark, stored, name, ["id"], buckets=4))
     path = str(tmp_path / "batch")
     stored.filter("id < 30").write.parquet(path)

@@ -74,6 +74,11 @@ def _no_row(row: Column, df: DataFrame) -> Column:
     return F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
 
 
+def topic(table: str, column: Column) -> Column:
+    """The topic as data that depends on a row, as in a stream: a literal would turn joins by topic into filters."""
+    return F.concat(F.lit(topic_of(table)), F.substring(F.coalesce(column.cast("string"), F.lit("")), 1, 0))
+
+
 def millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
@@ -91,7 +96,7 @@ def customer_changes(customer: DataFrame) -> DataFrame:
     row = F.struct("customer_id", "email", "name")
     at = F.lit(CUSTOMERS_AT).cast("timestamp")
     return rows.select(
-        F.lit(topic_of("customers")).alias("topic"),
+        topic("customers", F.col("customer_id")).alias("topic"),
         (F.col("customer_id") % 3).cast("int").alias("partition"),
         F.col("customer_id").alias("offset"),
         at.alias("timestamp"),
@@ -137,7 +142,7 @@ def order_changes(orders: DataFrame) -> DataFrame:
         .otherwise(record("d", as_is, none_as_is))
     )
     return rows.select(
-        F.lit(topic_of("orders")).alias("topic"),
+        topic("orders", key).alias("topic"),
         (key % 3).cast("int").alias("partition"),
         (key * 3 + step).alias("offset"),
         F.col("at").alias("timestamp"),
@@ -173,7 +178,7 @@ def event_changes(events: DataFrame) -> DataFrame:
         .otherwise(bare)
     )
     return events.select(
-        F.lit(topic_of("events")).alias("topic"),
+        topic("events", F.col("event_id")).alias("topic"),
         (F.col("event_id") % 3).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
         F.col("ts").cast("timestamp").alias("timestamp"),
@@ -187,6 +192,68 @@ def all_changes(load: Callable[[str], DataFrame]) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+TYPED = Contract(
+    "typed",
+    (
+        Field("id", "long", True, True),
+        Field("i", "integer"),
+        Field("f", "float"),
+        Field("d", "double"),
+        Field("n", "number"),
+        Field("b", "boolean"),
+        Field("s", "string"),
+        Field("t", "text"),
+        Field("created_at", "timestamp"),
+        Field("day", "date"),
+        Field("o", "object"),
+        Field("x", "bytes"),
+    ),
+)
+
+
+def typed_changes(orders: DataFrame) -> DataFrame:
+    """A record per order with a field of every contract type; key % 13 names the field that is wrong, 0 and 12 none."""
+    key = F.col("o_orderkey")
+    wrong = lambda n: key % 13 == n
+
+    def text(n: int, bad: str, good: Column) -> Column:
+        return F.when(wrong(n), F.lit(bad)).otherwise(good.cast("string"))
+
+    nested = F.to_json(F.struct(key.alias("a")))
+    micros = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    fields = {
+        "id": key.cast("string"),
+        "i": text(1, '"1.5"', key),
+        "f": text(2, '"x"', F.lit(1.5)),
+        "d": text(3, '"1,5"', F.lit(2.5)),
+        "n": text(4, '"much"', F.col("o_totalprice").cast("decimal(18,2)")),
+        "b": text(5, '"t"', F.lit(True)),
+        "s": text(6, '{"a": 1}', F.lit('"[text"')),
+        "t": text(7, "[1]", F.lit('"text"')),
+        "created_at": text(8, '"soon"', micros),
+        "day": text(9, '"not a date"', F.concat(F.lit('"'), F.col("o_orderdate").cast("date"), F.lit('"'))),
+        "o": text(10, '"not an object"', nested),
+        "x": text(11, '"?"', F.lit('"YWJj"')),
+    }
+    body = F.concat_ws(", ", *[F.concat(F.lit(f'"{name}": '), value) for name, value in fields.items()])
+    at = F.col("o_orderdate").cast("timestamp")
+    head = F.concat(F.lit('{"op": "c", "ts_ms": '), F.unix_millis(at).cast("string"), F.lit(', "after": {'))
+    return orders.select(
+        topic("typed", key).alias("topic"),
+        (key % 3).cast("int").alias("partition"),
+        key.alias("offset"),
+        at.alias("timestamp"),
+        F.concat(head, body, F.lit("}}")).alias("value"),
+    )
+
+
+def event_type_changes(events: DataFrame) -> DataFrame:
+    """The event records with a topic for each event type."""
+    changes = event_changes(events).drop("topic")
+    named = events.select(F.col("event_id").alias("offset"), F.concat(F.lit("cdc.public."), "event_type").alias("topic"))
+    return changes.join(named, "offset")
+
+
 def old_customers(customer: DataFrame) -> DataFrame:
     """An earlier snapshot: the machinery segment had not signed up yet."""
     return customers(customer.filter(F.col("c_mktsegment") != "MACHINERY"))

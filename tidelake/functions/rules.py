@@ -1,64 +1,85 @@
 """Contracts compiled into rules: one error text per record, empty for a valid one.
 
-The rules are data, not code: a record meets the rules of its table through a broadcast of the contracts,
-and one expression of fixed size checks them. An expression with a branch per table grows with the
-number of contracts until the JVM refuses to compile it.
+The rules are data, not code: a record meets the rules of its table through a join with the rules of all
+contracts, and one expression of fixed size checks them. An expression with a branch per table grows
+with the number of contracts until the JVM refuses to compile it.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.functions.contracts import Contract
+from tidelake.functions.contracts import BrokenContract, Contract
 from tidelake.functions.types import spark_type
 
 POLICIES = ("pass", "fail")
 
-# Types whose text is checked by a cast; every text is a good string.
-_CHECKED_TYPES = ("bigint", "int", "double", "float", "boolean")
-
-# A rule takes well below 200 bytes, so this many stay below 10 MB when broadcast.
-_MAX_BROADCAST_RULES = 50_000
+# Types whose text is checked by a cast.
+_CAST_TYPES = ("bigint", "int", "double", "float", "date")
+# Contract types whose text has a form of its own, whatever Spark type stores it.
+_FORMS = ("date", "object", "bytes")
 
 RULES = "_rules"
-_RULES_TYPE = "array<struct<name:string,kind:string,required:boolean,is_key:boolean>>"
+_RULES_TYPE = "array<struct<position:int,name:string,kind:string,required:boolean,is_key:boolean>>"
+_BROKEN = "broken contract"
 
 
-def _rules(contract: Contract) -> list[dict]:
+def _rules(contract: Contract | BrokenContract) -> list[tuple]:
+    """(name, kind, required, is_key) of every rule; a broken contract has one that nothing passes."""
+    if isinstance(contract, BrokenContract):
+        return [(contract.reason, _BROKEN, True, True)]
     not_null = contract.not_null
     known = {f.name for f in contract.fields}
     rules = [
-        {
-            "name": f.name,
-            "kind": spark_type(f.type).simpleString(),
-            "required": f.name in not_null or f.primary_key,
-            "is_key": f.primary_key,
-        }
+        (
+            f.name,
+            f.type if f.type in _FORMS else spark_type(f.type).simpleString(),
+            f.name in not_null or f.primary_key,
+            f.primary_key,
+        )
         for f in contract.fields
     ]
-    extra = [name for name in not_null if name not in known]
-    return rules + [{"name": n, "kind": "string", "required": True, "is_key": False} for n in extra]
+    return rules + [(name, "any", True, False) for name in not_null if name not in known]
+
 
+def rules_frame(spark: SparkSession, contracts: Mapping[str, Contract | BrokenContract]) -> DataFrame:
+    """The rules of all contracts, one row per table.
 
-def rules_frame(spark: SparkSession, contracts: Mapping[str, Contract]) -> DataFrame:
-    """The rules of all contracts, one row per table. They travel in the plan as one JSON literal."""
-    tables = [{"_table": table, RULES: _rules(contract)} for table, contract in sorted(contracts.items())]
-    schema = f"array<struct<_table:string,{RULES}:{_RULES_TYPE}>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(tables)), schema)))
+    They start as one local row per rule, so Spark's estimate of their size grows with them, and its own
+    limit decides whether they are broadcast.
+    """
+    rows = [
+        (table, position, *rule)
+        for table, contract in sorted(contracts.items())
+        for position, rule in enumerate(_rules(contract))
+    ]
+    names = ["_table", "position", "name", "kind", "required", "is_key"]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), types, strict=True)]
+    frame = spark.createDataFrame(pa.table(columns, names))
+    return frame.groupBy("_table").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias(RULES))
 
 
-def with_rules(df: DataFrame, contracts: Mapping[str, Contract]) -> DataFrame:
+def with_rules(df: DataFrame, contracts: Mapping[str, Contract | BrokenContract]) -> DataFrame:
     """Adds `_rules`, the rules of the record's `_table`; null where there is no contract."""
     if not contracts:
         return df.withColumn(RULES, F.lit(None).cast(_RULES_TYPE))
-    rules = rules_frame(df.sparkSession, contracts)
-    if sum(len(_rules(c)) for c in contracts.values()) <= _MAX_BROADCAST_RULES:
-        rules = F.broadcast(rules)
-    return df.join(rules, "_table", "left")
+    return df.join(rules_frame(df.sparkSession, contracts), "_table", "left")
+
+
+def _mistyped(kind: Column, text: Column) -> Column:
+    """Whether a text is no value of its contract type. A text that is a JSON object or array is no scalar."""
+    nested = F.substring(F.ltrim(text), 1, 1).isin("{", "[") & F.try_parse_json(text).isNotNull()
+    wrong = F.when(kind == "object", ~nested).when(nested, True).when(kind.isin("string", "any"), False)
+    for name in _CAST_TYPES:
+        wrong = wrong.when(kind == name, text.try_cast(name).isNull())
+    wrong = wrong.when(kind == "boolean", ~F.lower(text).isin("true", "false"))
+    base64 = text.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(text) % 4 == 0)
+    return wrong.when(kind == "bytes", ~base64).otherwise(False)
 
 
 def row_errors(rules: Column, image: Column, op: Column) -> Column:
@@ -66,13 +87,10 @@ def row_errors(rules: Column, image: Column, op: Column) -> Column:
 
     def broken(rule: Column) -> Column:
         text = image[rule["name"]]
-        mistyped = F.when(rule["kind"] == "string", F.lit(False))
-        for kind in _CHECKED_TYPES:
-            mistyped = mistyped.when(rule["kind"] == kind, text.try_cast(kind).isNull())
         return (
             F.when((op == "d") & ~rule["is_key"], F.lit(None).cast("string"))
             .when(text.isNull(), F.when(rule["required"], F.concat(rule["name"], F.lit(": required"))))
-            .when(mistyped, F.concat(rule["name"], F.lit(": type")))
+            .when(_mistyped(rule["kind"], text), F.concat(rule["name"], F.lit(": type")))
         )
 
     return F.array_join(F.transform(rules, broken), "; ")
@@ -94,6 +112,7 @@ def error_column(
     return (
         F.when(tombstone, F.lit(""))
         .when(rules.isNull(), unknown)
+        .when(rules[0]["kind"] == _BROKEN, rules[0]["name"])
         .when(defect.isNotNull(), defect)
         .otherwise(row_errors(rules, image, op))
     )

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.functions.contracts import Contract
+from tidelake.functions.contracts import BrokenContract, Contract
 from tidelake.functions.envelope import MAP_IMAGE, event_time, is_tombstone, parse_records, table_of
 from tidelake.functions.rules import RULES, error_column, with_rules
 
@@ -49,7 +49,7 @@ def read_changes(df: DataFrame) -> DataFrame:
 
 def to_bronze(
     changes: DataFrame,
-    contracts: Mapping[str, Contract],
+    contracts: Mapping[str, Contract | BrokenContract],
     on_missing_contract: str = "pass",
     ingested_at: Column | str | None = None,
 ) -> DataFrame:
@@ -57,7 +57,8 @@ def to_bronze(
 
     `ingested_at` is a column or a fixed time; the default is the time of the query.
 
-    No shuffle and one JSON parse per record, whatever the number of tables.
+    One JSON parse per record and no shuffle of the records while Spark broadcasts the rules, whatever the
+    number of tables. Records of a table whose contract is broken are quarantined with the reason.
     """
     if isinstance(ingested_at, str):
         ingested_at = F.lit(ingested_at)

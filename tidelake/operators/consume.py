@@ -15,8 +15,10 @@ def op_counts(bronze: DataFrame) -> DataFrame:
     return bronze.groupBy("_cdc_op").agg(F.count("*").alias("total"))
 
 
-def distinct_ops(bronze: DataFrame, limit: int = 10) -> DataFrame:
-    return bronze.select("_cdc_op").distinct().orderBy("_cdc_op").limit(limit)
+def distinct_ops(bronze: DataFrame, limit: int | None = None) -> DataFrame:
+    """All operations; with `limit`, the first so many."""
+    ops = bronze.select("_cdc_op").distinct().orderBy("_cdc_op")
+    return ops if limit is None else ops.limit(limit)
 
 
 def latest_changes(bronze: DataFrame, path: str, name: str, limit: int = 10, *ties: Column) -> DataFrame:
@@ -57,8 +59,9 @@ def recent_summary(orders_summary: DataFrame, limit: int = 20) -> DataFrame:
     ).limit(limit)
 
 
-def preview(df: DataFrame, limit: int = 10) -> DataFrame:
-    return df.limit(limit)
+def preview(df: DataFrame, limit: int = 10, *order: Column | str) -> DataFrame:
+    """A few rows: the first in an order, or without one whichever come first."""
+    return (df.orderBy(*order) if order else df).limit(limit)
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelake.operators.silver import live_rows
 
+# The statuses of an order.
 STATUSES = ("pending", "processing", "shipped", "delivered", "cancelled")
 
 

@@ -18,9 +18,7 @@ PROFILE_SCHEMA = (
 RULES_SCHEMA = "section string, position int, name string, type string, required boolean, primary_key boolean"
 
 _KEY_TYPES = (T.IntegralType, T.StringType)
-# A unique column's estimate is off by 2% (one standard deviation); 0.85 leaves seven of them.
 _ESTIMATE_ERROR = 0.02
-_CANDIDATE_SHARE = 0.85
 
 
 def profile_columns(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -28,7 +26,8 @@ def profile_columns(df: DataFrame, keys: Sequence[str] | None = None) -> DataFra
 
     Spark tables declare no keys, so the key is measured: the first integer or text column without
     nulls whose values are all different, or the `keys` given if they hold up. One pass collects null
-    counts and distinct estimates (a single row); only a column that looks unique is grouped exactly.
+    counts and distinct estimates (a single row). Candidates are checked exactly, in the order of the
+    columns; the estimates only put those aside for last that look far from unique.
     """
     names = df.columns
     candidates = [f.name for f in df.schema.fields if isinstance(f.dataType, _KEY_TYPES)]
@@ -45,8 +44,10 @@ def profile_columns(df: DataFrame, keys: Sequence[str] | None = None) -> DataFra
     if keys:
         primary = set(keys) if holds(list(keys)) else set()
     else:
-        likely = [n for n in candidates if stats[f"distinct_{n}"] >= _CANDIDATE_SHARE * stats["rows"]]
-        primary = set(next(([n] for n in likely if stats["rows"] and holds([n])), []))
+        filled = [n for n in candidates if not nullable[n] and stats["rows"]]
+        # By halves: columns that look alike in this keep their order.
+        looks = sorted(filled, key=lambda n: -round(2 * stats[f"distinct_{n}"] / stats["rows"]))
+        primary = set(next(([n] for n in looks if holds([n])), []))
     rows = [
         (f.name, f.dataType.simpleString(), nullable[f.name], f.name in primary, i)
         for i, f in enumerate(df.schema.fields, start=1)

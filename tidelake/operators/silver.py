@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.contracts import Contract
 from tidelake.functions.envelope import parse_records
 
-META_COLUMNS = ("_cdc_op", "_cdc_ts", "_ingested_at")
+META_COLUMNS = ("_cdc_op", "_cdc_ts", "_ingested_at", "_lsn", "_offset", "_partition")
 ORDER_COLUMNS = ("_cdc_ts", "_lsn", "_offset", "_partition")
 TIMESTAMP_MODES = ("long", "timestamp")
 
@@ -43,7 +43,7 @@ def parse_envelope(bronze: DataFrame, contract: Contract, timestamps: str = "lon
 
     rows = parsed.select(
         *fields,
-        *META_COLUMNS,
+        *META_COLUMNS[:3],
         F.col("_lsn").try_cast("bigint").alias("_lsn"),
         optional("_offset", "bigint"),
         optional("_partition", "int"),
@@ -78,11 +78,16 @@ def dedup_changes(df: DataFrame, contract: Contract) -> DataFrame:
     return latest_per_key(df, contract.require_keys()).select(*silver_columns(contract))
 
 
-def _wins(guard: bool, source: str, target: str) -> Column:
-    """Whether the incoming row may replace the stored one."""
-    if not guard:
-        return F.lit(True)
-    return F.col(f"{source}._cdc_ts") >= F.col(f"{target}._cdc_ts")
+def newer(source: str, target: str, columns: Sequence[str], keys: Sequence[str]) -> Column:
+    """Whether the incoming row stands at or after the stored one in the order that dedup uses.
+
+    Time, then log position, offset and partition, then every other column: one struct each, in which nulls
+    come lowest. So it does not matter in which order runs see two changes of a key.
+    """
+    leading = [c for c in ORDER_COLUMNS if c in columns]
+    order = leading + [c for c in columns if c not in leading and c not in keys]
+    place = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in order])
+    return place(source) >= place(target)
 
 
 def merge_frames(
@@ -95,13 +100,13 @@ def merge_frames(
     """The target after merging deduplicated changes: one full outer join on the key.
 
     Matched deletes remove the row, other matches replace it, unmatched non-deletes are inserted.
-    `guard` keeps a stored row that is newer than the change. `tombstones` keeps deleted keys as rows
+    `guard` keeps a stored row that is newer than the change, by the order of `newest_first`. `tombstones` keeps deleted keys as rows
     with `_cdc_op = 'd'`, so an older change arriving in a later run cannot bring a key back.
     """
     columns = target.columns
     old = target.select(*keys, F.struct(*columns).alias("_old"))
     new = source.select(*keys, F.struct(*columns).alias("_new"))
-    return _resolve(old.join(new, list(keys), "full_outer"), columns, guard, tombstones)
+    return _resolve(old.join(new, list(keys), "full_outer"), columns, keys, guard, tombstones)
 
 
 def merge_small_batch(
@@ -120,7 +125,7 @@ def merge_small_batch(
     keys = list(keys)
     old = target.select(*keys, F.struct(*columns).alias("_old"))
     new = source.select(*keys, F.struct(*columns).alias("_new"))
-    kept = _resolve(old.join(new, keys, "left"), columns, guard, tombstones)
+    kept = _resolve(old.join(new, keys, "left"), columns, keys, guard, tombstones)
     stored = target.select(*keys).join(source.select(*keys), keys, "left_semi")
     added = source.join(stored, keys, "left_anti").select(*columns)
     if not tombstones:
@@ -128,8 +133,11 @@ def merge_small_batch(
     return kept.unionByName(added)
 
 
-def _resolve(joined: DataFrame, columns: Sequence[str], guard: bool, tombstones: bool) -> DataFrame:
-    replace = F.col("_new").isNotNull() & (F.col("_old").isNull() | _wins(guard, "_new", "_old"))
+def _resolve(
+    joined: DataFrame, columns: Sequence[str], keys: Sequence[str], guard: bool, tombstones: bool
+) -> DataFrame:
+    wins = newer("_new", "_old", columns, keys) if guard else F.lit(True)
+    replace = F.col("_new").isNotNull() & (F.col("_old").isNull() | wins)
     row = F.when(replace, F.col("_new")).otherwise(F.col("_old"))
     result = joined.select(F.when(replace, True).otherwise(False).alias("_replaced"), row.alias("_row"))
     if not tombstones:

@@ -10,11 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.functions.contracts import Contract, load_contracts
+from tidelake.functions.contracts import BrokenContract, Contract, ContractError, load_contract, load_contracts
 from tidelake.operators.bronze import revalidate, valid_rows
 from tidelake.operators.report import RUN_LOG_SCHEMA
-from tidelake.operators.silver import dedup_changes, merge_frames, merge_small_batch, parse_envelope
-from tidelake.session import build_session, scratch_dir
+from tidelake.operators.silver import TIMESTAMP_MODES, dedup_changes, live_rows, merge_small_batch, parse_envelope
+from tidelake.session import build_session, delete_folder, scratch_dir
 from tidelake.sources.lake import (
     BronzeFiles,
     BronzeTables,
@@ -24,17 +24,19 @@ from tidelake.sources.lake import (
     silver_ddl,
     write_version,
 )
+from tidelake.streaming.bronze_stream import add_store_arguments, store_from
 
 
 @dataclass(frozen=True)
 class SilverOptions:
     database: str = "silver"
     guard: bool = True
-    tombstones: bool = False
+    tombstones: bool = True  # deleted keys stay as rows, so that no older change brings one back
     timestamps: str = "long"
     buckets: int | None = None
     row_level: bool = False  # merge in place on a catalog with row-level operations
     count: bool = False
+    keep_hours: float = 0.0  # how long readers may use an older version of a table
 
 
 @dataclass(frozen=True)
@@ -60,30 +62,22 @@ def day_changes(
     return valid_rows(revalidate(invalid, {contract.table: contract}))
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """What Spark itself assumes the frame's size is when it picks join strategies."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _broadcastable(spark: SparkSession, df: DataFrame) -> bool:
-    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return 0 <= _estimated_bytes(df) <= limit
-
-
 def merge_day(
     spark: SparkSession,
     store: BronzeFiles | BronzeTables,
-    contract: Contract,
+    contract: Contract | BrokenContract,
     day: str,
     reprocess_invalid: bool = False,
     options: SilverOptions = SilverOptions(),
 ) -> Outcome:
-    """Parse, deduplicate and merge one day of one table. Rerunning a day leaves silver as it is.
+    """Parse, deduplicate and merge one day of one table. Rerunning any day leaves silver as it is.
 
-    The deduplicated batch is written to the scratch folder first: it is read more than once, and its
-    size then decides, by Spark's own broadcast limit, whether the stored table has to be shuffled.
+    The deduplicated batch is written to the scratch folder first: it is read more than once, and Spark
+    then knows its size and decides how to join. The folder goes when the merge is done, or has failed.
     """
     start = time.monotonic()
+    if isinstance(contract, BrokenContract):
+        raise ContractError(contract.reason)
     keys = contract.require_keys()
     name = f"{options.database}.{contract.table}"
     bronze = day_changes(spark, store, contract, day, reprocess_invalid)
@@ -95,27 +89,34 @@ def merge_day(
         merge_into_table(changes, name, keys, options.guard, options.tombstones)
     else:
         staged_path = scratch_dir(spark, f"silver-{contract.table}")
-        changes.write.parquet(staged_path)
-        staged = spark.read.schema(changes.schema).parquet(staged_path)
-        create_silver(spark, name, contract, options.timestamps, options.buckets)
-        merge = merge_small_batch if _broadcastable(spark, staged) else merge_frames
-        merged = merge(spark.table(name), staged, keys, options.guard, options.tombstones)
-        version = write_version(spark, merged, name, keys, options.buckets, aligned=True)
-        publish_version(spark, name, version)
-    rows = spark.table(name).count() if options.count else None
+        try:
+            changes.write.parquet(staged_path)
+            staged = spark.read.schema(changes.schema).parquet(staged_path)
+            create_silver(spark, name, contract, options.timestamps, options.buckets)
+            merged = merge_small_batch(spark.table(name), staged, keys, options.guard, options.tombstones)
+            version = write_version(spark, merged, name, keys, options.buckets, aligned=True)
+        finally:
+            delete_folder(spark, staged_path)
+        publish_version(spark, name, version, keep_hours=options.keep_hours)
+    rows = live_rows(spark.table(name)).count() if options.count else None
     return Outcome(contract.table, "merged", time.monotonic() - start, rows)
 
 
 def merge_all(
     spark: SparkSession,
     store: BronzeFiles | BronzeTables,
-    contracts: Mapping[str, Contract],
+    contracts: Mapping[str, Contract | BrokenContract],
     day: str,
     reprocess_invalid: bool = False,
     options: SilverOptions = SilverOptions(),
     at_once: int = 4,
+    log: str | None = None,
+    run_id: str | None = None,
 ) -> list[Outcome]:
-    """Every table that has a contract, a few at a time; a table that fails does not stop the others."""
+    """Every table that has a contract, a few at a time; a table that fails does not stop the others.
+
+    With `log`, the outcomes are appended to the run log in that folder.
+    """
 
     def one(table: str) -> Outcome:
         start = time.monotonic()
@@ -125,43 +126,59 @@ def merge_all(
             return Outcome(table, "failed", time.monotonic() - start, error=f"{type(error).__name__}: {error}")
 
     with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
-        return list(pool.map(one, sorted(contracts)))
+        outcomes = list(pool.map(one, sorted(contracts)))
+    if log:
+        append_log(log, run_log(spark, run_id or f"silver-{day}", outcomes))
+    return outcomes
 
 
-def run_log(spark: SparkSession, run_id: str, outcomes: list[Outcome]) -> DataFrame:
+def run_log(spark: SparkSession, run_id: str, outcomes: list[Outcome], layer: str = "silver") -> DataFrame:
     """The outcomes as rows for the append-only run log that `report.run_report` reads."""
     rows = [
-        (run_id, o.table, i, f"silver:{o.table}", o.seconds, 0.0 if o.error else 1.0, o.error)
+        (run_id, o.table, i, f"{layer}:{o.table}", o.seconds, 0.0 if o.error else 1.0, o.error)
         for i, o in enumerate(outcomes)
     ]
     return spark.createDataFrame(rows, RUN_LOG_SCHEMA)
 
 
+def append_log(folder: str, rows: DataFrame) -> None:
+    rows.coalesce(1).write.mode("append").parquet(folder)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--table", help="one table; all tables with a contract if left out")
     parser.add_argument("--date", required=True, help="ingestion day, YYYY-MM-DD")
     parser.add_argument("--contracts", required=True, help="folder of contract files")
-    parser.add_argument("--bronze", required=True, help="folder of the bronze files")
+    add_store_arguments(parser)
     parser.add_argument("--database", default="silver")
     parser.add_argument("--reprocess-invalid", action="store_true")
-    parser.add_argument("--tombstones", action="store_true")
+    parser.add_argument("--hard-delete", action="store_true", help="drop deleted keys; older changes then bring them back")
+    parser.add_argument("--timestamps", choices=TIMESTAMP_MODES, default="long")
+    parser.add_argument("--keep-hours", type=float, default=0.0, help="how long readers may use an older version")
+    parser.add_argument("--log", help="folder of the run log")
+    parser.add_argument("--run-id")
     parser.add_argument("--row-level", action="store_true")
     parser.add_argument("--buckets", type=int)
     args = parser.parse_args(argv)
 
     spark = build_session("silver-merge")
-    contracts = load_contracts(spark, args.contracts)
-    if args.table:
-        contracts = {args.table: contracts[args.table]}
+    if args.table:  # no other table's file is read
+        contracts = {args.table: load_contract(spark, args.contracts, args.table)}
+    else:
+        contracts = load_contracts(spark, args.contracts)
     options = SilverOptions(
         database=args.database,
-        tombstones=args.tombstones,
+        tombstones=not args.hard_delete,
+        timestamps=args.timestamps,
+        keep_hours=args.keep_hours,
         row_level=args.row_level,
         buckets=args.buckets,
         count=True,
     )
-    outcomes = merge_all(spark, BronzeFiles(args.bronze), contracts, args.date, args.reprocess_invalid, options)
+    outcomes = merge_all(
+        spark, store_from(args), contracts, args.date, args.reprocess_invalid, options, log=args.log, run_id=args.run_id
+    )
     for outcome in outcomes:
         print(outcome)
     if any(o.error for o in outcomes):

@@ -29,6 +29,17 @@ def build_session(app_name: str, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path, for the few calls Spark has no reader or writer for."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, folder = file_system(spark, path)
+    system.delete(folder, True)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for intermediate tables, below the folder named in spark.checkpoint.dir.
 

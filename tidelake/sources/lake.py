@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from tidelake.functions.contracts import Contract, check_table_name
 from tidelake.operators.bronze import INVALID_COLUMNS, VALID_COLUMNS, day_slice, is_valid
+from tidelake.operators.silver import META_COLUMNS, newer
+from tidelake.session import delete_folder, file_system
 
 BRONZE_TYPES = {
     "_raw_value": T.StringType(),
@@ -23,7 +25,7 @@ BRONZE_TYPES = {
     "_partition": T.IntegerType(),
     "_offset": T.LongType(),
 }
-_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+_FOLDED = ".folded"
 _STATUS_COLUMNS = {"valid": VALID_COLUMNS, "invalid": INVALID_COLUMNS}
 
 
@@ -33,24 +35,38 @@ def split_name(name: str) -> tuple[str, str]:
     return check_table_name(database), check_table_name(table)
 
 
+def batch_day(batch: DataFrame) -> str | None:
+    """The ingestion day of a micro-batch, from its first row; None if it is empty."""
+    first = batch.select(F.date_format("_ingested_at", "yyyy-MM-dd")).first()
+    return None if first is None else first[0]
+
+
 class BronzeFiles:
     """The bronze pairs of all tables as Parquet below one folder.
 
-    Layout: `_ingest_date=<day>/_batch_id=<n>/_status=<valid|invalid>/_table=<t>/`. A micro-batch is one
-    job that overwrites its own folder, whatever the number of tables, so a repeated batch replaces
-    itself, also when the contracts changed in between and records moved between valid and invalid.
-    A pair exists as soon as a record of its topic does; before that it reads as empty.
+    Layout: `_ingest_date=<day>/_stream_id=<id>/_batch_id=<n>/_status=<valid|invalid>/_table=<t>/`. The id
+    is the one Spark keeps in the stream's checkpoint, so batches of another stream, or of a new
+    checkpoint, never meet. A micro-batch is one job that overwrites its own folder, whatever the number of
+    tables, so a repeated batch replaces itself, also when the contracts changed in between and records
+    moved between valid and invalid. A pair exists as soon as a record of its topic does; before that it
+    reads as empty.
     """
 
     def __init__(self, root: str) -> None:
         self.root = root.rstrip("/")
 
-    def write(self, bronze: DataFrame, batch_id: int) -> None:
-        """Append one micro-batch. All its rows carry the same ingestion instant; empty is a no-op."""
-        first = bronze.select(F.date_format("_ingested_at", "yyyy-MM-dd")).first()
-        if first is None:
+    def _day(self, day: str) -> str:
+        return f"{self.root}/_ingest_date={day}"
+
+    def write(self, bronze: DataFrame, batch_id: int, stream_id: str = "batch", day: str | None = None) -> None:
+        """Append one micro-batch. All its rows carry the same ingestion instant; empty is a no-op.
+
+        `day`, where the caller knows it, saves a look at the parsed rows. A batch that `compact_day` has
+        folded is not written once more.
+        """
+        day = day or batch_day(bronze)
+        if day is None or f"{stream_id}/{batch_id}" in self._folded(bronze.sparkSession, day):
             return
-        day = first[0]
         same_day = F.date_format("_ingested_at", "yyyy-MM-dd") == day
         stamp = F.when(same_day, F.col("_ingested_at")).otherwise(
             F.raise_error(F.lit("a bronze batch must have one ingestion time"))
@@ -60,29 +76,77 @@ class BronzeFiles:
         )
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "_status", "_table"
-        ).parquet(f"{self.root}/_ingest_date={day}/_batch_id={batch_id}")
-
-    def read(self, spark: SparkSession, table: str = "*", status: str = "valid", day: str | None = None) -> DataFrame:
-        """`<table>_valid` or `<table>_invalid`, or of all tables; a `day` lists that day's folder only."""
-        if table != "*":
-            check_table_name(table)
-        columns = ["_table", *_STATUS_COLUMNS[status]] if table == "*" else list(_STATUS_COLUMNS[status])
-        schema = T.StructType(
+        ).parquet(f"{self._day(day)}/_stream_id={stream_id}/_batch_id={batch_id}")
+
+    def _folded(self, spark: SparkSession, day: str) -> set[str]:
+        """The batches of a day that are part of a compacted one; looked up only where there is such a list."""
+        system, path = file_system(spark, f"{self._day(day)}/{_FOLDED}")
+        if not system.exists(path):
+            return set()
+        return {row[0] for row in spark.read.text(f"{self._day(day)}/{_FOLDED}").collect()}  # a row per batch
+
+    def compact_day(self, spark: SparkSession, day: str, rows_per_file: int = 1_000_000) -> int:
+        """Fold the batches of a closed day into few files per table; returns the number of batches folded.
+
+        The rows are written aside, with the list of the batches they came from, then the batches go and the
+        rows take their place. A run that dies in between is finished by the next one. A hot table is
+        spread over as many files as its rows need.
+        """
+        folder = self._day(day)
+        system, path = file_system(spark, folder)
+        if not system.exists(path):
+            return 0
+        aside = f"{folder}/.compacting"
+        _, done = file_system(spark, f"{aside}/_SUCCESS")
+        schema = self._schema()
+        if not system.exists(done):
+            rows = spark.read.schema(schema).option("basePath", self.root).parquet(folder)
+            batches = rows.select(F.concat_ws("/", "_stream_id", F.col("_batch_id").cast("string")).alias("value"))
+            known = spark.createDataFrame([(b,) for b in self._folded(spark, day)], "value string")
+            spread = rows.drop("_ingest_date", "_stream_id", "_batch_id").repartition("_status", "_table")
+            batches.distinct().unionByName(known).distinct().coalesce(1).write.mode("overwrite").text(f"{folder}/.batches")
+            writer = spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+            writer.partitionBy("_status", "_table").parquet(aside)
+        new = spark.read.text(f"{folder}/.batches").count()
+        for child in system.listStatus(path):
+            if child.getPath().getName().startswith("_stream_id="):
+                system.delete(child.getPath(), True)
+        delete_folder(spark, f"{folder}/{_FOLDED}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_stream_id=compacted")
+        system.mkdirs(target)
+        for source, name in ((aside, "_stream_id=compacted/_batch_id=0"), (f"{folder}/.batches", _FOLDED)):
+            system.rename(file_system(spark, source)[1], file_system(spark, f"{folder}/{name}")[1])
+        return new
+
+    @staticmethod
+    def _schema() -> T.StructType:
+        return T.StructType(
             [T.StructField(n, t) for n, t in BRONZE_TYPES.items()]
             + [
                 T.StructField("_ingest_date", T.DateType()),
+                T.StructField("_stream_id", T.StringType()),
                 T.StructField("_batch_id", T.LongType()),
                 T.StructField("_status", T.StringType()),
                 T.StructField("_table", T.StringType()),
             ]
         )
-        path = f"{self.root}/_ingest_date={day or '*'}/_batch_id=*/_status={status}/_table={table}"
+
+    def read(self, spark: SparkSession, table: str = "*", status: str = "valid", day: str | None = None) -> DataFrame:
+        """`<table>_valid` or `<table>_invalid`, or of all tables; a `day` lists that day's folder only.
+
+        Spark lists the folders, on the executors where there are many, and prunes by status and table.
+        """
+        columns = ["_table", *_STATUS_COLUMNS[status]] if table == "*" else list(_STATUS_COLUMNS[status])
+        schema = self._schema()
         try:
-            frame = spark.read.schema(schema).option("basePath", self.root).parquet(path)
+            frame = spark.read.schema(schema).option("basePath", self.root).parquet(self.root if day is None else self._day(day))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             frame = spark.createDataFrame([], schema)
+        frame = frame.filter(F.col("_status") == status)
+        if table != "*":
+            frame = frame.filter(F.col("_table") == table)
         frame = frame.select(*columns)
         return frame if day is None else day_slice(frame, day)
 
@@ -91,19 +155,19 @@ def bronze_ddl(name: str, status: str, provider: str = "parquet") -> str:
     """DDL of one table of a bronze pair, partitioned by ingestion day.
 
     Iceberg takes the `days` transform. Parquet tables know no transforms and get a date column; they
-    also get the batch id as a partition, so that a repeated batch can be overwritten.
+    also get the stream's and the batch's id as partitions, so that a repeated batch can be replaced.
     """
     database, table = split_name(name)
     columns = ", ".join(f"`{c}` {BRONZE_TYPES[c].simpleString()}" for c in _STATUS_COLUMNS[status])
     if provider == "iceberg":
         return (
-            f"CREATE TABLE IF NOT EXISTS {database}.{table}_{status} ({columns}, `_batch_id` bigint) "
+            f"CREATE TABLE IF NOT EXISTS {database}.{table}_{status} ({columns}, `_stream_id` string, `_batch_id` bigint) "
             f"USING iceberg PARTITIONED BY (days(_ingested_at))"
         )
     return (
         f"CREATE TABLE IF NOT EXISTS {database}.{table}_{status} "
-        f"({columns}, `_ingest_date` date, `_batch_id` bigint) "
-        f"USING {provider} PARTITIONED BY (`_ingest_date`, `_batch_id`)"
+        f"({columns}, `_ingest_date` date, `_stream_id` string, `_batch_id` bigint) "
+        f"USING {provider} PARTITIONED BY (`_ingest_date`, `_stream_id`, `_batch_id`)"
     )
 
 
@@ -127,7 +191,8 @@ class BronzeTables:
             spark.sql(bronze_ddl(f"{self.database}.{table}", status, self.provider))
         self._created.add(table)
 
-    def write(self, bronze: DataFrame, batch_id: int) -> None:
+    def write(self, bronze: DataFrame, batch_id: int, stream_id: str = "batch", day: str | None = None) -> None:
+        """Append one micro-batch. Topics whose table name no catalog takes are an error: give them no contract here."""
         spark = bronze.sparkSession
         rows = bronze.persist()
         try:
@@ -136,32 +201,25 @@ class BronzeTables:
                 self.create(spark, table)
                 for status, columns in _STATUS_COLUMNS.items():
                     part = rows.filter((F.col("_table") == table) & (is_valid() if status == "valid" else ~is_valid()))
-                    self._append(part.select(*columns), f"{self.database}.{table}_{status}", batch_id)
+                    self._append(part.select(*columns), f"{self.database}.{table}_{status}", batch_id, stream_id)
         finally:
             rows.unpersist()
 
-    def _append(self, part: DataFrame, name: str, batch_id: int) -> None:
+    def _append(self, part: DataFrame, name: str, batch_id: int, stream_id: str) -> None:
+        rows = part.withColumn("_stream_id", F.lit(stream_id)).withColumn("_batch_id", F.lit(batch_id).cast("bigint"))
         if self.provider == "iceberg":  # not run here: needs a catalog with row-level operations
-            part.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).writeTo(name).overwrite(
-                F.col("_batch_id") == batch_id
-            )
+            rows.writeTo(name).overwrite((F.col("_stream_id") == stream_id) & (F.col("_batch_id") == batch_id))
             return
-        # Drop what an earlier attempt of this batch wrote, then write: a crash in between only means
-        # that the batch, not yet committed by the stream, is attempted once more.
+        # Drop what an earlier attempt of this stream's batch wrote, then append: a crash in between only
+        # means that the batch, not yet committed by the stream, is attempted once more.
         spark = part.sparkSession
-        for row in spark.sql(f"SHOW PARTITIONS {name} PARTITION (_batch_id={batch_id})").collect():
+        found = spark.sql(f"SHOW PARTITIONS {name} PARTITION (_stream_id='{stream_id}', _batch_id={batch_id})")
+        for row in found.collect():  # a row per day of one batch
             spec = ", ".join("{}='{}'".format(*p.split("=", 1)) for p in row[0].split("/"))
             spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
-        rows = part.withColumn("_ingest_date", F.to_date("_ingested_at")).withColumn(
-            "_batch_id", F.lit(batch_id).cast("bigint")
-        )
-        # insertInto only knows the session's overwrite mode; in the default one it would empty the table
-        mode = spark.conf.get(_OVERWRITE_MODE)
-        spark.conf.set(_OVERWRITE_MODE, "dynamic")
-        try:
-            rows.write.mode("overwrite").insertInto(name)
-        finally:
-            spark.conf.set(_OVERWRITE_MODE, mode)
+        columns = [c for c in rows.columns if not c.endswith("_id")]
+        rows = rows.select(*columns, F.to_date("_ingested_at").alias("_ingest_date"), "_stream_id", "_batch_id")
+        rows.write.mode("append").insertInto(name)
 
     def read(self, spark: SparkSession, table: str, status: str = "valid", day: str | None = None) -> DataFrame:
         name = f"{self.database}.{check_table_name(table)}_{status}"
@@ -219,19 +277,28 @@ def write_version(
     return version
 
 
-def publish_version(spark: SparkSession, name: str, version: int, keep: int = 2) -> None:
+def publish_version(spark: SparkSession, name: str, version: int, keep: int = 2, keep_hours: float = 0.0) -> None:
     """Point the table's name at a version, in one catalog change, and drop versions no reader uses.
 
+    The last `keep` versions stay, and all that are younger than `keep_hours`: a query that started on an
+    older one must end within that time.
+
     Spark cannot overwrite a table it is reading from; a merge therefore writes the next version and
     switches. A crash before the switch leaves the published version as it was.
     """
     database, table = split_name(name)
     spark.sql(f"CREATE OR REPLACE VIEW {database}.{table} AS SELECT * FROM {database}.{table}__v{version}")
     for old in _versions(spark, database, table):
-        if old <= version - keep:
+        if old <= version - keep and _age_hours(spark, f"{database}.{table}__v{old}") >= keep_hours:
             spark.sql(f"DROP TABLE IF EXISTS {database}.{table}__v{old}")
 
 
+def _age_hours(spark: SparkSession, name: str) -> float:
+    files = spark.table(name).select(F.max("_metadata.file_modification_time").alias("at"))
+    age = files.select((F.unix_seconds(F.current_timestamp()) - F.unix_seconds("at")) / 3600).first()[0]
+    return float("inf") if age is None else age
+
+
 def read_version(spark: SparkSession, name: str, version: int) -> DataFrame:
     return spark.table(f"{name}__v{version}")
 
@@ -248,12 +315,13 @@ def create_silver(
 
 
 def silver_schema(contract: Contract, timestamps: str = "long") -> T.StructType:
-    """Contract fields, then `_cdc_op`, `_cdc_ts`, `_ingested_at`; all nullable."""
+    """Contract fields, then `_cdc_op`, `_cdc_ts`, `_ingested_at` and the log position; all nullable."""
     fields = []
     for declared, field in zip(contract.fields, contract.to_struct().fields):
         as_timestamp = declared.type == "timestamp" and timestamps == "timestamp"
         fields.append(T.StructField(field.name, T.TimestampType() if as_timestamp else field.dataType))
-    meta = [T.StructField(c, BRONZE_TYPES[c]) for c in ("_cdc_op", "_cdc_ts", "_ingested_at")]
+    types = {**BRONZE_TYPES, "_lsn": T.LongType()}
+    meta = [T.StructField(c, types[c]) for c in META_COLUMNS]
     return T.StructType(fields + meta)
 
 
@@ -278,16 +346,16 @@ def merge_into_table(
     same = F.lit(True)
     for key in keys:
         same = same & (F.col(f"{target}.{key}") == F.col(f"_changes.{key}"))
-    newer = F.col("_changes._cdc_ts") >= F.col(f"{target}._cdc_ts") if guard else F.lit(True)
+    wins = newer("_changes", target, source.columns, keys) if guard else F.lit(True)
     deleted = F.col("_changes._cdc_op") == "d"
     merge = source.alias("_changes").mergeInto(name, same)
     if tombstones:
-        merge.whenMatched(newer).updateAll().whenNotMatched().insertAll().merge()
+        merge.whenMatched(wins).updateAll().whenNotMatched().insertAll().merge()
         return
     (
-        merge.whenMatched(newer & deleted)
+        merge.whenMatched(wins & deleted)
         .delete()
-        .whenMatched(newer & ~deleted)
+        .whenMatched(wins & ~deleted)
         .updateAll()
         .whenNotMatched(~deleted)
         .insertAll()

@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelake.functions.contracts import Contract, load_contracts
+from tidelake.functions.contracts import BrokenContract, Contract, ContractFolder
 from tidelake.operators.bronze import to_bronze
 from tidelake.session import build_session
 from tidelake.sources import kafka
-from tidelake.sources.lake import BronzeFiles, BronzeTables
+from tidelake.sources.lake import BronzeFiles, BronzeTables, batch_day
+
+
+# The property in which Spark tells a batch the id that it keeps in the checkpoint.
+_STREAM_ID = "sql.streaming.queryId"
 
 
 def start_bronze(
     changes: DataFrame,
     store: BronzeFiles | BronzeTables,
     checkpoint: str,
-    contracts: Mapping[str, Contract] | Callable[[], Mapping[str, Contract]],
+    contracts: Mapping[str, Contract | BrokenContract] | Callable[[], Mapping[str, Contract | BrokenContract]],
     on_missing_contract: str = "pass",
     interval: str | None = "10 seconds",
     name: str | None = None,
@@ -28,14 +32,21 @@ def start_bronze(
     """Start the bronze stream; `interval=None` reads what is there and stops.
 
     The ingestion time is taken in the streaming plan: Spark keeps it in the checkpoint, so a repeated
-    batch gets the same time and overwrites itself. `contracts` may be a function that is called for
-    every batch, so that a new contract takes effect without a restart.
+    batch gets the same time and overwrites itself. Batches are stored under the id that the checkpoint
+    gives the stream. `contracts` may be a function that is called for every batch, so that a new
+    contract takes effect without a restart.
     """
     stamped = changes.withColumn("_ingested_at", F.current_timestamp())
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        day = batch_day(batch)  # before the records are parsed
+        if day is None:
+            return
         current = contracts() if callable(contracts) else contracts
-        store.write(to_bronze(batch, current, on_missing_contract, F.col("_ingested_at")), batch_id)
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty(_STREAM_ID)
+        if not stream_id:
+            raise RuntimeError("the stream's id is not known in this batch")
+        store.write(to_bronze(batch, current, on_missing_contract, F.col("_ingested_at")), batch_id, stream_id, day)
 
     writer = stamped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if name:
@@ -44,11 +55,25 @@ def start_bronze(
     return writer.start()
 
 
+def add_store_arguments(parser: argparse.ArgumentParser) -> None:
+    """Where bronze is: a folder of files, or pairs of catalog tables."""
+    store = parser.add_mutually_exclusive_group(required=True)
+    store.add_argument("--bronze", help="folder of the bronze files")
+    store.add_argument("--bronze-database", help="database of the bronze tables, in place of files")
+    parser.add_argument("--bronze-provider", default="parquet", help="table format of the bronze tables")
+
+
+def store_from(args: argparse.Namespace) -> BronzeFiles | BronzeTables:
+    if args.bronze:
+        return BronzeFiles(args.bronze)
+    return BronzeTables(args.bronze_database, args.bronze_provider)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--servers", required=True, help="Kafka bootstrap servers")
     parser.add_argument("--contracts", required=True, help="folder of contract files")
-    parser.add_argument("--bronze", required=True, help="folder of the bronze files")
+    add_store_arguments(parser)
     parser.add_argument("--checkpoint", required=True, help="folder of the stream's checkpoint")
     parser.add_argument("--pattern", default=kafka.TOPIC_PATTERN)
     parser.add_argument("--interval", default="10 seconds")
@@ -67,9 +92,9 @@ def main(argv: list[str] | None = None) -> None:
     )
     start_bronze(
         changes,
-        BronzeFiles(args.bronze),
+        store_from(args),
         args.checkpoint,
-        lambda: load_contracts(spark, args.contracts),
+        ContractFolder(spark, args.contracts),
         args.on_missing_contract,
         args.interval,
     ).awaitTermination()
