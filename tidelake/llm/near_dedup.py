@@ -6,9 +6,9 @@ known number of values, so each class need only be listed under its rarest value
 number. Values of one class alone make no lists, and common ones are left to classes that have hardly any others.
 
 In each list, classes are first compared with one of them, the hub: groups of near copies become stars and not all pairs.
-What is left are pairs of a list that no star has joined, without those that the hub rules out: Jaccard distance is a
-metric, so a class far from the hub can't be near to one that is near to it. Pairs pass if the estimate of the union's
-sketch allows it and the full sets confirm it.
+Pairs pass if the estimate of the union's sketch allows it and the full sets confirm it. What is left are classes of a list
+that no star has joined. They are compared with the others of the hub's component in blocks, by sketches and then by
+full sets, and only links that join components come out.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from tidelake.llm.components import components
 SKETCH = 64
 #: Estimates below this are not verified: at a likeness of 0.8, one in a hundred million is lower.
 ESTIMATE = 0.5
-#: A class whose estimate with a hub is below this is certainly not within twice the distance of a link.
-FAR = 0.35
+#: Members of a family that are compared at once: of those outside its component, and of all.
+OUTSIDE_BLOCK, ALL_BLOCK = 512, 2048
 
 
 # ---------------------------------------------------------------- sets and sketches
@@ -84,7 +84,10 @@ _SET = "doc_id long, n long, print binary, hashes array<long>"
 
 
 def _prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, rep, n): each class under its rarest retained values that others have as well."""
+    """(value, rep, n, own): each class under its rarest retained values that others have as well.
+
+    `own`: how many of its retained values no other class has.
+    """
     values = classes.select("rep", "n", F.explode("hashes").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     met = values.join(shared, "value")
@@ -93,7 +96,8 @@ def _prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
     of_class = Window.partitionBy("rep")
     ranked = met.withColumn("rank", F.row_number().over(of_class.orderBy("df", "value"))).withColumn("met", F.count("*").over(of_class))
     # Values that no other class has are rarer still and fill the prefix first.
-    return ranked.where(F.col("rank") <= F.col("met") - least + 1).select("value", "rep", "n")
+    ranked = ranked.where(F.col("rank") <= F.col("met") - least + 1)
+    return ranked.select("value", "rep", "n", (F.least(F.col("n"), F.lit(SKETCH)) - F.col("met")).alias("own"))
 
 
 def _alike_in_size(a: Column, b: Column, percent: int) -> Column:
@@ -111,14 +115,17 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.withColumn("estimate", F.size(both) / F.size("union")).drop("of_a", "of_b", "union")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike. Only documents that stand for a class of a pair are read into sets again."""
-    pairs = staged(pairs.select("a", "b").distinct(), "near-pairs")
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    needed = staged(ends.join(classes.select("rep", "print"), "rep"), "near-needed")
+def _full_sets(reps: DataFrame, classes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(rep, hashes): the full sets of the classes in `reps`, from the texts of the documents that stand for them."""
+    needed = staged(reps.join(classes.select("rep", "print"), "rep"), "near-needed")
     texts = documents.join(needed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(_set_rows(k, None), _SET).select(F.col("doc_id").alias("rep"), "print", "hashes")
-    sets = staged(sets.join(needed, ["rep", "print"], "left_semi").dropDuplicates(["rep", "print"]).select("rep", "hashes"), "near-sets")
+    return staged(sets.join(needed, ["rep", "print"], "left_semi").dropDuplicates(["rep", "print"]).select("rep", "hashes"), "near-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike."""
+    pairs = pairs.select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("hashes").alias(f"of_{side}")), side)
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -129,37 +136,137 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int
 def _links(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect all that are connected by any."""
     lists = staged(_prefix_lists(classes, percent), "near-lists")
-    hubs = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where(F.col("members") > 1)
-    listed = lists.join(hubs.select("value", "hub"), "value")
+    # The hub of a list has the fewest values of its own: of edited copies, the one closest to what they share.
+    hubs = lists.groupBy("value").agg(F.min(F.struct("own", "rep")).alias("hub"), F.count("*").alias("members"))
+    listed = lists.join(hubs.where(F.col("members") > 1).select("value", F.col("hub.rep").alias("hub")), "value")
+    listed = listed.where(F.col("rep") != F.col("hub"))
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
-    spokes = listed.where(F.col("rep") != F.col("hub")).select("rep", "hub", "n").distinct().join(sizes, "hub")
+    spokes = listed.select("rep", "hub", "n").distinct().join(sizes, "hub")
     spokes = spokes.select(F.col("rep").alias("a"), F.col("hub").alias("b"), _alike_in_size(F.col("n"), F.col("n_hub"), percent).alias("alike"))
     spokes = staged(_estimated(spokes, classes), "near-spokes")
-    first = _verified(spokes.where(F.col("alike") & (F.col("estimate") >= ESTIMATE)), classes, documents, k, percent)
-    joined = components(first)
-    # Of every list's members: how they stand to its hub, and their component so far.
-    near = first.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.lit(True).alias("near"))
-    far = spokes.select(F.col("a").alias("rep"), F.col("b").alias("hub"), (F.col("estimate") < FAR).alias("far"))
-    members = (
-        listed.where(F.col("rep") != F.col("hub"))
-        .join(near, ["rep", "hub"], "left")
-        .join(far, ["rep", "hub"])
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("value", "rep", "n", F.coalesce("near", F.lit(False)).alias("near"), "far", F.coalesce("component", "rep").alias("component"))
-    )
-    members = staged(members, "near-members")
-    one = members.where(~F.col("near")).select("value", *[F.col(c).alias(f"{c}_1") for c in ("rep", "n", "far", "component")])
-    two = members.select("value", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "near", "component")])
-    open_ = (
-        (F.col("component_1") != F.col("component_2"))
-        & ~(F.col("near_2") & F.col("far_1"))
-        & ((F.col("rep_1") > F.col("rep_2")) | F.col("near_2"))
-        & _alike_in_size(F.col("n_1"), F.col("n_2"), percent)
-    )
-    rest = one.join(two, "value").where(open_).select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b")).distinct()
-    rest = _estimated(rest, classes).where(F.col("estimate") >= ESTIMATE)
-    second = _verified(rest, classes, documents, k, percent)
-    return first.unionByName(second)
+    likely = spokes.where(F.col("alike") & (F.col("estimate") >= ESTIMATE)).select("a", "b")
+    ends = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
+    sets = _full_sets(ends, classes, documents, k)
+    first = _verified(likely, sets, percent)
+    families = _families(spokes, components(first))
+    # Families whose sketches show that two of different components might be alike, without those that can't be in it.
+    sketched = families.join(classes.select("rep", "hashes"), "rep")
+    open_ = staged(_in_cells(sketched, _Likely(percent), "family long, rep long, component long").distinct(), "near-open")
+    more = open_.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
+    sets = sets.unionByName(_full_sets(more, classes, documents, k))
+    confirmed = _in_cells(_counted(open_).join(sets, "rep"), _Alike(percent), "a long, b long")
+    return first.unionByName(staged(confirmed, "near-links"))
+
+
+# ---------------------------------------------------------------- families
+
+
+def _families(spokes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(family, rep, component, inside, outside): what is left to compare, as members of families.
+
+    A family is the component of a hub, and its members are all classes of lists with such a hub. Members of the same
+    component need no more links. Members outside it are compared with all others, in blocks.
+    """
+    part = lambda column: joined.select(F.col("node").alias(column), F.col("component").alias(f"part_{column}"))
+    pairs = spokes.select("a", "b").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    family, own = F.coalesce("part_b", "b").alias("family"), F.coalesce("part_a", "a").alias("component")
+    hubs = pairs.select(family, F.col("b").alias("rep"), F.coalesce("part_b", "b").alias("component"))
+    members = pairs.select(family, F.col("a").alias("rep"), own).unionByName(hubs).distinct()
+    return _counted(members)
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """With the numbers of members of each family in its component and outside, without families that are done.
+
+    A family of a hub and one more is done: the two have been compared.
+    """
+    outside = F.count(F.when(F.col("component") != F.col("family"), 1))
+    counts = members.groupBy("family").agg(F.count("*").alias("all"), outside.alias("outside"))
+    return members.join(counts.where((F.col("outside") > 0) & (F.col("all") > 2)), "family")
+
+
+def _in_cells(members: DataFrame, compare: Callable, schema: str) -> DataFrame:
+    """What `compare` finds between the members outside a family's component, in blocks, and all, in blocks."""
+    ours, theirs = (F.ceil(F.col(c) / size).cast("long") for c, size in (("outside", OUTSIDE_BLOCK), ("all", ALL_BLOCK)))
+    members = members.withColumns({"_ours": ours, "_theirs": theirs, "_asks": F.col("component") != F.col("family")})
+    block = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks))
+    cell = lambda a, b, asks, answers: F.struct(a.alias("i"), b.alias("j"), F.lit(asks).alias("asks"), F.lit(answers).alias("answers"))
+    every = lambda blocks: F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+    answering = F.transform(every("_ours"), lambda i: cell(i, block("_theirs"), False, True))
+    asking = F.when(F.col("_asks"), F.transform(every("_theirs"), lambda j: cell(block("_ours"), j, True, False)))
+    both = F.array(F.struct(block("_ours").alias("i"), block("_theirs").alias("j"), F.col("_asks").alias("asks"), F.lit(True).alias("answers")))
+    single = (F.col("_ours") == 1) & (F.col("_theirs") == 1)
+    cells = F.when(single, both).otherwise(F.concat(answering, F.coalesce(asking, F.array().cast(_CELLS))))
+    rows = members.select("family", "rep", "component", "hashes", F.explode(cells).alias("cell"))
+    rows = rows.select("family", "rep", "component", "hashes", "cell.*")
+    return rows.groupBy("family", "i", "j").applyInArrow(lambda cell: compare(cell), schema)  # it takes functions only
+
+
+_CELLS = "array<struct<i:bigint,j:bigint,asks:boolean,answers:boolean>>"
+
+
+class _Cell:
+    """The members of a cell, with the number of values that one shares with each."""
+
+    def __init__(self, cell: pa.Table) -> None:
+        lists = cell["hashes"].combine_chunks()
+        _, self.values = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+        self.starts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        self.sizes = np.diff(self.starts)
+        self.reps, self.components = np.asarray(cell["rep"]), np.asarray(cell["component"])
+        self.asks, self.answers = np.flatnonzero(np.asarray(cell["asks"])), np.asarray(cell["answers"])
+        self._mark = np.zeros(int(self.values.max(initial=-1)) + 1, bool)
+
+    def shared(self, i: int) -> np.ndarray:
+        own = self.values[self.starts[i] : self.starts[i + 1]]
+        self._mark[own] = True
+        sums = np.concatenate([[0], np.cumsum(self._mark[self.values])])
+        self._mark[own] = False
+        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+
+
+class _Likely:
+    """The members (family, rep, component) of a cell that, by their sketches, might be alike another of another component.
+
+    A share of the smaller sketch is at least the estimate's share of the union's, so none that passes that is left out.
+    """
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def __call__(self, table: pa.Table) -> pa.Table:
+        cell = _Cell(table)
+        found = np.zeros(len(cell.reps), bool)
+        for i in cell.asks:
+            might = cell.answers & (cell.components != cell.components[i])
+            might &= cell.shared(i) >= ESTIMATE * np.minimum(SKETCH, np.maximum(cell.sizes, cell.sizes[i]))
+            if might.any():
+                found |= might
+                found[i] = True
+        family = np.full(int(found.sum()), table["family"][0].as_py() if len(table) else 0)
+        return pa.table({"family": family, "rep": cell.reps[found], "component": cell.components[found]})
+
+
+class _Alike:
+    """Links (a, b) between members of a cell whose full sets are alike: those that join components not joined before."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def __call__(self, table: pa.Table) -> pa.Table:
+        cell = _Cell(table)
+        names, part = np.unique(cell.components, return_inverse=True)
+        part = part.copy()  # grows together as links are found
+        links = []
+        for i in cell.asks:
+            both = cell.shared(i)
+            alike = cell.answers & (both * 100 >= (cell.sizes + cell.sizes[i] - both) * self.percent)
+            for j in np.flatnonzero(alike & (part != part[i])):
+                if part[j] != part[i]:
+                    links.append((cell.reps[i], cell.reps[j]))
+                    part[part == part[j]] = part[i]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -172,10 +279,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     on full sets of 64-bit hashes.
     """
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    sets = staged(documents.mapInArrow(_set_rows(k, SKETCH), _SET), "near-sketches")
+    sketches = staged(documents.mapInArrow(_set_rows(k, SKETCH), _SET), "near-sketches")
+    sets = staged(sketches.select("doc_id", "n", "print"), "near-documents")
     live = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     lowest = live.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    chosen = live.join(lowest.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
+    chosen = sketches.join(lowest.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
     classes = chosen.dropDuplicates(["print", "doc_id"]).withColumnRenamed("doc_id", "rep")
     classes = staged(classes, "near-classes")
     groups = components(_links(classes, documents, k, percent)).withColumnRenamed("node", "rep")
