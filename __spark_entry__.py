@@ -841,7 +841,8 @@ def test_run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.Check("not_null", "lifetime_value"),
         checks.Check("unique", "total_orders"),
     ]
-    return checks.run_checks(_customers_orders(spark, sf_dir), declared)
+    written = _stored(spark, _customers_orders(spark, sf_dir), "customers-orders")  # as the job tests it: each check reads it
+    return checks.run_checks(written, declared)
 
 
 @query(
