@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ from tidelake.llm._common import SPACED_WORD, mixed, slices, span_hashes, words
 SEQUENCE = 1024
 #: Dimensions of the projection, and bits of each on the curve.
 DIMENSIONS, BITS = 3, 10
-#: Ranges of the curve for each shuffle partition; one document in so many is looked at to bound them.
-RANGES, SAMPLED = 4, 10
+#: One document in so many is looked at to bound the ranges of the curve.
+SAMPLED = 10
 #: Token ids of pieces of text that a Python worker keeps; more are encoded again.
 KEPT_PIECES = 500_000
 #: Id at the end of every document.
@@ -66,8 +67,11 @@ def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return index.astype(np.int64)
 
 
-def curve_keys(texts: pa.Array) -> np.ndarray:
-    """A key for each text: its place on the curve, then bits of a hash of its words, which parts texts at one place."""
+def curve_keys(texts: pa.Array, ids: pa.Array | None = None) -> np.ndarray:
+    """A key for each text: its place on the curve, then bits of a hash of its words, then bits of a hash of its id.
+
+    The last parts copies, of which there may be more than a range should hold.
+    """
     keys = [np.zeros(0, np.int64)]
     for _, _, data, offsets in slices(texts):
         starts, ends, first = words(data, offsets, SPACED_WORD)
@@ -80,9 +84,13 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
             mean = (sums[first[1:]] - sums[first[:-1]]) / n
             points[:, i] = np.clip((np.tanh(6 * mean) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)])
-        apart = mixed(total[first[1:]] - total[first[:-1]]) >> np.uint64(64 - 30)
-        keys.append(hilbert_index(points) << 30 | apart.astype(np.int64))
-    return np.concatenate(keys)
+        apart = mixed(total[first[1:]] - total[first[:-1]]) >> np.uint64(64 - 16)
+        keys.append(hilbert_index(points) << 32 | apart.astype(np.int64) << 16)
+    found = np.concatenate(keys)
+    if ids is not None and len(found):
+        own = np.asarray(pc.fill_null(ids, 0)).astype(np.uint64)
+        found |= (mixed(own + np.uint64(1)) >> np.uint64(64 - 16)).astype(np.int64)
+    return found
 
 
 # ---------------------------------------------------------------- token ids
@@ -149,14 +157,14 @@ def _encode_rows(ranks: str, pattern: str):
         for batch in batches:
             texts = batch.column("text")
             ids = pa.array([encode(t or "") + end for t in texts.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(texts)), ids], names=["doc_id", "key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(texts, batch.column("doc_id"))), ids], names=["doc_id", "key", "ids"])
 
     return rows
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch({"key": curve_keys(batch.column("text"))})
+        yield pa.record_batch({"key": curve_keys(batch.column("text"), batch.column("doc_id"))})
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -222,18 +230,18 @@ def pack(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """
     documents = documents.select("doc_id", "text")
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = RANGES * partitions
     # Where ranges end decides on the layout only, so a sample by hash will do; the texts are encoded once.
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(_key_rows, "key long")
-    bounds = sample.select(F.col("key").cast("double")).approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n))
-    bounds = np.array(sorted(set(bounds)))
+    shares = [i / partitions for i in range(1, partitions)]
+    found = sample.agg(F.percentile_approx("key", shares, max(10_000, 10 * partitions))).first()[0] if shares else None
+    bounds = np.array(sorted(set(found or [])), np.int64)
 
     def with_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _encode_rows(ranks, pattern)(batches):
-            found = np.searchsorted(bounds, np.asarray(batch.column("key")).astype(float), "right").astype(np.int32)
+            found = np.searchsorted(bounds, np.asarray(batch.column("key")), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "range"])
 
     encoded = documents.mapInArrow(with_range, "doc_id long, key long, ids binary, range int")
-    rows = encoded.repartition(partitions, "range").sortWithinPartitions("range", "key", "doc_id", "ids")
+    rows = encoded.repartitionById(partitions, "range").sortWithinPartitions("key", "doc_id", "ids")
     dtype = np.uint16 if max(_ranks(ranks).values()) < 1 << 16 else np.uint32
     return rows.mapInArrow(_pack(dtype), _PIECES)

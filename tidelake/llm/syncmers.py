@@ -25,8 +25,6 @@ K, S = 12, 4
 ANCHORS = 48
 #: Common anchors count if their offsets lie within so many bytes of the usual one.
 BAND = 64
-#: Ranges of documents for each shuffle partition.
-RANGES = 4
 
 
 def closed_syncmers(data: np.ndarray) -> np.ndarray:
@@ -107,13 +105,13 @@ def fingerprint(text: str | None) -> str:
 def in_ranges(documents: DataFrame) -> DataFrame:
     """(range, tail, doc_id, text) sorted by range: a range's documents by id, then with `tail` those that follow it.
 
-    Ranges are bounded by quantiles of the ids. The documents with the first id of a range are sent to the range before as
+    Ranges are bounded by quantiles of the ids, one for each shuffle partition. The documents with the first id of a range are sent to the range before as
     well; those of the first range, to the last. Null ids come first. What reaches the driver are ids, a few for each
     partition.
     """
     spark = documents.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = RANGES * partitions
+    n = partitions
     documents = documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     as_double = F.col("doc_id").cast("double")
     ids = documents.select("doc_id", as_double.alias("_id"))
@@ -140,7 +138,7 @@ def in_ranges(documents: DataFrame) -> DataFrame:
     is_first = F.col("doc_id").eqNullSafe(of_range(first, "long"))
     placed = ranged(documents.withColumn("_id", as_double)).withColumn("place", F.explode(F.when(is_first, F.array(own, ahead)).otherwise(F.array(own))))
     rows = placed.select("place.range", "place.tail", "doc_id", "text")
-    return rows.repartition(partitions, "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.repartitionById(partitions, "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def edited(text: str, following: str) -> str:
