@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import licenses, mixing, near_dedup, packing, quality, substring_dedup, syncmers, topk, toxicity, url_filter
+from tidelake.llm import licenses, mixing, near_dedup, packing, quality, sql, substring_dedup, syncmers, topk, toxicity, url_filter
 from tidelake.llm._common import held_out, table
 
 # The rules that judge pages.
@@ -49,19 +49,6 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
-OP5_SQL = """WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
-), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
-
-
 def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     machine = quality.fit(documents, table(spark, sf_dir, "labels"))
@@ -100,4 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op5_exact_top_k": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": sql.EXACT_TOP_K,
+    "op8_minhash_near_dedup": sql.NEAR_DEDUP,
+    "op10_license_scan": sql.LICENSE_SCAN,
+}
