@@ -106,6 +106,11 @@ def test_folding_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
     assert offsets(store, spark) == [0, 0, 0]
 
 
+def test_any_topic_can_be_stored_and_read(spark, store):
+    store.write(batch(spark, [good(1), good(2)], topic="cdc.public.my-table"), 0)
+    assert offsets(store, spark, table="my-table") == [0, 1] and offsets(store, spark, table="my_table") == []
+
+
 def test_tables_do_not_mix(spark, store):
     rows = batch(spark, [good(1)]).unionByName(batch(spark, [good(1), good(2)], topic="cdc.public.other"))
     store.write(rows, 0)

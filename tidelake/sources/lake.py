@@ -171,6 +171,11 @@ def bronze_ddl(name: str, status: str, provider: str = "parquet") -> str:
     )
 
 
+def catalog_name(table: str) -> str:
+    """A name any catalog takes, for tables of topics that have other characters: each becomes its code."""
+    return re.sub(r"[^A-Za-z0-9_]", lambda m: f"_x{ord(m[0]):x}_", table)
+
+
 class BronzeTables:
     """The bronze pairs as catalog tables, created when a topic is first seen.
 
@@ -188,11 +193,11 @@ class BronzeTables:
             return
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
         for status in _STATUS_COLUMNS:
-            spark.sql(bronze_ddl(f"{self.database}.{table}", status, self.provider))
+            spark.sql(bronze_ddl(f"{self.database}.{catalog_name(table)}", status, self.provider))
         self._created.add(table)
 
     def write(self, bronze: DataFrame, batch_id: int, stream_id: str = "batch", day: str | None = None) -> None:
-        """Append one micro-batch. Topics whose table name no catalog takes are an error: give them no contract here."""
+        """Append one micro-batch, to the pair of each table; `day` is not needed here."""
         spark = bronze.sparkSession
         rows = bronze.persist()
         try:
@@ -201,7 +206,7 @@ class BronzeTables:
                 self.create(spark, table)
                 for status, columns in _STATUS_COLUMNS.items():
                     part = rows.filter((F.col("_table") == table) & (is_valid() if status == "valid" else ~is_valid()))
-                    self._append(part.select(*columns), f"{self.database}.{table}_{status}", batch_id, stream_id)
+                    self._append(part.select(*columns), f"{self.database}.{catalog_name(table)}_{status}", batch_id, stream_id)
         finally:
             rows.unpersist()
 
@@ -222,7 +227,7 @@ class BronzeTables:
         rows.write.mode("append").insertInto(name)
 
     def read(self, spark: SparkSession, table: str, status: str = "valid", day: str | None = None) -> DataFrame:
-        name = f"{self.database}.{check_table_name(table)}_{status}"
+        name = f"{self.database}.{catalog_name(table)}_{status}"
         columns = list(_STATUS_COLUMNS[status])
         if not spark.catalog.tableExists(name):
             return spark.createDataFrame([], T.StructType([T.StructField(c, BRONZE_TYPES[c]) for c in columns]))
