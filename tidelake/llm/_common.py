@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from tidelake.session import scratch_dir
+from tidelake.session import delete_folder, scratch_dir
 
 #: Bytes of text that are worked on at once inside a task; one longer text is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -35,10 +36,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame, written once to the shared folder and read again: what follows does not depend on its lineage."""
+    """The frame, written once to the shared folder and read again: what follows does not depend on its lineage.
+
+    The folder goes with `unstaged`, or when the program ends: frames that are returned may still read it.
+    """
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    frame.staged_at = path
+    if not _staged:
+        atexit.register(_unstage_all)
+    _staged[path] = df.sparkSession
+    return frame
+
+
+_staged: dict[str, SparkSession] = {}
+
+
+def unstaged(*frames: DataFrame) -> None:
+    """Remove the folders of staged frames that nothing reads any more."""
+    for frame in frames:
+        delete_folder(_staged.pop(frame.staged_at), frame.staged_at)
+
+
+def _unstage_all() -> None:
+    for path, spark in _staged.items():
+        if spark.sparkContext._jsc is not None:  # stopped: its folders are left to whoever owns the shared folder
+            delete_folder(spark, path)
 
 
 def widened(df: DataFrame, **columns: DataType) -> StructType:

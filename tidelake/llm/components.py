@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm._common import staged
+from tidelake.llm._common import staged, unstaged
 
 
 def _lowest(links: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     links = staged(ordered.distinct(), "components")
     mark = _mark(links)
     while mark[0]:
-        links = staged(_small_star(_large_star(links).distinct()).distinct(), "components")
+        last, links = links, staged(_small_star(_large_star(links).distinct()).distinct(), "components")
+        unstaged(last)
         before, mark = mark, _mark(links)
         if mark == before:
             break

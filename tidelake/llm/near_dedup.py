@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm._common import SPACED_WORD, grams, mixed, signed, slices, span_hashes, staged, words
+from tidelake.llm._common import SPACED_WORD, grams, mixed, signed, slices, span_hashes, staged, unstaged, words
 from tidelake.llm.components import components
 
 #: Values of a sketch.
@@ -36,22 +36,27 @@ OUTSIDE_BLOCK, ALL_BLOCK = 512, 2048
 # ---------------------------------------------------------------- sets and sketches
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """For each text the ascending hashes of its distinct shingles of k words; of fewer words, one of them all."""
-    for _, _, data, offsets in slices(column):
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """By run of texts: the first, and for each the ascending hashes of its distinct shingles of k words.
+
+    A text of fewer words has one of them all, a text without words none.
+    """
+    for low, _, data, offsets in slices(column):
         starts, ends, first = words(data, offsets, SPACED_WORD)
         hashes = span_hashes(data, starts, ends, lowered=True)
         h, at = grams(hashes, first, k)
         edge = np.searchsorted(at, first)
+        found = []
         for i in range(len(offsets) - 1):
             n = first[i + 1] - first[i]
             if 0 < n < k:
                 few = np.full(1, n, np.uint64)
                 for word in hashes[first[i] : first[i + 1]]:
                     few = mixed(few * np.uint64(0x9E3779B97F4A7C15) + word)
-                yield signed(few)
+                found.append(signed(few))
             else:
-                yield np.unique(signed(h[edge[i] : edge[i + 1]]))
+                found.append(np.unique(signed(h[edge[i] : edge[i + 1]])))
+        yield low, found
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -64,15 +69,12 @@ def _set_rows(k: int, size: int | None) -> Callable:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, hashes = [], [], []
-            for own in shingle_sets(batch.column("text"), k):
-                n.append(len(own))
-                prints.append(xxhash.xxh3_128_digest(own.tobytes()))
-                hashes.append(own[:size])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), _lists(hashes)],
-                names=["doc_id", "n", "print", "hashes"],
-            )
+            ids = batch.column("doc_id")
+            for low, found in shingle_sets(batch.column("text"), k):
+                n = pa.array([len(own) for own in found], pa.int64())
+                prints = pa.array([xxhash.xxh3_128_digest(own.tobytes()) for own in found], pa.binary())
+                hashes = _lists([own[:size] for own in found])
+                yield pa.RecordBatch.from_arrays([ids.slice(low, len(found)), n, prints, hashes], names=["doc_id", "n", "print", "hashes"])
 
     return rows
 
@@ -120,7 +122,10 @@ def _full_sets(reps: DataFrame, classes: DataFrame, documents: DataFrame, k: int
     needed = staged(reps.join(classes.select("rep", "print"), "rep"), "near-needed")
     texts = documents.join(needed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(_set_rows(k, None), _SET).select(F.col("doc_id").alias("rep"), "print", "hashes")
-    return staged(sets.join(needed, ["rep", "print"], "left_semi").dropDuplicates(["rep", "print"]).select("rep", "hashes"), "near-sets")
+    sets = sets.join(needed, ["rep", "print"], "left_semi").dropDuplicates(["rep", "print"]).select("rep", "hashes")
+    sets = staged(sets, "near-sets")
+    unstaged(needed)
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,9 +158,11 @@ def _links(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
     sketched = families.join(classes.select("rep", "hashes"), "rep")
     open_ = staged(_in_cells(sketched, _Likely(percent), "family long, rep long, component long").distinct(), "near-open")
     more = open_.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
-    sets = sets.unionByName(_full_sets(more, classes, documents, k))
-    confirmed = _in_cells(_counted(open_).join(sets, "rep"), _Alike(percent), "a long, b long")
-    return first.unionByName(staged(confirmed, "near-links"))
+    more_sets = _full_sets(more, classes, documents, k)
+    confirmed = _in_cells(_counted(open_).join(sets.unionByName(more_sets), "rep"), _Alike(percent), "a long, b long")
+    second = staged(confirmed, "near-links")
+    unstaged(lists, spokes, sets, more_sets, open_)
+    return first.unionByName(second)
 
 
 # ---------------------------------------------------------------- families
@@ -286,7 +293,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     chosen = sketches.join(lowest.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
     classes = chosen.dropDuplicates(["print", "doc_id"]).withColumnRenamed("doc_id", "rep")
     classes = staged(classes, "near-classes")
+    unstaged(sketches)
     groups = components(_links(classes, documents, k, percent)).withColumnRenamed("node", "rep")
+    unstaged(classes)
     # Only classes of several documents, or with links, can differ from their own id.
     moved = lowest.join(groups, "rep", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
     moved = moved.select("print", F.coalesce("component", "rep").alias("found"))

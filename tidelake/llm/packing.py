@@ -30,7 +30,7 @@ DIMENSIONS, BITS = 3, 10
 #: One document in so many is looked at to bound the ranges of the curve.
 SAMPLED = 10
 #: Token ids of pieces of text that a Python worker keeps; more are encoded again.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 300_000
 #: Id at the end of every document.
 END = 0
 

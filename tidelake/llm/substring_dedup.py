@@ -28,6 +28,9 @@ DOUBLINGS = 3
 #: Words of the shortest run of repeated chunks that is cut out.
 LEAST_WORDS = 20
 
+#: Chunks that a task gives out at once, about.
+ROWS_AT_ONCE = 100_000
+
 #: The gear: a fixed random number for each byte.
 _GEAR = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -85,13 +88,17 @@ def _places(at: np.ndarray, digests: np.ndarray) -> np.ndarray:
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
-        rows, places, digests = [], [], []
+        rows, places, digests, held = [], [], [], 0
         for row, _, _, at, found in chunks(batch.column("text")):
             rows.append(np.full(len(found), row))
             places.append(_places(at, found))
             digests.append(found)
-        whole = [np.concatenate([np.zeros(0, np.int64), *part]) for part in (rows, places, digests)]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(whole[0])), pa.array(whole[1]), pa.array(whole[2])], names=["doc_id", "place", "digest"])
+            held += len(found)
+            if held >= ROWS_AT_ONCE or row == len(ids) - 1:
+                whole = [np.concatenate(part) for part in (rows, places, digests)]
+                columns = [ids.take(pa.array(whole[0])), pa.array(whole[1]), pa.array(whole[2])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "digest"])
+                rows, places, digests, held = [], [], [], 0
 
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:

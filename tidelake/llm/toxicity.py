@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidelake.llm._common import SPACED_WORD, hashes_between, mixed, prefix_sums, slices, training_rows, widened, words
+from tidelake.llm._common import SLICE_BYTES, SPACED_WORD, hashes_between, mixed, prefix_sums, slices, training_rows, widened, words
 
 #: Labelled rows that the score is learned from, at most.
 MAX_ROWS = 6_000
@@ -35,7 +35,7 @@ RELIABLE, COMMON = 0.8, 0.03
 #: A feature counts up to this often, and up to this many times in a hundred words.
 LEVELS = 4
 #: Decoded words a Python worker keeps; more are decoded again.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 # The letters that digits and signs stand for.
 LEET = {
@@ -88,7 +88,7 @@ def _codes(symbols: np.ndarray) -> np.ndarray:
 def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SYMBOLS**4, np.int64)
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column("text")):
+        for _, _, data, offsets in slices(batch.column("text"), 4 * SLICE_BYTES):
             # A gap after each text keeps the words of neighbours apart.
             codes = _codes(_symbols(np.insert(data, offsets[1:], 0x20)))
             counts += np.bincount(codes, minlength=SYMBOLS**4)
