@@ -244,10 +244,12 @@ def bronze_day_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "seed_customers",
     """SELECT c_custkey + 1 AS customer_id, 'customer_' || (c_custkey + 1) || '@example.com' AS email,
-       'Customer ' || (c_custkey + 1) AS name FROM customer""",
+       'Customer ' || (c_custkey + 1) AS name, make_timestamp(CAST((c_custkey + 1) * 1000000 AS BIGINT)) AS created_at FROM customer""",
 )
 def seed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed.seed_customers(fx.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("i")))
+    series = fx.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("i"))
+    rows = seed.seed_customers(series, F.timestamp_seconds("i"))
+    return rows.select("customer_id", "email", "name", _naive("created_at"))
 
 
 @query(
@@ -255,13 +257,14 @@ def seed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT i AS order_id, i % n + 1 AS customer_id,
        CASE i % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'shipped' WHEN 3 THEN 'delivered'
                   ELSE 'cancelled' END AS status,
-       TRUE AS amount_in_range
+       TRUE AS amount_in_range, make_timestamp(CAST(i * 1000000 AS BIGINT)) AS created_at
 FROM (SELECT o_orderkey + 1 AS i FROM orders), (SELECT count(*) AS n FROM customer)""",
 )
 def seed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = fx.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("i"))
-    rows = seed.seed_orders(series, fx.table(spark, sf_dir, "customer").count(), seed=42)
-    return rows.select("order_id", "customer_id", "status", F.col("amount").between(0, 1000).alias("amount_in_range"))
+    rows = seed.seed_orders(series, fx.table(spark, sf_dir, "customer").count(), seed=42, created_at=F.timestamp_seconds("i"))
+    in_range = F.col("amount").between(0, 1000).alias("amount_in_range")
+    return rows.select("order_id", "customer_id", "status", in_range, _naive("created_at"))
 
 
 @query(
@@ -561,15 +564,25 @@ def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "parse_envelope",
-    f"WITH {_OC} SELECT order_id, customer_id, status, amount, op AS cdc_op, order_id * 3 + step AS lsn FROM oc",
+    f"""WITH {_OC} SELECT order_id, customer_id, status, amount, op AS cdc_op, order_id * 3 + step AS lsn,
+       epoch_us(changed_at - step * INTERVAL 1 DAY) AS created_at FROM oc""",
 )
 def parse_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = silver.parse_envelope(_valid(spark, sf_dir, "orders"), fx.ORDERS)
     return rows.select(
-        "order_id", "customer_id", "status", "amount", F.col("_cdc_op").alias("cdc_op"), F.col("_lsn").alias("lsn")
+        "order_id", "customer_id", "status", "amount", F.col("_cdc_op").alias("cdc_op"), F.col("_lsn").alias("lsn"), "created_at"
     )
 
 
+@query(
+    "parse_envelope_timestamps",
+    f"""WITH {_SC} SELECT customer_id, email, TIMESTAMP '{fx.CUSTOMERS_AT}' + customer_id * INTERVAL 1 SECOND AS created_at FROM sc""",
+)
+def parse_envelope_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = silver.parse_envelope(_valid(spark, sf_dir, "customers"), fx.CUSTOMERS, "timestamp")
+    return rows.select("customer_id", "email", _naive("created_at"))
+
+
 @query(
     "silver_dedup",
     f"WITH {_EV_LATEST} SELECT user_id, event_id, event_type, value, op AS cdc_op, ts AS ingested_at FROM ev_latest",

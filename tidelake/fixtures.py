@@ -24,6 +24,7 @@ CUSTOMERS = Contract(
         Field("customer_id", "long", True, True),
         Field("email", "string", True),
         Field("name", "string", True),
+        Field("created_at", "timestamp"),
     ),
     (
         Rule("notNull", "customer_id"),
@@ -40,6 +41,7 @@ ORDERS = Contract(
         Field("customer_id", "long", True),
         Field("status", "string", True),
         Field("amount", "number", True),
+        Field("created_at", "timestamp"),
     ),
     (Rule("notNull", "order_id"), Rule("notNull", "amount"), Rule("unique", "order_id")),
 )
@@ -92,9 +94,9 @@ def customers(customer: DataFrame) -> DataFrame:
 
 def customer_changes(customer: DataFrame) -> DataFrame:
     """One snapshot record per customer, all at one time."""
-    rows = customers(customer)
-    row = F.struct("customer_id", "email", "name")
     at = F.lit(CUSTOMERS_AT).cast("timestamp")
+    rows = customers(customer).withColumn("created_at", F.unix_micros(at) + F.col("customer_id") * 1_000_000)
+    row = F.struct("customer_id", "email", "name", "created_at")
     return rows.select(
         topic("customers", F.col("customer_id")).alias("topic"),
         (F.col("customer_id") % 3).cast("int").alias("partition"),
@@ -125,7 +127,8 @@ def order_changes(orders: DataFrame) -> DataFrame:
 
     def image(amount: Column, status: Column) -> Column:
         return F.struct(
-            key.alias("order_id"), F.col("o_custkey").alias("customer_id"), status.alias("status"), amount.alias("amount")
+            key.alias("order_id"), F.col("o_custkey").alias("customer_id"), status.alias("status"), amount.alias("amount"),
+            F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created_at"),
         )
 
     status, step = status_of(key), F.col("step")

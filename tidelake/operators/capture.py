@@ -18,11 +18,17 @@ def topic_of(table: str) -> str:
     return TOPIC_PREFIX + check_table_name(table)
 
 
+def _image(df: DataFrame) -> Column:
+    """The row as a record carries it: timestamps as epoch microseconds."""
+    kinds = dict(df.dtypes)
+    return F.struct(*[F.unix_micros(c).alias(c) if kinds[c] == "timestamp" else F.col(c) for c in df.columns])
+
+
 def snapshot_to_cdc(
     snapshot: DataFrame, table: str, keys: Sequence[str], ts_ms: Column, wrapped: bool = True
 ) -> DataFrame:
     """Every row as an initial-snapshot record: `topic`, the key columns, `op = 'r'`, `value`."""
-    row = F.struct(*snapshot.columns)
+    row = _image(snapshot)
     nothing = F.lit(None).cast(snapshot.select(row.alias("r")).schema["r"].dataType)
     return snapshot.select(
         F.lit(topic_of(table)).alias("topic"),
@@ -49,9 +55,8 @@ def diff_to_cdc(
     """
     if replica_identity not in REPLICA_IDENTITIES:
         raise ValueError(f"replica_identity must be one of {REPLICA_IDENTITIES}")
-    columns = new.columns
-    before = old.select(*keys, F.struct(*columns).alias("_before"))
-    after = new.select(*keys, F.struct(*columns).alias("_after"))
+    before = old.select(*keys, _image(old.select(*new.columns)).alias("_before"))
+    after = new.select(*keys, _image(new).alias("_after"))
     joined = before.join(after, list(keys), "full_outer").filter(~F.col("_before").eqNullSafe(F.col("_after")))
     op = (
         F.when(F.col("_before").isNull(), "c").when(F.col("_after").isNull(), "d").otherwise("u")

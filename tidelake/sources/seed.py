@@ -30,15 +30,24 @@ def email_of(i: Column) -> Column:
     return F.concat(F.lit("customer_"), i.cast("string"), F.lit("@example.com"))
 
 
-def seed_customers(series: DataFrame) -> DataFrame:
-    """One customer per number of the column `i`."""
+def _created(created_at: Column | None) -> list[Column]:
+    return [] if created_at is None else [created_at.cast("timestamp").alias("created_at")]
+
+
+def seed_customers(series: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """One customer per number of the column `i`; `created_at`, for example the time of the run, is a further column."""
     i = F.col("i")
     return series.select(
-        i.alias("customer_id"), email_of(i).alias("email"), F.concat(F.lit("Customer "), i.cast("string")).alias("name")
+        i.alias("customer_id"),
+        email_of(i).alias("email"),
+        F.concat(F.lit("Customer "), i.cast("string")).alias("name"),
+        *_created(created_at),
     )
 
 
-def seed_orders(series: DataFrame, n_customers: int, seed: int | None = None) -> DataFrame:
+def seed_orders(
+    series: DataFrame, n_customers: int, seed: int | None = None, created_at: Column | None = None
+) -> DataFrame:
     """One order per number, spread over customers 1..n_customers, with a random amount below 1000."""
     i = F.col("i")
     return series.select(
@@ -46,6 +55,7 @@ def seed_orders(series: DataFrame, n_customers: int, seed: int | None = None) ->
         (i % n_customers + 1).alias("customer_id"),
         status_of(i).alias("status"),
         (F.rand(seed) * 1000).cast("decimal(10,2)").alias("amount"),
+        *_created(created_at),
     )
 
 
