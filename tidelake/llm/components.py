@@ -25,8 +25,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("low").alias("b")))
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _is_done(links: DataFrame) -> bool:
+    """Whether the links are stars: every node that is not a centre has one link, to a centre."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("centre"))
+    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("centre")))
+    nodes = ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("centre").alias("centre"))
+    return nodes.where((F.col("links") > 1) | (F.col("links") == 1) & (F.col("centre") == 1)).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,12 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     links = staged(ordered.distinct(), "components")
-    mark = _mark(links)
-    while mark[0]:
-        last, links = links, staged(_small_star(_large_star(links).distinct()).distinct(), "components")
+    while not _is_done(links):
+        last, links = links, staged(_small_star(_large_star(links)).distinct(), "components")
         unstaged(last)
-        before, mark = mark, _mark(links)
-        if mark == before:
-            break
     ends = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)

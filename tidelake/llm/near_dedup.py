@@ -86,10 +86,7 @@ _SET = "doc_id long, n long, print binary, hashes array<long>"
 
 
 def _prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, rep, n, own): each class under its rarest retained values that others have as well.
-
-    `own`: how many of its retained values no other class has.
-    """
+    """(value, rep, n): each class under its rarest retained values that others have as well."""
     values = classes.select("rep", "n", F.explode("hashes").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     met = values.join(shared, "value")
@@ -98,8 +95,7 @@ def _prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
     of_class = Window.partitionBy("rep")
     ranked = met.withColumn("rank", F.row_number().over(of_class.orderBy("df", "value"))).withColumn("met", F.count("*").over(of_class))
     # Values that no other class has are rarer still and fill the prefix first.
-    ranked = ranked.where(F.col("rank") <= F.col("met") - least + 1)
-    return ranked.select("value", "rep", "n", (F.least(F.col("n"), F.lit(SKETCH)) - F.col("met")).alias("own"))
+    return ranked.where(F.col("rank") <= F.col("met") - least + 1).select("value", "rep", "n")
 
 
 def _alike_in_size(a: Column, b: Column, percent: int) -> Column:
@@ -141,9 +137,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect all that are connected by any."""
     lists = staged(_prefix_lists(classes, percent), "near-lists")
-    # The hub of a list has the fewest values of its own: of edited copies, the one closest to what they share.
-    hubs = lists.groupBy("value").agg(F.min(F.struct("own", "rep")).alias("hub"), F.count("*").alias("members"))
-    listed = lists.join(hubs.where(F.col("members") > 1).select("value", F.col("hub.rep").alias("hub")), "value")
+    # The smallest id is the hub: the lists that two classes share mostly have the same one.
+    hubs = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("members"))
+    listed = lists.join(hubs.where(F.col("members") > 1).select("value", "hub"), "value")
     listed = listed.where(F.col("rep") != F.col("hub"))
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
     spokes = listed.select("rep", "hub", "n").distinct().join(sizes, "hub")
