@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 from pyspark.sql.window import Window
 
-from tidelake.llm._common import SPACED_WORD, slices, staged, widened, words
+from tidelake.llm._common import SPACED_WORD, in_parts, slices, staged, widened, words
 
 #: Words of a block.
 BLOCK_WORDS = 32
@@ -149,7 +149,7 @@ def plan(documents: DataFrame, seed: int = 1) -> DataFrame:
 
 def _taken_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as the mix takes them: the whole text for each pass, then the words of the run; passes are parted by a line end."""
-    for batch in batches:
+    for batch in in_parts(batches):
         index = batch.schema.get_field_index
         texts = batch.column(index("_in_text")).to_pylist()
         figures = zip(*(batch.column(index(c)).to_pylist() for c in ("_passes", "_low", "_high")), strict=True)

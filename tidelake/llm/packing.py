@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm._common import SPACED_WORD, mixed, slices, span_hashes, words
+from tidelake.llm._common import SPACED_WORD, in_parts, mixed, slices, span_hashes, words
 
 #: Tokens of a sequence.
 SEQUENCE = 1024
@@ -29,8 +29,8 @@ SEQUENCE = 1024
 DIMENSIONS, BITS = 3, 10
 #: One document in so many is looked at to bound the ranges of the curve.
 SAMPLED = 10
-#: Token ids of pieces of text that a Python worker keeps; more are encoded again.
-KEPT_PIECES = 300_000
+#: Token ids of pieces of text that a task keeps; more are encoded again.
+KEPT_PIECES = 150_000
 #: Id at the end of every document.
 END = 0
 
@@ -139,12 +139,18 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(ranks: str, pattern: str) -> Encoder:
-    """The encoder of a byte-level vocabulary, once a worker: a file of ranks and the pattern that parts words."""
+@functools.lru_cache(maxsize=1)
+def _vocabulary(ranks: str, pattern: str) -> tuple[tiktoken.Encoding, type]:
+    """A byte-level vocabulary, read once a worker, and the type its ids fit in."""
     vocabulary = _ranks(ranks)
     own = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
-    return Encoder(own.encode_ordinary, np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32)
+    return own, np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+
+
+def encoder(ranks: str, pattern: str) -> Encoder:
+    """An encoder by a file of ranks and the pattern that parts words; the ids it keeps go with it."""
+    own, dtype = _vocabulary(ranks, pattern)
+    return Encoder(own.encode_ordinary, dtype)
 
 
 # ---------------------------------------------------------------- packing
@@ -154,7 +160,7 @@ def _encode_rows(ranks: str, pattern: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, pattern)
         end = np.array([END], encode.dtype).tobytes()
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column("text")
             ids = pa.array([encode(t or "") + end for t in texts.to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(texts, batch.column("doc_id"))), ids], names=["doc_id", "key", "ids"])

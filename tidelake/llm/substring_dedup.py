@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidelake.llm._common import SPACED_WORD, slices, widened, words
+from tidelake.llm._common import SPACED_WORD, in_parts, slices, widened, words
 
 #: Words on each side among which a chunk's end has the smallest hash.
 REACH = 2
@@ -126,7 +126,7 @@ def cut_spans(places: np.ndarray, digests: np.ndarray, at: np.ndarray, own: np.n
 
 def _cut_rows(least: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             index = batch.schema.get_field_index
             texts, lists = batch.column(index("text")), batch.column(index("_repeated"))
             touched = np.flatnonzero(np.asarray(lists.is_valid()) & np.asarray(texts.is_valid()))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidelake.llm._common import SLICE_BYTES, SPACED_WORD, hashes_between, mixed, prefix_sums, slices, training_rows, widened, words
+from tidelake.llm._common import SLICE_BYTES, SPACED_WORD, hashes_between, in_parts, mixed, prefix_sums, slices, training_rows, widened, words
 
 #: Labelled rows that the score is learned from, at most.
 MAX_ROWS = 6_000
@@ -449,7 +449,7 @@ def keep_clean(documents: DataFrame, model: ToxicModel, threshold: float = 0.3)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = _Restored(model.logp)
-        for batch in batches:
+        for batch in in_parts(batches):
             found = scores(batch.column(batch.schema.get_field_index("text")), model, restored)
             yield batch.filter(pa.array(found < threshold))
 
