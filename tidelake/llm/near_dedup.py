@@ -144,8 +144,9 @@ def _links(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
     spokes = listed.select("rep", "hub", "n").distinct().join(sizes, "hub")
     spokes = spokes.select(F.col("rep").alias("a"), F.col("hub").alias("b"), _alike_in_size(F.col("n"), F.col("n_hub"), percent).alias("alike"))
-    spokes = staged(_estimated(spokes, classes), "near-spokes")
-    likely = spokes.where(F.col("alike") & (F.col("estimate") >= ESTIMATE)).select("a", "b")
+    spokes = staged(spokes, "near-spokes")
+    likely = _estimated(spokes.where("alike").select("a", "b"), classes).where(F.col("estimate") >= ESTIMATE)
+    likely = staged(likely.select("a", "b"), "near-likely")
     ends = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
     sets = _full_sets(ends, classes, documents, k)
     first = _verified(likely, sets, percent)
@@ -157,7 +158,7 @@ def _links(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
     more_sets = _full_sets(more, classes, documents, k)
     confirmed = _in_cells(_counted(open_).join(sets.unionByName(more_sets), "rep"), _Alike(percent), "a long, b long")
     second = staged(confirmed, "near-links")
-    unstaged(lists, spokes, sets, more_sets, open_)
+    unstaged(lists, spokes, likely, sets, more_sets, open_)
     return first.unionByName(second)
 
 
