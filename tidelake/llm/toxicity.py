@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType
 from tidelake.llm._common import SLICE_BYTES, SPACED_WORD, hashes_between, in_parts, mixed, prefix_sums, slices, training_rows, widened, words
 
 #: Labelled rows that the score is learned from, at most.
-MAX_ROWS = 6_000
+MAX_ROWS = 4_500
 #: Features are hashed into this many cells.
 CELLS = 1 << 22
 #: A feature's reliability is its share of toxic rows, with this many clean ones added; below the least it isn't chosen.
