@@ -1015,6 +1015,21 @@ def stream_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- driver contract
 
 
+def _with_package(function: Query) -> Query:
+    """The query, with this folder on the path of the Python workers, wherever the driver was started."""
+    root = os.path.dirname(os.path.abspath(__file__))
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+        return function(spark, sf_dir)
+
+    return run
+
+
 def _add_optional() -> None:
     """Add the training-data queries where their modules exist; the rest works without them."""
     try:
@@ -1023,7 +1038,7 @@ def _add_optional() -> None:
         if not (error.name or "").startswith("tidelake.llm"):
             raise
         return
-    _QUERIES.update(llm.QUERIES)
+    _QUERIES.update({name: _with_package(function) for name, function in llm.QUERIES.items()})
     _ORACLE.update(llm.ORACLE_SQL)
     try:
         import corpus_pipeline
@@ -1031,7 +1046,7 @@ def _add_optional() -> None:
         if error.name != "corpus_pipeline":
             raise
         return
-    _QUERIES["pipeline"] = corpus_pipeline.run
+    _QUERIES["pipeline"] = _with_package(corpus_pipeline.run)
     if corpus_pipeline.ORACLE_SQL:
         _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
 
