@@ -80,6 +80,14 @@ def test_groups_chains_and_common_parts(spark):
     check(near_dedup.near_duplicates(docs, 2, 80), EDGES + [(100 + i, t) for i, t in rows], 2)
 
 
+def test_two_that_meet_under_a_hub_that_is_like_neither(spark):
+    rows = [(1, "a b z"), (2, "a b c d e"), (3, "a b c d e f")]
+    rows += [(10 + i, f"{pair} u{i}") for i, pair in enumerate(p for p in ("b z", "b c", "c d", "d e") for _ in range(3))]
+    found = near_dedup.near_duplicates(documents(spark, rows), 2, 80)
+    check(found, rows, 2)
+    assert {r.doc_id: r.component_id for r in found.collect()}[3] == 2
+
+
 def test_five_words_by_default_and_all_columns_stay(spark):
     rows = [*EDGES, (50, "a b c d e f g"), (51, "A b c d e f g"), (52, "a b c d e f h")]
     docs = documents(spark, rows)

@@ -176,17 +176,15 @@ def _families(spokes: DataFrame, joined: DataFrame) -> DataFrame:
     family, own = F.coalesce("part_b", "b").alias("family"), F.coalesce("part_a", "a").alias("component")
     hubs = pairs.select(family, F.col("b").alias("rep"), F.coalesce("part_b", "b").alias("component"))
     members = pairs.select(family, F.col("a").alias("rep"), own).unionByName(hubs).distinct()
-    return _counted(members)
+    # A family of a hub and one more is done: the two have been compared.
+    return _counted(members).where(F.col("all") > 2)
 
 
 def _counted(members: DataFrame) -> DataFrame:
-    """With the numbers of members of each family in its component and outside, without families that are done.
-
-    A family of a hub and one more is done: the two have been compared.
-    """
+    """With the numbers of members of each family, all and outside its component, without families that are in it whole."""
     outside = F.count(F.when(F.col("component") != F.col("family"), 1))
     counts = members.groupBy("family").agg(F.count("*").alias("all"), outside.alias("outside"))
-    return members.join(counts.where((F.col("outside") > 0) & (F.col("all") > 2)), "family")
+    return members.join(counts.where(F.col("outside") > 0), "family")
 
 
 def _in_cells(members: DataFrame, compare: Callable, schema: str) -> DataFrame:
