@@ -31,6 +31,13 @@ def test_disguise_does_not_help(model, text):
     assert toxicity.score_text(around.format("thing"), model) < 0.3
 
 
+@pytest.mark.parametrize("text, word", [("1d107", "idiot"), ("1053r", "loser"), ("7r45h", "trash"), ("iiddiioott", "idiot")])
+def test_more_signs_than_letters_and_doubled_letters(model, text, word):
+    assert toxicity.restore(text, model.logp) == word
+    around = "And the thing with of it is {} in there and for on to that"
+    assert toxicity.score_text(around.format(text), model) == pytest.approx(toxicity.score_text(around.format(word), model))
+
+
 def test_plain_words_stay_as_they_are(model):
     assert toxicity.restore("The Words, (stay) 2024 10.5 l'été!", model.logp).startswith("the words stay")
     assert toxicity.restore(None, model.logp) == "" == toxicity.restore("12 34 $$", model.logp)

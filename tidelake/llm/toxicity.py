@@ -47,8 +47,8 @@ MASKS = "*#"
 VOWELS = "aeiou"
 #: Costs of the channel, in nats: a replaced letter, a masked one, a repetition, a dropped sign, a sign read as a gap.
 REPLACED, MASKED, REPEATED, DROPPED, PARTED = 0.5, 2.0, 0.5, 1.5, 3.0
-#: Longer pieces than this need more letters than other characters to be read as words, shorter ones half as many.
-LEAST_HALF = 15
+#: Cost of a sign or digit that is just that: one of about twenty.
+LITERAL = 3.0
 #: Readings that are kept at each step of the decoding.
 BEAM = 24
 
@@ -65,7 +65,9 @@ _LEADING = "\"'([{%&*#|"
 _APART = re.compile(r"(?<!\S)(?:[^\W_]\s){2,}[^\W_](?!\S)")
 #: What may stand between words of one token.
 _MARKS = re.compile(r"[^\w@$!|+(<€£¡*#]|_")
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+#: Letters that come thrice, or two doubled ones in a row, or three doubled ones anywhere.
+_STRETCHED = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2([^\W\d_])\3|(?:([^\W\d_])\4.*?){3}")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DECORATION = re.compile(r"([$+@])\1{2,}$|!+$")
 
 
@@ -117,8 +119,8 @@ def _symbol_of(char: str) -> int:
     return int(_SYMBOL[char.encode()[-1]])
 
 
-def decode(token: str, logp: np.ndarray) -> str:
-    """The likeliest reading of a disguised token, which may be several words."""
+def _best(token: str, logp: np.ndarray, whole: bool = False) -> tuple[float, str]:
+    """The likeliest reading of a disguised token, which may be several words, after its cost; `whole`: with no letter left out."""
     table = memoryview(logp).cast("B").cast("f")  # plain floats, with the four symbols as one number
     # A state is the last three symbols, as a number, and the last letter; of readings that share it the best goes on.
     states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
@@ -129,6 +131,7 @@ def decode(token: str, logp: np.ndarray) -> str:
             letters += [(x, MASKED) for x in VOWELS]
         letters = [(x, _symbol_of(x), more) for x, more in letters]
         drop = 0.0 if char.isspace() else DROPPED
+        plain = plain or whole and char in LEET
         step: dict[tuple[int, str], tuple[float, str]] = {}
         for (back, last), (cost, text) in states.items():
             for letter, symbol, more in letters:
@@ -150,31 +153,45 @@ def decode(token: str, logp: np.ndarray) -> str:
                         step[key] = (total, text + " ")
         states = dict(sorted(step.items(), key=lambda x: x[1])[:BEAM]) if len(step) > BEAM else step
     ended = ((cost - (table[back << 5] if back & 31 else 0.0), text) for (back, _), (cost, text) in states.items())
-    return min(ended, default=(0.0, token))[1].strip()
+    cost, text = min(ended, default=(0.0, token))
+    return cost, text.strip()
+
+
+def decode(token: str, logp: np.ndarray) -> str:
+    """The likeliest reading of a disguised token, which may be several words."""
+    return _best(token, logp)[1]
+
+
+def read(token: str, logp: np.ndarray) -> str:
+    """As decoded; a reading of all signs and digits as letters goes first, if it costs less than to take them literally."""
+    signs = sum(char in LEET for char in token)
+    if signs:
+        cost, text = _best(token, logp, whole=True)
+        if cost < LITERAL * signs + sum(_best(run, logp)[0] for run in _LETTERS.findall(token)):
+            return text
+    return decode(token, logp)
 
 
 def restore_token(token: str, logp: np.ndarray) -> str:
     """A lower-case token's words, parted by spaces and decoded where they are disguised; empty if it has no letters.
 
-    A token is disguised if letters repeat thrice, if signs or digits that may stand for letters lie among more letters
-    than there are of them, or if marks part it into pieces of a few letters. Other marks part it into words.
+    A token is disguised if letters repeat thrice or are doubled one after the other, if it has signs or digits that may
+    stand for letters, or if marks part it into pieces of a few letters. Other marks part it into words. That signs and
+    digits are just these, and no letters, is one of the readings whose costs are compared.
     """
-    if token.isalpha() and not _THRICE.search(token):
+    if token.isalpha() and not _STRETCHED.search(token):
         return token
     core = _DECORATION.sub("", token.lstrip(_LEADING).rstrip(_TRAILING)).rstrip(_TRAILING)
-    if core.isalpha() and not _THRICE.search(core):
+    if core.isalpha() and not _STRETCHED.search(core):
         return core
     pieces = [x for x in _MARKS.split(core) if x]
     if len(pieces) > 1 and max(map(len, pieces)) <= 3:
         pieces = [core]  # pulled apart
     found = []
     for piece in pieces:
-        letters = sum(map(str.isalpha, piece))
-        if letters == len(piece) and not _THRICE.search(piece):
-            found.append(piece)
-        elif (3 if len(piece) <= LEAST_HALF else 2) * letters > len(piece) or len(pieces) == 1 and len(piece) > letters > 1 and _MARKS.search(piece):
-            found.append(decode(piece, logp))
-    return " ".join(found)
+        plain = piece.isalpha() and not _STRETCHED.search(piece)
+        found.append(piece if plain else read(piece, logp))
+    return " ".join(filter(None, found))
 
 
 def restore(text: str | None, logp: np.ndarray) -> str:
@@ -232,11 +249,14 @@ def _plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
         inner_ends -= _IS_TRAILING[data[inner_ends - 1]] & (inner_ends > inner_starts + 1)
         inner_starts += _IS_LEADING[data[np.minimum(inner_starts, len(data) - 1)]] & (inner_ends > inner_starts + 1)
     letter = _LETTER[data]
-    # A letter that comes thrice, or a character that isn't one, makes a token one to look at.
-    odd = ~letter
-    odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
-    upto = np.concatenate([[0], np.cumsum(odd)])
+    # A letter that comes thrice, two or three that are doubled, or a character that isn't one, make a token one to look at.
+    double, odd = np.zeros(len(data), bool), ~letter
+    double[1:] = letter[1:] & (data[1:] == data[:-1])
+    odd[2:] |= double[2:] & double[1:-1]
+    odd[3:] |= double[3:] & double[1:-2]
+    upto, doubles = (np.concatenate([[0], np.cumsum(x)]) for x in (odd, double))
     plain = upto[inner_ends] == upto[np.minimum(inner_starts + 2, inner_ends)]
+    plain &= doubles[inner_ends] - doubles[np.minimum(inner_starts + 1, inner_ends)] < 3
     plain &= letter[inner_starts] & letter[inner_ends - 1] & letter[np.minimum(inner_starts + 1, inner_ends - 1)]
     return row[plain], inner_starts[plain], inner_ends[plain], row[~plain], starts[~plain], ends[~plain], n_words
 
