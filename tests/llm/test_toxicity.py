@@ -38,6 +38,24 @@ def test_more_signs_than_letters_and_doubled_letters(model, text, word):
     assert toxicity.score_text(around.format(text), model) == pytest.approx(toxicity.score_text(around.format(word), model))
 
 
+MIXED = ["1 d 1 0 t", "i d 1 o t", "$ t u p i d", "i  d i\to t", "s\nc u m", "1 2 3 4", "| a | b |", "a € é 漢 b", "x. y z", "coffee 1d107 covid19, 1053r"]
+
+
+@pytest.mark.parametrize("text", MIXED)
+def test_features_are_those_of_the_restored_text(model, text):
+    met = lambda t: sorted((rank, cell) for _, _, found in toxicity.features(pa.array([t]), toxicity._Restored(model.logp)) for rank, _, cells in found for cell in cells.tolist())
+    plain = lambda t: sorted((rank, int(cell)) for data in [np.frombuffer(t.encode(), np.uint8)] for rank, _, cells in toxicity._cells(data, *spans(t)) for cell in cells)
+    text = f"And the thing {text} in there"
+    assert met(text) == plain(toxicity.restore(text, model.logp))
+
+
+def spans(text):
+    """(text, start, end) of words parted by single spaces, in bytes."""
+    sizes = np.array([len(w.encode()) for w in text.split(" ")])
+    ends = np.cumsum(sizes + 1) - 1
+    return np.zeros(len(sizes), int), ends - sizes, ends
+
+
 def test_plain_words_stay_as_they_are(model):
     assert toxicity.restore("The Words, (stay) 2024 10.5 l'été!", model.logp).startswith("the words stay")
     assert toxicity.restore(None, model.logp) == "" == toxicity.restore("12 34 $$", model.logp)

@@ -62,7 +62,9 @@ for _i in range(0x80, 0xC0):
 
 _TRAILING = ".,;:?\"')]}%&*#|"
 _LEADING = "\"'([{%&*#|"
-_APART = re.compile(r"(?<!\S)(?:[^\W_]\s){2,}[^\W_](?!\S)")
+_ONE = r"[^\W_@$!|+(<€£¡*#]|[@$!|+(<€£¡*#]"
+_APART = re.compile(rf"(?<!\S)(?:(?:{_ONE})\s+){{2,}}(?:{_ONE})(?!\S)")
+_ONE = re.compile(_ONE)
 #: What may stand between words of one token.
 _MARKS = re.compile(r"[^\w@$!|+(<€£¡*#]|_")
 #: Letters that come thrice, or two doubled ones in a row, or three doubled ones anywhere.
@@ -197,8 +199,13 @@ def restore_token(token: str, logp: np.ndarray) -> str:
 def restore(text: str | None, logp: np.ndarray) -> str:
     """The text's words, restored and lower-cased, parted by single spaces; a null is an empty text."""
     text = (text or "").lower()
-    text = _APART.sub(lambda m: decode(m[0], logp), text)
-    return " ".join(w for t in text.split() if (w := restore_token(t, logp)))
+    found, last = [], 0
+    for run in _APART.finditer(text):
+        found += [restore_token(t, logp) for t in text[last : run.start()].split()]
+        found.append(read(" ".join(run[0].split()), logp))
+        last = run.end()
+    found += [restore_token(t, logp) for t in text[last:].split()]
+    return " ".join(filter(None, found))
 
 
 # ---------------------------------------------------------------- features
@@ -209,6 +216,7 @@ OPENINGS = range(8, 2, -1)
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
+_IS_ONE = np.array([i < 128 and _ONE.fullmatch(chr(i)) is not None for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_TRAILING, _IS_LEADING = np.zeros(256, bool), np.zeros(256, bool)
@@ -225,25 +233,23 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 class _Restored(dict):
-    """Restored words by token, as UTF-8; filled as disguised tokens come up."""
+    """Restored words by token or by run of single characters parted by spaces, as UTF-8; filled as they come up."""
 
     def __init__(self, logp: np.ndarray) -> None:
         super().__init__()
         self.logp = logp
 
     def __missing__(self, token: bytes) -> bytes:
-        found = restore_token(token.decode(errors="replace"), self.logp).encode()
+        text = token.decode(errors="replace")
+        found = (read if " " in text else restore_token)(text, self.logp).encode()
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[token] = found
         return found
 
 
-def _plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start, end) of the words of letters only, (text, start, end) of the other tokens, and tokens by text."""
-    starts, ends, first = words(data, offsets, SPACED_WORD)
-    n_words = np.diff(first)
-    row = np.repeat(np.arange(len(n_words)), n_words)
+def _plain_words(data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, end) of the words of letters only, then (text, start, end) of the other tokens."""
     inner_starts, inner_ends = starts.copy(), ends.copy()
     for _ in range(4):  # what surrounds a word; with more of it, a token is looked at on its own
         inner_ends -= _IS_TRAILING[data[inner_ends - 1]] & (inner_ends > inner_starts + 1)
@@ -258,18 +264,25 @@ def _plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     plain = upto[inner_ends] == upto[np.minimum(inner_starts + 2, inner_ends)]
     plain &= doubles[inner_ends] - doubles[np.minimum(inner_starts + 1, inner_ends)] < 3
     plain &= letter[inner_starts] & letter[inner_ends - 1] & letter[np.minimum(inner_starts + 1, inner_ends - 1)]
-    return row[plain], inner_starts[plain], inner_ends[plain], row[~plain], starts[~plain], ends[~plain], n_words
+    return row[plain], inner_starts[plain], inner_ends[plain], row[~plain], starts[~plain], ends[~plain]
 
 
-def _apart_runs(data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(text, run) of three or more words of one letter that follow each other by one byte each."""
-    single = (ends - starts == 1) | (ends - starts == 2) & (data[starts] >= 0xC2)
+def _apart_runs(data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """(text, run) of three or more tokens of one letter, digit or sign that follow each other, and which tokens are in runs."""
+    lead, size = data[starts], ends - starts
+    single = _IS_ONE[lead] & (size == 1) | (lead >= 0xC2) & (lead < 0xE0) & (size == 2) | (lead >= 0xE0) & (lead < 0xF0) & (size == 3) | (lead >= 0xF0) & (size == 4)
+    raw, far = memoryview(data), np.flatnonzero(single & (lead >= 0x80))
+    single[far] = [_ONE.fullmatch(bytes(raw[a:b]).decode(errors="replace")) is not None for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
     at = np.flatnonzero(single)
-    joins = (starts[at[1:]] == ends[at[:-1]] + 1) & (row[at[1:]] == row[at[:-1]])
+    joins = (np.diff(at) == 1) & (row[at[1:]] == row[at[:-1]])
     edges = np.flatnonzero(np.diff(np.concatenate([[0], joins.view(np.int8), [0]])))
+    runs, inside = [], np.zeros(len(starts), bool)
     for a, b in zip(edges[::2], edges[1::2], strict=True):
         if b - a >= 2:
-            yield int(row[at[a]]), data[starts[at[a]] : ends[at[b]]].tobytes()
+            first, last = at[a], at[b]
+            inside[first : last + 1] = True
+            runs.append((int(row[first]), b" ".join(data[starts[first] : ends[last]].tobytes().split())))
+    return runs, inside
 
 
 def _cells(data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -285,11 +298,15 @@ def features(column: pa.Array, restored: _Restored) -> Iterator[tuple[int, np.nd
     """By run of texts: the first, the number of words of each, and (rank, text, cell) of all words' features."""
     for low, _, data, offsets in slices(column):
         data = _lowered(data)
-        row, starts, ends, odd_row, odd_starts, odd_ends, n_words = _plain_words(data, offsets)
+        starts, ends, first = words(data, offsets, SPACED_WORD)
+        n_words = np.diff(first)
+        row = np.repeat(np.arange(len(n_words)), n_words)
+        runs, inside = _apart_runs(data, row, starts, ends)
+        row, starts, ends, odd_row, odd_starts, odd_ends = _plain_words(data, row[~inside], starts[~inside], ends[~inside])
         found = list(_cells(data, row, starts, ends))
         raw = memoryview(data)
         more = [(i, restored[bytes(raw[a:b])]) for i, a, b in zip(odd_row.tolist(), odd_starts.tolist(), odd_ends.tolist(), strict=True)]
-        more += [(i, decode(run.decode(errors="replace"), restored.logp).encode()) for i, run in _apart_runs(data, row, starts, ends)]
+        more += [(i, restored[run]) for i, run in runs]
         if more:
             texts = np.frombuffer(b" ".join(text for _, text in more), np.uint8)
             token = np.concatenate([[0], np.cumsum([len(text) + 1 for _, text in more])])
