@@ -76,6 +76,25 @@ def test_short_repeats_stay(spark):
     assert all(r.n_removed == 0 for r in removed(spark, rows))
 
 
+def test_chunks_that_come_from_many_documents_stay(spark):
+    rng = random.Random(7)
+    text = prose(rng, 200)
+    ((_, starts, ends, at, _),) = sd.chunks(pa.array([text]))
+    parts = [text[starts[a] : ends[b - 1]] for a, b in zip(at[:-3], at[3:], strict=True)]  # each has three chunks, the middle one whole
+    rows = [(i, f"{prose(rng, 40)} {part} {prose(rng, 40)}") for i, part in enumerate(parts) if len(part.split()) < sd.LEAST_WORDS]
+    found = {r.doc_id: r for r in removed(spark, [*rows, (1000, text), (1001, text)])}
+    assert found[1000].n_removed == 0 and found[1000].text == text and found[1001].n_removed > 170
+
+
+def test_windows_are_alike_wherever_they_stand():
+    rng = np.random.default_rng(1)
+    digests = rng.integers(0, 1 << 60, 30)
+    sizes = rng.integers(3, 9, 30)
+    tell = lambda d, n: {tuple(d[x:y]): h for x, y, h in zip(*sd.windows(np.concatenate([[0], np.cumsum(n)]), d, 20), strict=True)}
+    whole, part = tell(digests, sizes), tell(digests[7:], sizes[7:])
+    assert part and all(whole[k] == h for k, h in part.items()) and len(set(whole.values())) == len(whole)
+
+
 def test_within_one_document_and_whole_copies(spark):
     rng = random.Random(6)
     passage = prose(rng, 100)

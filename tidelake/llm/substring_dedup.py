@@ -2,8 +2,9 @@
 
 A gear rolling hash runs over the bytes of a text. A word's end is a chunk's end if the hash there is the smallest among the
 words around it, so that where a chunk ends depends on the bytes nearby alone: after an insertion the cuts soon fall in
-the same places again. Chunks are known by a digest; of chunks that are alike the first by document and place stays. What
-is cut out are runs of repeated chunks with enough words; a shorter run says little and stays.
+the same places again. Chunks that follow each other and have just enough words are a window, known by a digest; of windows
+that are alike the first by document and place stays, and what lies in the others is cut out. So all that is cut stands
+together in an earlier place; fewer words say little and stay.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidelake.llm._common import SPACED_WORD, in_parts, slices, widened, words
+from tidelake.llm._common import SPACED_WORD, in_parts, mixed, slices, widened, words
 
 #: Words on each side among which a chunk's end has the smallest hash.
 REACH = 2
@@ -25,7 +26,7 @@ REACH = 2
 LONGEST = 64
 #: Bytes that the rolling hash looks back on: 8, by doubling.
 DOUBLINGS = 3
-#: Words of the shortest run of repeated chunks that is cut out.
+#: Words of the shortest passage that is cut out.
 LEAST_WORDS = 20
 
 #: Chunks that a task gives out at once, about.
@@ -33,6 +34,9 @@ ROWS_AT_ONCE = 100_000
 
 #: The gear: a fixed random number for each byte.
 _GEAR = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: Base of the windows' digests, and its inverse modulo 2**64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -76,52 +80,75 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
             yield low + i, s - a, e - a, at, np.array(digests, np.uint64).view(np.int64)
 
 
-# A chunk's place in one number: the number of its first word, its words, and whether the text has had it before.
+def windows(at: np.ndarray, digests: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end chunk, and digest, of the shortest windows from each chunk on, and up to each, with at least so many words."""
+    n = len(at)
+    ends = np.searchsorted(at, at[:-1] + least)
+    starts = np.searchsorted(at, at[1:] - least, "right") - 1
+    pairs = np.concatenate([(np.arange(n - 1) * n + ends)[ends < n], (starts * n + np.arange(1, n))[starts >= 0]])
+    a, b = np.divmod(np.unique(pairs), n)
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE)]))
+    back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _UNBASE)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(digests.view(np.uint64)) * powers[:-1], dtype=np.uint64)])
+    return a, b, mixed((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
-def _places(at: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    again = np.ones(len(digests), np.int64)
-    again[np.unique(digests, return_index=True)[1]] = 0
-    return at[:-1] << 8 | np.diff(at) << 1 | again
+# A window's place in one number: its first word, its words, and whether the text has had it before, and not in the same words.
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id")
-        rows, places, digests, held = [], [], [], 0
-        for row, _, _, at, found in chunks(batch.column("text")):
-            rows.append(np.full(len(found), row))
-            places.append(_places(at, found))
-            digests.append(found)
-            held += len(found)
-            if held >= ROWS_AT_ONCE or row == len(ids) - 1:
-                whole = [np.concatenate(part) for part in (rows, places, digests)]
-                columns = [ids.take(pa.array(whole[0])), pa.array(whole[1]), pa.array(whole[2])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "digest"])
-                rows, places, digests, held = [], [], [], 0
+def _places(at: np.ndarray, a: np.ndarray, b: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    _, first, of = np.unique(digests, return_index=True, return_inverse=True)
+    return at[a] << 32 | (at[b] - at[a]) << 1 | (b[first[of]] <= a)
 
 
-def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(doc_id, place, digest) of every chunk that is not the first of its digest. Rows without an id take no part.
+def _window_rows(least: int):
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            rows, places, digests, held = [], [], [], 0
+            for row, _, _, at, own in chunks(batch.column("text")):
+                a, b, found = windows(at, own, least)
+                rows.append(np.full(len(found), row))
+                places.append(_places(at, a, b, found))
+                digests.append(found)
+                held += len(found)
+                if held >= ROWS_AT_ONCE or row == len(ids) - 1:
+                    whole = [np.concatenate(part) for part in (rows, places, digests)]
+                    columns = [ids.take(pa.array(whole[0])), pa.array(whole[1]), pa.array(whole[2])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "digest"])
+                    rows, places, digests, held = [], [], [], 0
 
-    The first document of a digest is found by a fold before the shuffle, so a chunk that a third of all documents have
-    comes down to a row for each task; the join that follows can be split at such a chunk.
+    return rows_of
+
+
+def repeated_windows(documents: DataFrame, least: int) -> DataFrame:
+    """(doc_id, place, digest) of every window that is not the first of its digest. Rows without an id take no part.
+
+    The first document of a digest is found by a fold before the shuffle, so a window that a third of all documents have
+    comes down to a row for each task; the join that follows can be split at such a window.
     """
-    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunk_rows, "doc_id long, place long, digest long")
+    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(_window_rows(least), "doc_id long, place long, digest long")
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") > 1)
     repeated = (F.col("doc_id") > F.col("first_id")) | (F.col("place") % 2 == 1)
     return rows.join(firsts.select("digest", "first_id"), "digest").where(repeated).select("doc_id", "place", "digest")
 
 
 def cut_spans(places: np.ndarray, digests: np.ndarray, at: np.ndarray, own: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs [first word, end word) of repeated chunks with at least so many words, of a text's chunks `at` with digests `own`."""
-    is_cut = np.zeros(len(own), bool)
-    index = np.searchsorted(at[:-1], places >> 8)
-    known = (index < len(own)) & (at[np.minimum(index, len(own))] == places >> 8)
-    index, digests = index[known], digests[known]
-    is_cut[index[own[index] == digests]] = True
+    """Runs [first word, end word) that repeated windows cover, of a text's chunks `at` with digests `own`."""
+    a, b, found = windows(at, own, least)
+    here = at[a] << 32 | (at[b] - at[a]) << 1
+    order = np.argsort(here)
+    index = np.minimum(np.searchsorted(here[order], places & ~1), max(0, len(here) - 1))
+    if not len(here):
+        return []
+    index = order[index]
+    index = index[(here[index] == places & ~1) & (found[index] == digests)]
+    depth = np.zeros(len(own) + 1, np.int64)
+    np.add.at(depth, a[index], 1)
+    np.add.at(depth, b[index], -1)
+    is_cut = np.cumsum(depth[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], is_cut.view(np.int8), [0]])))
-    return [(int(at[a]), int(at[b])) for a, b in zip(edges[::2], edges[1::2], strict=True) if at[b] - at[a] >= least]
+    return [(int(at[x]), int(at[y])) for x, y in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def _cut_rows(least: int):
@@ -158,14 +185,14 @@ def remove_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     """The documents without repeated passages, with the number of words that were cut out as `n_removed`.
 
     All rows stay, with all their columns; `n_chars`, where there is one, is the new length of a text that was cut. A passage
-    stays in the document with the smallest id that has it, at its first place there. A passage is found by the chunks
+    stays in the document with the smallest id that has it, at its first place there. A passage is found by the windows
     that lie in it whole: a dozen words at its edges may stay. Rows that repeat an id are one document and are cut alike;
-    a row whose text has no chunk of a digest at a place is not cut there. Null texts and rows without an id stay as
+    a row whose text has no window of a digest at a place is not cut there. Null texts and rows without an id stay as
     they are. Columns called `n_removed` or `_repeated` are replaced.
     """
     documents = documents.drop("n_removed", "_repeated")
     if "n_chars" in documents.columns:
         documents = documents.withColumn("n_chars", F.col("n_chars").cast("long"))
-    found = repeated_chunks(documents).groupBy("doc_id").agg(F.collect_list(F.struct("place", "digest")).alias("_repeated"))
+    found = repeated_windows(documents, least_words).groupBy("doc_id").agg(F.collect_list(F.struct("place", "digest")).alias("_repeated"))
     joined = documents.join(found.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left").drop("_of")
     return joined.mapInArrow(_cut_rows(least_words), widened(documents, n_removed=LongType()))
