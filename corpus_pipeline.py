@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelake.llm import mixing, near_dedup, packing, substring_dedup, toxicity
 from tidelake.llm._common import staged, table
-from tidelake.llm.queries import TOKEN_RANKS
+from tidelake.llm.queries import ADDED_TOKENS, TOKEN_RANKS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return packing.pack(docs, TOKEN_RANKS, public_tokenizers.PATTERN)
+    return packing.pack(docs, TOKEN_RANKS, public_tokenizers.PATTERN, ADDED_TOKENS)
 
 
 STAGES = [

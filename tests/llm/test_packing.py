@@ -73,6 +73,16 @@ def test_pieces_of_text_encode_like_whole_texts(reference):
         assert np.frombuffer(encode(text), encode.dtype).tolist() == reference(text)[:-1], repr(text)
 
 
+def test_added_tokens_are_one_id_as_in_the_json(spark):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    as_loaded = lambda text: [*own.encode(text or "", add_special_tokens=False).ids, 0]
+    rows = [*EDGES, (40, "a <|endoftext|> b"), (41, "<|endoftext|>"), (42, "x<|endoftext|><|endoftext|>  y z"), (43, "two\n<|endoftext|>\nlines <|endof text|>")]
+    found = packing.pack(documents(spark, rows), queries.TOKEN_RANKS, public_tokenizers.PATTERN, queries.ADDED_TOKENS).collect()
+    check(found, rows, as_loaded)
+    encode = packing.encoder(queries.TOKEN_RANKS, public_tokenizers.PATTERN, queries.ADDED_TOKENS)
+    assert np.frombuffer(encode("a <|endoftext|> b"), encode.dtype).tolist() == as_loaded("a <|endoftext|> b")[:-1] == [64, 220, 50256, 275]
+
+
 def test_curve_visits_every_cell_by_single_steps():
     for dimensions, bits in ((2, 3), (3, 2), (3, 3)):
         side = 1 << bits

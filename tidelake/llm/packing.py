@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -119,16 +120,17 @@ class Encoder:
     """Token ids of whole texts, as 16- or 32-bit numbers.
 
     The byte-level tokenizer never joins a word with the space after it, so a text may be cut before any single space that
-    stands between other characters than white space. The ids of the pieces are kept.
+    stands between other characters than white space. The ids of the pieces are kept. A text with one of the `special`
+    strings is encoded whole.
     """
 
-    def __init__(self, encode, dtype: type) -> None:
-        self.encode, self.dtype = encode, dtype
+    def __init__(self, encode, dtype: type, special: tuple[str, ...] = ()) -> None:
+        self.encode, self.dtype, self.special = encode, dtype, special
         self.first, self.later = _Pieces(encode, "", dtype), _Pieces(encode, " ", dtype)
 
     def __call__(self, text: str) -> bytes:
         odd = [c for c in (_ODD[:9] if text.isascii() else _ODD) if c in text]
-        if "  " in text or text[:1] == " " or text[-1:] == " " or any(f" {c}" in text or f"{c} " in text for c in odd):
+        if "  " in text or text[:1] == " " or text[-1:] == " " or any(f" {c}" in text or f"{c} " in text for c in odd) or any(s in text for s in self.special):
             return np.array(self.encode(text), self.dtype).tobytes()
         first, *later = text.split(" ")
         return self.first[first] + b"".join(map(self.later.__getitem__, later))
@@ -139,26 +141,42 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """The strings that a tokenizer's JSON file takes for one id each, wherever they stand in a text."""
+    with open(tokenizer, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def _id_type(vocabulary: dict[bytes, int], special: dict[str, int]) -> type:
+    return np.uint16 if max([*vocabulary.values(), *special.values()]) < 1 << 16 else np.uint32
+
+
 @functools.lru_cache(maxsize=1)
-def _vocabulary(ranks: str, pattern: str) -> tuple[tiktoken.Encoding, type]:
+def _vocabulary(ranks: str, pattern: str, special: tuple[tuple[str, int], ...]) -> tuple[tiktoken.Encoding, type]:
     """A byte-level vocabulary, read once a worker, and the type its ids fit in."""
     vocabulary = _ranks(ranks)
-    own = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
-    return own, np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+    # The file of ranks may list special tokens as well: they are no product of merges then.
+    ordinary = {token: rank for token, rank in vocabulary.items() if rank not in dict(special).values()} if special else vocabulary
+    own = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ordinary, special_tokens=dict(special))
+    return own, _id_type(vocabulary, dict(special))
+
 
+def encoder(ranks: str, pattern: str, special: dict[str, int] | None = None) -> Encoder:
+    """An encoder by a file of ranks and the pattern that parts words; the ids it keeps go with it.
 
-def encoder(ranks: str, pattern: str) -> Encoder:
-    """An encoder by a file of ranks and the pattern that parts words; the ids it keeps go with it."""
-    own, dtype = _vocabulary(ranks, pattern)
-    return Encoder(own.encode_ordinary, dtype)
+    `special`: strings that are one id each; without them they are ordinary text.
+    """
+    special = special or {}
+    own, dtype = _vocabulary(ranks, pattern, tuple(sorted(special.items())))
+    return Encoder(functools.partial(own.encode, allowed_special="all") if special else own.encode_ordinary, dtype, tuple(special))
 
 
 # ---------------------------------------------------------------- packing
 
 
-def _encode_rows(ranks: str, pattern: str):
+def _encode_rows(ranks: str, pattern: str, special: dict[str, int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern)
+        encode = encoder(ranks, pattern, special)
         end = np.array([END], encode.dtype).tobytes()
         for batch in in_parts(batches):
             texts = batch.column("text")
@@ -225,7 +243,7 @@ def _pack(dtype: type):
     return pack_range
 
 
-def pack(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def pack(documents: DataFrame, ranks: str, pattern: str, special: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document.
 
     Each document's ids, with id 0 at the end, are cut into pieces that lie in one sequence each; pieces of a sequence join
@@ -233,7 +251,9 @@ def pack(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     one id 0. Rows that repeat a doc_id are packed each on its own; other columns are ignored; an empty table gives no rows.
 
     `ranks` and `pattern`: file and word pattern of a byte-level vocabulary; the file must be there on every executor.
+    `special`: strings that are one id each wherever they stand; without them they are ordinary text.
     """
+    special = special or {}
     documents = documents.select("doc_id", "text")
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Where ranges end decides on the layout only, so a sample by hash will do; the texts are encoded once.
@@ -243,11 +263,11 @@ def pack(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     bounds = np.array(sorted(set(found or [])), np.int64)
 
     def with_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _encode_rows(ranks, pattern)(batches):
+        for batch in _encode_rows(ranks, pattern, special)(batches):
             found = np.searchsorted(bounds, np.asarray(batch.column("key")), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "range"])
 
     encoded = documents.mapInArrow(with_range, "doc_id long, key long, ids binary, range int")
     rows = encoded.repartitionById(partitions, "range").sortWithinPartitions("key", "doc_id", "ids")
-    dtype = np.uint16 if max(_ranks(ranks).values()) < 1 << 16 else np.uint32
+    dtype = _id_type(_ranks(ranks), special)
     return rows.mapInArrow(_pack(dtype), _PIECES)

@@ -23,6 +23,8 @@ URL_RULES = [
 REJECT_WORDS = ["casino", "bets", "pills", "ads", "adult", "spam"]
 #: The vocabulary of byte_bpe_50k.json as ranks.
 TOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Its strings that are one id each.
+ADDED_TOKENS = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKEN_RANKS, public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), TOKEN_RANKS, public_tokenizers.PATTERN, ADDED_TOKENS)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
