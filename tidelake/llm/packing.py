@@ -12,6 +12,7 @@ import base64
 import functools
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,10 @@ SEQUENCE = 1024
 DIMENSIONS, BITS = 3, 10
 #: One document in so many is looked at to bound the ranges of the curve.
 SAMPLED = 10
-#: Token ids of pieces of text that a task keeps; more are encoded again.
+#: Bytes of text that a range should have, where that makes more ranges than the session's shuffle partitions, and the
+#: finest cut of the sampled keys, which no number of ranges exceeds.
+RANGE_BYTES, RANGE_STEPS = 128 << 20, 20_000
+#: Pieces of text whose token ids a task keeps since it last put some aside, and as many that are aside.
 KEPT_PIECES = 150_000
 #: Id at the end of every document.
 END = 0
@@ -102,15 +106,22 @@ _ODD = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0
 
 
 class _Pieces(dict):
-    """Ids of pieces of text, each after the given start, as bytes; filled as pieces come up."""
+    """Ids of pieces of text, each after the given start, as bytes; filled as pieces come up.
 
-    def __init__(self, encode, start: str, dtype: type) -> None:
+    When it is full, the pieces met since the last time are kept aside, and those not met again until the next time go.
+    """
+
+    def __init__(self, encode, start: str, code: str) -> None:
         super().__init__()
-        self.encode, self.start, self.dtype = encode, start, dtype
+        self.encode, self.start, self.code = encode, start, code
+        self.aside: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(self.start + piece), self.dtype).tobytes()
+        ids = self.aside.get(piece)
+        if ids is None:
+            ids = array(self.code, self.encode(self.start + piece)).tobytes()
         if len(self) >= KEPT_PIECES:
+            self.aside = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -121,17 +132,19 @@ class Encoder:
 
     The byte-level tokenizer never joins a word with the space after it, so a text may be cut before any single space that
     stands between other characters than white space. The ids of the pieces are kept. A text with one of the `special`
-    strings is encoded whole.
+    strings is encoded whole; a piece has none, so that the plain encoding does for it.
     """
 
-    def __init__(self, encode, dtype: type, special: tuple[str, ...] = ()) -> None:
-        self.encode, self.dtype, self.special = encode, dtype, special
-        self.first, self.later = _Pieces(encode, "", dtype), _Pieces(encode, " ", dtype)
+    def __init__(self, own: tiktoken.Encoding, dtype: type, special: tuple[str, ...] = ()) -> None:
+        self.dtype, self.special = dtype, special
+        self.whole = functools.partial(own.encode, allowed_special="all") if special else own.encode_ordinary
+        code = "H" if dtype is np.uint16 else "I"
+        self.first, self.later = _Pieces(own.encode_ordinary, "", code), _Pieces(own.encode_ordinary, " ", code)
 
     def __call__(self, text: str) -> bytes:
         odd = [c for c in (_ODD[:9] if text.isascii() else _ODD) if c in text]
         if "  " in text or text[:1] == " " or text[-1:] == " " or any(f" {c}" in text or f"{c} " in text for c in odd) or any(s in text for s in self.special):
-            return np.array(self.encode(text), self.dtype).tobytes()
+            return np.array(self.whole(text), self.dtype).tobytes()
         first, *later = text.split(" ")
         return self.first[first] + b"".join(map(self.later.__getitem__, later))
 
@@ -168,7 +181,7 @@ def encoder(ranks: str, pattern: str, special: dict[str, int] | None = None) ->
     """
     special = special or {}
     own, dtype = _vocabulary(ranks, pattern, tuple(sorted(special.items())))
-    return Encoder(functools.partial(own.encode, allowed_special="all") if special else own.encode_ordinary, dtype, tuple(special))
+    return Encoder(own, dtype, tuple(special))
 
 
 # ---------------------------------------------------------------- packing
@@ -188,7 +201,9 @@ def _encode_rows(ranks: str, pattern: str, special: dict[str, int]):
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch({"key": curve_keys(batch.column("text"), batch.column("doc_id"))})
+        texts = batch.column("text")
+        sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+        yield pa.record_batch({"key": curve_keys(texts, batch.column("doc_id")), "bytes": sizes})
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -255,12 +270,14 @@ def pack(documents: DataFrame, ranks: str, pattern: str, special: dict[str, int]
     """
     special = special or {}
     documents = documents.select("doc_id", "text")
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Where ranges end decides on the layout only, so a sample by hash will do; the texts are encoded once.
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(_key_rows, "key long")
-    shares = [i / partitions for i in range(1, partitions)]
-    found = sample.agg(F.percentile_approx("key", shares, max(10_000, 10 * partitions))).first()[0] if shares else None
-    bounds = np.array(sorted(set(found or [])), np.int64)
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(_key_rows, "key long, bytes long")
+    shares = [i / RANGE_STEPS for i in range(1, RANGE_STEPS)]
+    found, size = sample.agg(F.percentile_approx("key", shares, 10 * RANGE_STEPS), F.sum("bytes")).first()
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(RANGE_STEPS, max(partitions, (size or 0) * SAMPLED // RANGE_BYTES))
+    found = [found[i * RANGE_STEPS // partitions - 1] for i in range(1, partitions)] if found else []
+    bounds = np.array(sorted(set(found)), np.int64)
 
     def with_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _encode_rows(ranks, pattern, special)(batches):
