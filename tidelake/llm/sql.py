@@ -66,3 +66,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (WHERE phr
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(votes), 0.0) AS score
 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, len(d.w)"""
+
+RANKED_SEARCH = f"""WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL
+), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL
+), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), w AS (
+  SELECT item_id, term, times, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS weight FROM q JOIN df USING (term), total
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + 25 * n * docs // terms)))) AS BIGINT) AS score
+  FROM w JOIN tf USING (term) JOIN n USING (doc_id), total GROUP BY ALL
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
