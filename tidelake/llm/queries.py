@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import conversations, licenses, mixing, near_dedup, packing, quality, ranked_search, sql, substring_dedup, syncmers, topk, toxicity, url_filter
+from tidelake.llm import conversations, html_extract, licenses, mixing, near_dedup, packing, quality, ranked_search, sql, substring_dedup, syncmers, topk, toxicity, url_filter
 from tidelake.llm._common import held_out, table
 
 # The rules that judge pages.
@@ -77,6 +77,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_html_extract": op11_html_extract,
     "op12_ranked_search": op12_ranked_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -103,5 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": sql.EXACT_TOP_K,
     "op8_minhash_near_dedup": sql.NEAR_DEDUP,
     "op10_license_scan": sql.LICENSE_SCAN,
+    "op11_html_extract": sql.HTML_EXTRACT,
     "op12_ranked_search": sql.RANKED_SEARCH,
 }

