@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import os
 import sys
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidelake import fixtures as fx  # noqa: E402
-from tidelake.functions.contracts import BrokenContract, Contract  # noqa: E402
+from tidelake.functions.contracts import BrokenContract, Contract, Field  # noqa: E402
 from tidelake.functions.envelope import json_field, parse_records, table_of  # noqa: E402
 from tidelake.operators import bronze, capture, checks, consume, gold, profile, report, silver  # noqa: E402
-from tidelake.plans.silver_job import SilverOptions, merge_all  # noqa: E402
+from tidelake.plans.silver_job import SilverOptions, merge_all, merge_day  # noqa: E402
 from tidelake.session import scratch_dir  # noqa: E402
 from tidelake.sources import kafka, seed  # noqa: E402
+from tidelake.sources.keyed import KeyedTable  # noqa: E402
 from tidelake.sources.lake import BronzeFiles  # noqa: E402
 from tidelake.streaming.bronze_stream import start_bronze  # noqa: E402
 
@@ -523,6 +525,26 @@ def bronze_compacted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_counts(spark, store)
 
 
+@query("bronze_compacted_late_batch", _ROUTING_SQL)
+def bronze_compacted_late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day folded while the batches of one more stream arrive, after the rows were read and before the old ones go."""
+    folder = scratch_dir(spark, "bronze-late")
+    store = BronzeFiles(f"{folder}/bronze")
+
+    def run(table: str) -> None:
+        source, derive = _CHANGES[table]
+        _run_stream(derive(_stream(spark, sf_dir, source)), store, f"{folder}/{table}")
+
+    run("customers")
+    run("orders")
+    days = store.read(spark).select(F.date_format("_ingested_at", "yyyy-MM-dd")).distinct().collect()  # one, or two at midnight
+    for n, (day,) in enumerate(days):
+        for step in store.fold_steps(spark, day):
+            if n == 0 and step == "written":
+                run("events")
+    return _stored_counts(spark, store)
+
+
 @query(
     "preview",
     f"""WITH {_OC} SELECT order_id * 3 + step AS "offset", op AS cdc_op FROM oc ORDER BY 1 LIMIT 10""",
@@ -622,6 +644,100 @@ def silver_merge_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("order_id", "customer_id", "status", "amount", F.col("_cdc_op").alias("cdc_op"))
 
 
+def _database(folder: str) -> str:
+    return os.path.basename(folder).replace("-", "_")
+
+
+@query(
+    "silver_merge_touched",
+    f"""WITH {_SO}, last AS (
+  SELECT order_id, changed_at FROM oc AS a
+  WHERE step > 0 AND NOT EXISTS (SELECT 1 FROM oc AS b WHERE b.order_id = a.order_id AND b.step > a.step))
+SELECT order_id, customer_id, status, amount, op AS cdc_op,
+       (SELECT count(DISTINCT order_id // 500) FROM last WHERE changed_at = (SELECT max(changed_at) FROM last)) AS buckets_read FROM so""",
+)
+def silver_merge_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot in ranges of keys, all updates and deletes merged, then those of the last day once more."""
+    rows = silver.parse_envelope(_valid(spark, sf_dir, "orders"), fx.ORDERS)
+    stored = silver.dedup_changes(rows.filter(F.col("_cdc_op") == "r"), fx.ORDERS)
+    changes = silver.dedup_changes(rows.filter(F.col("_cdc_op") != "r"), fx.ORDERS)
+    stored, changes = _stored(spark, stored, "touched-stored"), _stored(spark, changes, "touched-changes")
+    table = KeyedTable(f"{_database(scratch_dir(spark, 'touched'))}.orders", ["order_id"], width=500)
+    table.create(spark, stored.schema)
+    table.merge(stored)
+    table.merge(changes)
+    last = changes.agg(F.max("_ingested_at").alias("_ingested_at"))
+    touched = table.merge(_stored(spark, changes.join(last, "_ingested_at").select(*changes.columns), "touched-last"))
+    columns = ["order_id", "customer_id", "status", "amount", F.col("_cdc_op").alias("cdc_op")]
+    return table.read(spark).select(*columns, F.lit(len(touched)).cast("long").alias("buckets_read"))
+
+
+@query(
+    "silver_contract_grows",
+    f"""WITH {_OC}, latest AS (
+  SELECT * FROM oc AS a WHERE NOT EXISTS (SELECT 1 FROM oc AS b WHERE b.order_id = a.order_id AND b.step > a.step))
+SELECT order_id, CASE WHEN step > 0 THEN customer_id END AS customer_id, CASE WHEN step = 0 THEN 'day one' END AS note, status,
+       CASE WHEN step > 0 THEN amount ELSE CAST(CAST(amount AS FLOAT) AS DOUBLE) END AS amount, op AS cdc_op FROM latest""",
+)
+def silver_contract_grows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot under an early contract, the changes under today's: a field more, one less, two wider types."""
+    folder = scratch_dir(spark, "contract-grows")
+    store = BronzeFiles(f"{folder}/bronze")
+    early = Contract(
+        "orders",
+        (Field("order_id", "integer", True, True), Field("note"), Field("status", "string", True), Field("amount", "float", True)),
+    )
+    changes = _changes(spark, sf_dir, "orders")
+    noted = F.regexp_replace("value", '"status"', '"note":"day one","status"')
+    first = changes.filter("offset % 3 = 0").withColumn("value", noted)
+    options = SilverOptions(database=_database(folder))
+    steps = [(first, early, "2024-01-01"), (changes.filter("offset % 3 <> 0"), fx.ORDERS, "2024-01-02")]
+    for n, (rows, contract, day) in enumerate(steps):
+        store.write(bronze.to_bronze(rows, {"orders": contract}, ingested_at=f"{day} 10:00:00"), n)
+        merge_day(spark, store, contract, day, options=options)
+    rows = spark.table(f"{options.database}.orders")
+    return rows.select("order_id", "customer_id", "note", "status", "amount", F.col("_cdc_op").alias("cdc_op"))
+
+
+@query(
+    "silver_unique_enforced",
+    """WITH c AS (SELECT c_custkey AS k, 'customer_' || c_custkey || '@example.com' AS email,
+             EXISTS (SELECT 1 FROM customer b WHERE b.c_custkey = a.c_custkey + 1) AS next_exists FROM customer a
+), w AS (
+  SELECT *, CASE k % 10 WHEN 3 THEN 'customer_' || (k + 1) || '@example.com' WHEN 4 THEN 'moved_' || k || '@example.com'
+                        WHEN 5 THEN 'customer_' || (k + 1) || '@example.com' WHEN 7 THEN 'same_' || (k // 20) || '@example.com'
+                        WHEN 8 THEN 'customer_' || (k - 3) || '@example.com' END AS wanted,
+         CASE k % 10 WHEN 5 THEN next_exists WHEN 7 THEN k // 20 = (k - 10) // 20 AND k > 10 WHEN 8 THEN TRUE ELSE FALSE END AS held FROM c
+)
+SELECT k AS customer_id, CASE WHEN held OR wanted IS NULL THEN email ELSE wanted END AS email,
+       CASE WHEN held THEN 'email: unique' END AS held_back FROM w""",
+)
+def silver_unique_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who change their address: to one that another gives up, keeps, claims as well, or would have given up."""
+    folder = scratch_dir(spark, "unique-enforced")
+    store = BronzeFiles(f"{folder}/bronze")
+    first = _changes(spark, sf_dir, "customers")
+    key = F.col("customer_id")
+    address = lambda name, number: F.concat(F.lit(f"{name}_"), number.cast("string"), F.lit("@example.com"))
+    wanted = (
+        F.when(key % 10 == 3, address("customer", key + 1))
+        .when(key % 10 == 4, address("moved", key))
+        .when(key % 10 == 5, address("customer", key + 1))
+        .when(key % 10 == 7, address("same", F.floor(key / 20)))
+        .when(key % 10 == 8, address("customer", key - 3))
+    )
+    old = fx.customers(fx.table(spark, sf_dir, "customer"))
+    new = old.withColumn("email", F.coalesce(wanted, "email"))
+    moves = capture.diff_to_cdc(old, new, "customers", ["customer_id"], F.lit(1704200000000))
+    options = SilverOptions(database=_database(folder))
+    for n, (rows, day) in enumerate([(first, "2024-01-01"), (moves, "2024-01-02")]):
+        store.write(bronze.to_bronze(rows, {"customers": fx.CUSTOMERS}, ingested_at=f"{day} 10:00:00"), n)
+        merge_day(spark, store, fx.CUSTOMERS, day, options=options)
+    held = spark.table(f"{options.database}.customers__rejected")
+    held = held.select(F.get_json_object("_key", "$.customer_id").cast("long").alias("customer_id"), F.col("_validation_error").alias("held_back"))
+    return spark.table(f"{options.database}.customers").select("customer_id", "email").join(held, "customer_id", "left")
+
+
 @query(
     "silver_merge_ties",
     """SELECT 'forth' AS runs, l_orderkey AS id, max(l_linenumber) AS last_line FROM lineitem GROUP BY 2
@@ -996,6 +1112,25 @@ def stage_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.stage_seconds(fx.run_log(fx.table(spark, sf_dir, "events")))
 
 
+@query(
+    "offset_gaps",
+    """WITH r AS (
+  SELECT event_id % 3 AS p, event_id // 3 AS o, event_id % 31 = 0 AS twice FROM events WHERE (event_id // 3) % 50 NOT IN (7, 8)
+), d AS (SELECT p, o, lead(o) OVER (PARTITION BY p ORDER BY o) AS after FROM r)
+SELECT 'cdc.public.events' AS topic, CAST(p AS INTEGER) AS "partition", o + 1 AS first_missing, after - 1 AS last_missing,
+       after - o - 1 AS n_missing, 0 AS n_repeated FROM d WHERE after > o + 1
+UNION ALL SELECT 'cdc.public.events', CAST(p AS INTEGER), NULL, NULL, 0, count(*) FROM r WHERE twice GROUP BY p""",
+)
+def offset_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that has lost some records and stored others twice, found by its bronze rows, valid and invalid ones."""
+    changes = _changes(spark, sf_dir, "events").withColumn("place", F.floor(F.col("offset") / 3).cast("long"))
+    left = changes.filter("place % 50 NOT IN (7, 8)")
+    left = left.unionByName(left.filter("offset % 31 = 0")).drop("offset").withColumnRenamed("place", "offset")
+    rows = bronze.to_bronze(left, fx.CONTRACTS, ingested_at=LATENCY_INGESTED_AT)
+    names = {"_source_topic": "topic", "_partition": "partition", "_offset": "offset"}
+    return report.offset_gaps(rows.select(*names).withColumnsRenamed(names))
+
+
 @query(
     "stream_lag",
     f"""SELECT 'cdc.public.events' AS topic, CAST(event_id % 3 AS INTEGER) AS "partition",
@@ -1031,20 +1166,20 @@ def _with_package(function: Query) -> Query:
 
 
 def _add_optional() -> None:
-    """Add the training-data queries where their modules exist; the rest works without them."""
+    """Add the training-data queries where their modules and all that they need exist; the rest works without them."""
     try:
         from tidelake.llm import queries as llm
-    except ModuleNotFoundError as error:
-        if not (error.name or "").startswith("tidelake.llm"):
-            raise
+    except (ImportError, OSError) as error:
+        if not (getattr(error, "name", None) or "").startswith("tidelake.llm"):
+            warnings.warn(f"without the training-data queries: {error}", stacklevel=1)
         return
     _QUERIES.update({name: _with_package(function) for name, function in llm.QUERIES.items()})
     _ORACLE.update(llm.ORACLE_SQL)
     try:
         import corpus_pipeline
-    except ModuleNotFoundError as error:
+    except ImportError as error:
         if error.name != "corpus_pipeline":
-            raise
+            warnings.warn(f"without the pipeline: {error}", stacklevel=1)
         return
     _QUERIES["pipeline"] = _with_package(corpus_pipeline.run)
     if corpus_pipeline.ORACLE_SQL:

@@ -106,6 +106,71 @@ def test_folding_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
     assert offsets(store, spark) == [0, 0, 0]
 
 
+STEPS = ["recovered", "planned", "written", "announced", "placed", "switched", "cleaned"]
+
+
+@pytest.mark.parametrize("stop", STEPS)
+def test_a_fold_that_stops_after_any_step_loses_and_repeats_nothing(spark, tmp_path, stop):
+    store = lake.BronzeFiles(str(tmp_path / "bronze"))
+    for i in range(3):
+        store.write(batch(spark, [good(1), "{broken"]), i, "s")
+    steps = store.fold_steps(spark, "2024-03-01")
+    for step in steps:
+        assert offsets(store, spark) == [0, 0, 0] and offsets(store, spark, "invalid", "2024-03-01") == [1, 1, 1], step
+        if step == stop:
+            break
+    steps.close()
+    store.write(batch(spark, [good(1)] * 7), 9, "s")  # a late batch after the stop
+    store.write(batch(spark, [good(1), "{broken"]), 1, "s")  # and one that repeats
+    expected = [0] * 4 + [1, 2, 3, 4, 5, 6]
+    assert offsets(store, spark) == expected
+    store.compact_day(spark, "2024-03-01")
+    assert offsets(store, spark) == expected and offsets(store, spark, "invalid") == [1, 1, 1]
+    store.write(batch(spark, [good(1), "{broken"]), 2, "s")  # folded by now
+    store.compact_day(spark, "2024-03-01")
+    assert offsets(store, spark) == expected and offsets(store, spark, "invalid") == [1, 1, 1]
+    assert sorted(p.name for p in (tmp_path / "bronze" / "_ingest_date=2024-03-01").glob("_stream_id=s/*")) == []
+
+
+@pytest.mark.parametrize("during", STEPS[1:-1])
+def test_batches_that_come_while_a_day_is_folded_stay(spark, tmp_path, during):
+    store = lake.BronzeFiles(str(tmp_path / "bronze"))
+    for i in range(2):
+        store.write(batch(spark, [good(1)]), i, "s")
+    for step in store.fold_steps(spark, "2024-03-01"):
+        if step == during:
+            store.write(batch(spark, [good(1), good(2)]), 5, "s")
+            store.write(batch(spark, [good(1)]), 1, "s")  # a repeat is left to the fold
+        assert offsets(store, spark) == ([0, 0] if STEPS.index(step) < STEPS.index(during) else [0, 0, 0, 1])
+    assert offsets(store, spark) == [0, 0, 0, 1]
+
+
+def test_a_batch_that_changes_while_it_is_read_stops_the_fold(spark, tmp_path):
+    store = lake.BronzeFiles(str(tmp_path / "bronze"))
+    store.write(batch(spark, [good(1)]), 0, "s")
+    steps = store.fold_steps(spark, "2024-03-01")
+    assert [next(steps), next(steps)] == ["recovered", "planned"]
+    mark = next((tmp_path / "bronze").glob("*/*/*/_SUCCESS"))
+    mark.unlink()  # a writer that looked before the fold was planned has begun
+    with pytest.raises(RuntimeError, match="has changed"):
+        list(steps)
+    assert offsets(store, spark) == [0] and store._folded(spark, "2024-03-01") == set()
+
+
+def test_a_hot_table_is_folded_by_several_tasks(spark, tmp_path):
+    store = lake.BronzeFiles(str(tmp_path / "bronze"))
+    for i in range(4):
+        store.write(batch(spark, [record("c", {"id": n, "name": f"{n * 7919 % 65537:x}" * 20}) for n in range(i * 2000, i * 2000 + 2000)]), i, "s")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        store.compact_day(spark, "2024-03-01")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(list((tmp_path / "bronze").glob("*/_stream_id=compacted/*/*/_table=items/*.parquet"))) > 1
+    assert store.read(spark, "items").count() == 8000
+
+
 def test_any_topic_can_be_stored_and_read(spark, store):
     store.write(batch(spark, [good(1), good(2)], topic="cdc.public.my-table"), 0)
     assert offsets(store, spark, table="my-table") == [0, 1] and offsets(store, spark, table="my_table") == []

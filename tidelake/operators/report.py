@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.operators.bronze import routing_counts
 from tidelake.operators.consume import table_counts
 
+#: Positions of one of Spark's bitmaps.
+_BLOCK = 32_768
+
 RUN_LOG_SCHEMA = (
     "run_id string, table_name string, seq bigint, stage string, "
     "seconds double, score double, error string"
@@ -70,6 +73,64 @@ def topic_offsets(changes: DataFrame) -> DataFrame:
     )
 
 
+def offset_islands(changes: DataFrame) -> DataFrame:
+    """(topic, partition, first, last, n_records) of every run of offsets without a hole.
+
+    Offsets are folded to bitmaps of 32,768 positions before the shuffle, in every map task. A bitmap without a hole
+    between its ends is one run; only the records of the others are looked at one by one. Null offsets take no part.
+    """
+    records = changes.where(F.col("offset").isNotNull()).select("topic", "partition", "offset")
+    block = F.floor(F.col("offset") / _BLOCK).cast("bigint").alias("block")
+    folded = records.groupBy("topic", "partition", block).agg(
+        F.min("offset").alias("first"),
+        F.max("offset").alias("last"),
+        F.count("*").alias("n_records"),
+        F.bitmap_count(F.bitmap_construct_agg(F.pmod("offset", F.lit(_BLOCK)))).alias("n_offsets"),
+    )
+    whole = F.col("n_offsets") == F.col("last") - F.col("first") + 1
+    runs = folded.where(whole).select("topic", "partition", "first", "last", "n_records")
+    holed = folded.where(~whole).select("topic", "partition", "block")
+    single = records.withColumn("block", block).join(holed, ["topic", "partition", "block"], "left_semi")
+    single = single.groupBy("topic", "partition", "block", "offset").agg(F.count("*").alias("n"))
+    in_block = Window.partitionBy("topic", "partition", "block").orderBy("offset")
+    run = (F.col("offset") - F.row_number().over(in_block)).alias("run")
+    pieces = single.select("topic", "partition", "block", "offset", "n", run).groupBy("topic", "partition", "block", "run")
+    pieces = pieces.agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.sum("n").alias("n_records"))
+    # Runs of neighbouring blocks go on where they touch: a row for each hole or block is left by now.
+    parts = runs.unionByName(pieces.select(*runs.columns))
+    along = Window.partitionBy("topic", "partition").orderBy("first")
+    begins = F.coalesce(F.col("first") != F.lag("last").over(along) + 1, F.lit(True)).cast("int")
+    numbered = parts.withColumn("begins", begins).withColumn("island", F.sum("begins").over(along))
+    return numbered.groupBy("topic", "partition", "island").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n_records").alias("n_records")
+    ).drop("island")
+
+
+def offset_gaps(changes: DataFrame) -> DataFrame:
+    """(topic, partition, first_missing, last_missing, n_missing, n_repeated): proof that nothing is lost, or what is.
+
+    A row for each hole between the offsets that are there, and one per partition for records that are there more often than
+    once (without a hole's columns). A partition without either has no row. Give it valid and invalid bronze rows together.
+    """
+    islands = offset_islands(changes)
+    along = Window.partitionBy("topic", "partition").orderBy("first")
+    holes = islands.withColumn("after", F.lead("first").over(along)).where(F.col("after").isNotNull())
+    holes = holes.select(
+        "topic",
+        "partition",
+        (F.col("last") + 1).alias("first_missing"),
+        (F.col("after") - 1).alias("last_missing"),
+        (F.col("after") - F.col("last") - 1).alias("n_missing"),
+        F.lit(0).cast("bigint").alias("n_repeated"),
+    )
+    spare = F.sum(F.col("n_records") - (F.col("last") - F.col("first") + 1)).alias("n_repeated")
+    repeated = islands.groupBy("topic", "partition").agg(spare).where(F.col("n_repeated") > 0)
+    none = F.lit(None).cast("bigint")
+    return holes.unionByName(
+        repeated.select("topic", "partition", none.alias("first_missing"), none.alias("last_missing"), F.lit(0).cast("bigint").alias("n_missing"), "n_repeated")
+    )
+
+
 def stream_lag(offsets: DataFrame, committed: DataFrame) -> DataFrame:
     """Records not yet read per partition: end offset minus committed offset (`committed_offset`).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,3 +148,43 @@ def _resolve(
 def live_rows(silver: DataFrame) -> DataFrame:
     """Rows that are not deleted; a no-op on tables merged without tombstones."""
     return silver.filter(F.col("_cdc_op") != "d")
+
+
+def unique_clashes(
+    stored: DataFrame, batch: DataFrame, keys: Sequence[str], column: str, written: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The keys of deduplicated changes that would give a value of `column` to a second live row.
+
+    A value belongs to the stored row that has it, unless a change takes it away, then to the earliest change that claims it. A
+    change that is held back leaves its stored row as it is, with the value it has, so this is repeated until no more
+    are held back. Null values, deletes and changes older than the stored row claim nothing. Of the stored
+    table only rows with a key or value of the batch are kept, and only these are grouped. `written` puts a frame aside and
+    reads it again, so that rounds do not repeat each other's work.
+    """
+    keys = list(keys)
+    order = [c for c in ORDER_COLUMNS if c in batch.columns]
+    slim = lambda df: df.select(*keys, F.col(column).alias("_value"), F.col("_cdc_op").alias("_op"), F.struct(*order).alias("_order"))
+    changes = slim(batch)
+    values = changes.where((F.col("_op") != "d") & F.col("_value").isNotNull()).select("_value").distinct()
+    by_key = slim(stored).join(changes.select(*keys), keys, "left_semi").withColumn("_met", F.lit(True))
+    by_value = slim(stored).join(values, "_value", "left_semi").join(changes.select(*keys), keys, "left_anti")
+    near = by_key.unionByName(by_value.withColumn("_met", F.lit(False)).select(*by_key.columns)).where(F.col("_op") != "d")
+
+    old = near.where("_met").select(*keys, F.col("_value").alias("_old"), F.col("_order").alias("_old_order"))
+    told = changes.join(old, keys, "left").withColumn("_applies", F.col("_old_order").isNull() | (F.col("_order") >= F.col("_old_order")))
+    told = written(told)
+    claims = told.where(F.col("_applies") & (F.col("_op") != "d") & F.col("_value").isNotNull()).select(*keys, "_value", F.lit(1).alias("_turn"), "_order")
+    others = written(near.where(~F.col("_met") & F.col("_value").isNotNull()).select(*keys, "_value", F.lit(0).alias("_turn"), "_order"))
+    # What stays if a change is held back, or is none that applies.
+    stays = told.where(F.col("_old").isNotNull()).select(*keys, F.col("_old").alias("_value"), F.lit(0).alias("_turn"), F.col("_old_order").alias("_order"), "_applies")
+    held = written(claims.select(*keys).where(F.lit(False)))
+    while True:
+        kept = stays.where(~F.col("_applies")).unionByName(stays.where("_applies").join(held, keys, "left_semi")).drop("_applies")
+        claiming = claims.join(held, keys, "left_anti")
+        place = F.struct("_turn", "_order", *keys)
+        all_claims = others.unionByName(kept).unionByName(claiming)
+        first = all_claims.groupBy("_value").agg(F.min(place).alias("_first"))
+        lost = written(claiming.join(first, "_value").where(place != F.col("_first")).select(*keys))
+        if lost.isEmpty():
+            return held
+        held = written(held.unionByName(lost))

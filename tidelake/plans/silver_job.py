@@ -9,19 +9,32 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelake.functions.contracts import BrokenContract, Contract, ContractError, load_contract, load_contracts
 from tidelake.operators.bronze import revalidate, valid_rows
 from tidelake.operators.report import RUN_LOG_SCHEMA
-from tidelake.operators.silver import TIMESTAMP_MODES, dedup_changes, live_rows, merge_small_batch, parse_envelope
+from tidelake.operators.silver import (
+    META_COLUMNS,
+    TIMESTAMP_MODES,
+    dedup_changes,
+    live_rows,
+    merge_small_batch,
+    parse_envelope,
+    unique_clashes,
+)
 from tidelake.session import build_session, delete_folder, scratch_dir
+from tidelake.sources.keyed import KeyedTable
 from tidelake.sources.lake import (
     BronzeFiles,
     BronzeTables,
     create_silver,
+    grown_schema,
+    in_columns,
     merge_into_table,
     publish_version,
     silver_ddl,
+    silver_schema,
     write_version,
 )
 from tidelake.streaming.bronze_stream import add_store_arguments, store_from
@@ -36,7 +49,14 @@ class SilverOptions:
     buckets: int | None = None
     row_level: bool = False  # merge in place on a catalog with row-level operations
     count: bool = False
-    keep_hours: float = 0.0  # how long readers may use an older version of a table
+    keep_hours: float = 1.0  # how long readers may use an older version of a table
+    key_buckets: int | None = None  # keep the table in so many key buckets, and rewrite those that a batch touches
+    key_width: int | None = None  # the same, with ranges of so many numbers of a single key
+
+    def keyed_table(self, name: str, keys: list[str]) -> KeyedTable | None:
+        if self.key_buckets is None and self.key_width is None:
+            return None
+        return KeyedTable(name, keys, self.key_buckets or 64, self.key_width, self.keep_hours)
 
 
 @dataclass(frozen=True)
@@ -46,6 +66,7 @@ class Outcome:
     seconds: float
     rows: int | None = None
     error: str | None = None
+    rejected: int = 0  # changes that were held back by a unique rule
 
 
 def day_changes(
@@ -74,6 +95,10 @@ def merge_day(
 
     The deduplicated batch is written to the scratch folder first: it is read more than once, and Spark
     then knows its size and decides how to join. The folder goes when the merge is done, or has failed.
+
+    Silver grows with its contract: added fields are null in older rows, a type that holds every value of the stored one
+    replaces it, dropped fields stay (null in rows that change later). Any other change fails the table. Changes that
+    break a `unique` rule are held back before anything is written.
     """
     start = time.monotonic()
     if isinstance(contract, BrokenContract):
@@ -84,22 +109,95 @@ def merge_day(
     if bronze.isEmpty():
         return Outcome(contract.table, "empty", time.monotonic() - start)
     changes = dedup_changes(parse_envelope(bronze, contract, options.timestamps), contract)
+    rejected = 0
     if options.row_level:
         spark.sql(silver_ddl(name, contract, options.timestamps))
         merge_into_table(changes, name, keys, options.guard, options.tombstones)
     else:
-        staged_path = scratch_dir(spark, f"silver-{contract.table}")
-        try:
-            changes.write.parquet(staged_path)
-            staged = spark.read.schema(changes.schema).parquet(staged_path)
-            create_silver(spark, name, contract, options.timestamps, options.buckets)
-            merged = merge_small_batch(spark.table(name), staged, keys, options.guard, options.tombstones)
-            version = write_version(spark, merged, name, keys, options.buckets, aligned=True)
-        finally:
-            delete_folder(spark, staged_path)
-        publish_version(spark, name, version, keep_hours=options.keep_hours)
+        with _Staging(spark, contract.table) as written:
+            batch = written(changes)
+            keyed = options.keyed_table(name, keys)
+            if keyed:
+                keyed.create(spark, silver_schema(contract, options.timestamps))
+                schema, stored = keyed.grow(spark, batch.schema), keyed.read(spark)
+            else:
+                create_silver(spark, name, contract, options.timestamps, options.buckets)
+                stored = spark.table(name)
+                schema = grown_schema(stored.schema, batch.schema)
+            batch, rejected = _unique_only(in_columns(stored, schema), in_columns(batch, schema), contract, day, options, written)
+            if keyed:
+                keyed.merge(batch, options.guard, options.tombstones)
+            else:
+                grows = schema != stored.schema
+                merged = merge_small_batch(in_columns(stored, schema), batch, keys, options.guard, options.tombstones)
+                version = write_version(spark, merged, name, keys, options.buckets, aligned=not grows, grows=grows)
+                publish_version(spark, name, version, keep_hours=options.keep_hours)
     rows = live_rows(spark.table(name)).count() if options.count else None
-    return Outcome(contract.table, "merged", time.monotonic() - start, rows)
+    return Outcome(contract.table, "merged", time.monotonic() - start, rows, rejected=rejected)
+
+
+class _Staging:
+    """Writes frames to the scratch folder and reads them again; the folders go at the end, or when something fails."""
+
+    def __init__(self, spark: SparkSession, table: str) -> None:
+        self.spark, self.table, self.paths = spark, table, []
+
+    def __enter__(self) -> _Staging:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(scratch_dir(self.spark, f"silver-{self.table}"))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete_folder(self.spark, path)
+
+
+def _unique_only(
+    stored: DataFrame, batch: DataFrame, contract: Contract, day: str, options: SilverOptions, written: _Staging
+) -> tuple[DataFrame, int]:
+    """The changes that break no `unique` rule of the contract, and how many are held back.
+
+    Those go to `<table>__rejected`, by day, with the rule; a rerun of the day replaces them. A rule on the key itself holds
+    by the merge.
+    """
+    keys = contract.require_keys()
+    columns = [c for c in contract.unique if [c] != keys]
+    if not columns:
+        return batch, 0
+    held_back = None
+    for column in columns:
+        held = unique_clashes(stored, batch, keys, column, written)
+        rows = batch.join(held, keys, "left_semi").withColumn("_validation_error", F.lit(f"{column}: unique"))
+        held_back = rows if held_back is None else held_back.unionByName(rows)
+        batch = batch.join(held, keys, "left_anti")
+    held_back, batch = written(held_back), written(batch)
+    count = held_back.count()
+    _reject(held_back, f"{options.database}.{contract.table}__rejected", keys, day)
+    return batch, count
+
+
+def _reject(rows: DataFrame, name: str, keys: list[str], day: str) -> None:
+    spark = rows.sparkSession
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (`_key` string, `_row` string, `_validation_error` string, `_cdc_op` string, "
+        "`_cdc_ts` timestamp, `_ingested_at` timestamp, `_partition` int, `_offset` bigint, `_day` date) USING parquet PARTITIONED BY (`_day`)"
+    )
+    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (`_day`=DATE'{day}')")
+    own = [c for c in rows.columns if c not in (*META_COLUMNS, "_validation_error")]
+    rows.select(
+        F.to_json(F.struct(*keys)),
+        F.to_json(F.struct(*own)),
+        "_validation_error",
+        "_cdc_op",
+        "_cdc_ts",
+        "_ingested_at",
+        "_partition",
+        "_offset",
+        F.lit(day).cast("date"),
+    ).write.insertInto(name)
 
 
 def merge_all(
@@ -155,7 +253,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--reprocess-invalid", action="store_true")
     parser.add_argument("--hard-delete", action="store_true", help="drop deleted keys; older changes then bring them back")
     parser.add_argument("--timestamps", choices=TIMESTAMP_MODES, default="long")
-    parser.add_argument("--keep-hours", type=float, default=0.0, help="how long readers may use an older version")
+    parser.add_argument("--key-buckets", type=int, help="keep tables in key buckets and rewrite only those a batch touches")
+    parser.add_argument("--key-width", type=int, help="the same, with ranges of so many numbers of a single key")
+    parser.add_argument("--keep-hours", type=float, default=1.0, help="how long readers may use an older version")
     parser.add_argument("--log", help="folder of the run log")
     parser.add_argument("--run-id")
     parser.add_argument("--row-level", action="store_true")
@@ -174,6 +274,8 @@ def main(argv: list[str] | None = None) -> None:
         keep_hours=args.keep_hours,
         row_level=args.row_level,
         buckets=args.buckets,
+        key_buckets=args.key_buckets,
+        key_width=args.key_width,
         count=True,
     )
     outcomes = merge_all(

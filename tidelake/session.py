@@ -40,6 +40,42 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     system.delete(folder, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it does not exist."""
+    system, folder = file_system(spark, path)
+    if not system.exists(folder):
+        return []
+    return sorted(name for status in system.listStatus(folder) if not (name := status.getPath().getName()).startswith("."))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of text."""
+    system, file = file_system(spark, path)
+    stream = system.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of text, there as a whole or not at all."""
+    folder, name = path.rsplit("/", 1)
+    system, aside = file_system(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = system.create(aside)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename(spark, aside.toString(), path)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file or folder to a name that is free; folders above it are made."""
+    system, target = file_system(spark, to)
+    system.mkdirs(target.getParent())
+    if system.exists(target) or not system.rename(file_system(spark, path)[1], target):
+        raise OSError(f"{path} cannot become {to}")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for intermediate tables, below the folder named in spark.checkpoint.dir.
 

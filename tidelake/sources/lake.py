@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidelake.functions.contracts import Contract, check_table_name
 from tidelake.operators.bronze import INVALID_COLUMNS, VALID_COLUMNS, day_slice, is_valid
 from tidelake.operators.silver import META_COLUMNS, newer
-from tidelake.session import delete_folder, file_system
+from tidelake.session import delete_folder, file_system, list_names, read_text, rename, write_text
 
 BRONZE_TYPES = {
     "_raw_value": T.StringType(),
@@ -25,7 +25,8 @@ BRONZE_TYPES = {
     "_partition": T.IntegerType(),
     "_offset": T.LongType(),
 }
-_FOLDED = ".folded"
+#: Folders of a day, which Spark's readers pass over: the batches of each fold, and what is hidden while one is put in place.
+_FOLDS, _OPEN = ".folds", ".open"
 _STATUS_COLUMNS = {"valid": VALID_COLUMNS, "invalid": INVALID_COLUMNS}
 
 
@@ -61,7 +62,7 @@ class BronzeFiles:
     def write(self, bronze: DataFrame, batch_id: int, stream_id: str = "batch", day: str | None = None) -> None:
         """Append one micro-batch. All its rows carry the same ingestion instant; empty is a no-op.
 
-        `day`, where the caller knows it, saves a look at the parsed rows. A batch that `compact_day` has
+        `day`, where the caller knows it, saves a look at the parsed rows. A batch that `compact_day` folds or has
         folded is not written once more.
         """
         day = day or batch_day(bronze)
@@ -76,47 +77,106 @@ class BronzeFiles:
         )
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "_status", "_table"
-        ).parquet(f"{self._day(day)}/_stream_id={stream_id}/_batch_id={batch_id}")
+        ).parquet(self._batch(day, f"{stream_id}/{batch_id}"))
+        if f"{stream_id}/{batch_id}" in self._folded(bronze.sparkSession, day):  # planned meanwhile: its rows are in the fold
+            delete_folder(bronze.sparkSession, self._batch(day, f"{stream_id}/{batch_id}"))
 
     def _folded(self, spark: SparkSession, day: str) -> set[str]:
-        """The batches of a day that are part of a compacted one; looked up only where there is such a list."""
-        system, path = file_system(spark, f"{self._day(day)}/{_FOLDED}")
-        if not system.exists(path):
-            return set()
-        return {row[0] for row in spark.read.text(f"{self._day(day)}/{_FOLDED}").collect()}  # a row per batch
+        """The batches of a day that are part of a compacted one, or are being folded."""
+        return {batch for name in list_names(spark, f"{self._day(day)}/{_FOLDS}") for batch in self._planned(spark, day, name)}
+
+    def _planned(self, spark: SparkSession, day: str, name: str) -> dict[str, str]:
+        """The batches of a fold, each with the time at which it was complete."""
+        lines = read_text(spark, f"{self._day(day)}/{_FOLDS}/{name}").splitlines()
+        return dict(line.split("\t") for line in lines)
+
+    def _hidden(self, spark: SparkSession, day: str | None) -> dict[str, list[str]]:
+        """By day, the batches that readers pass over, while a fold takes their place or is put there."""
+        found: dict[str, dict[str, str]] = {}
+        system, pattern = file_system(spark, f"{self._day(day or '*')}/{_OPEN}/*")
+        for status in system.globStatus(pattern) or []:
+            path = status.getPath()
+            found.setdefault(path.getParent().getParent().getName().removeprefix("_ingest_date="), {})[path.getName()] = path.toString()
+        return {d: read_text(spark, marks[max(marks)]).splitlines() for d, marks in found.items()}
 
     def compact_day(self, spark: SparkSession, day: str, rows_per_file: int = 1_000_000) -> int:
         """Fold the batches of a closed day into few files per table; returns the number of batches folded.
 
-        The rows are written aside, with the list of the batches they came from, then the batches go and the
-        rows take their place. A run that dies in between is finished by the next one. A hot table is
-        spread over as many files as its rows need.
+        Batches may arrive and repeat meanwhile: only those that the fold has planned, and read complete, are taken away,
+        and the stream does not write a planned one again. Readers see each row once at any time; what they pass over
+        is switched by one rename. A run that dies at any point is finished, or undone, by the next one. A hot table is
+        spread over as many tasks as its size asks for. One run at a time folds a day.
         """
+        for _ in self.fold_steps(spark, day, rows_per_file):
+            pass
+        return len(self._folded(spark, day))
+
+    def fold_steps(self, spark: SparkSession, day: str, rows_per_file: int = 1_000_000) -> Iterator[str]:
+        """`compact_day` step by step: gives the name of each step when it is done."""
         folder = self._day(day)
-        system, path = file_system(spark, folder)
-        if not system.exists(path):
-            return 0
-        aside = f"{folder}/.compacting"
-        _, done = file_system(spark, f"{aside}/_SUCCESS")
-        schema = self._schema()
-        if not system.exists(done):
-            rows = spark.read.schema(schema).option("basePath", self.root).parquet(folder)
-            batches = rows.select(F.concat_ws("/", "_stream_id", F.col("_batch_id").cast("string")).alias("value"))
-            known = spark.createDataFrame([(b,) for b in self._folded(spark, day)], "value string")
-            spread = rows.drop("_ingest_date", "_stream_id", "_batch_id").repartition("_status", "_table")
-            batches.distinct().unionByName(known).distinct().coalesce(1).write.mode("overwrite").text(f"{folder}/.batches")
-            writer = spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-            writer.partitionBy("_status", "_table").parquet(aside)
-        new = spark.read.text(f"{folder}/.batches").count()
-        for child in system.listStatus(path):
-            if child.getPath().getName().startswith("_stream_id="):
-                system.delete(child.getPath(), True)
-        delete_folder(spark, f"{folder}/{_FOLDED}")
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_stream_id=compacted")
-        system.mkdirs(target)
-        for source, name in ((aside, "_stream_id=compacted/_batch_id=0"), (f"{folder}/.batches", _FOLDED)):
-            system.rename(file_system(spark, source)[1], file_system(spark, f"{folder}/{name}")[1])
-        return new
+        self._recover(spark, day)
+        yield "recovered"
+        batches = self._complete(spark, day)
+        if not batches:
+            return
+        numbers = [int(name.split(".")[0]) for name in list_names(spark, f"{folder}/{_FOLDS}")]
+        number = max(numbers, default=-1) + 1
+        plan, aside = f"{folder}/{_FOLDS}/{number}.plan", f"{folder}/.rows-{number}"
+        write_text(spark, plan, "\n".join(f"{batch}\t{at}" for batch, at in batches.items()))
+        yield "planned"
+        paths = [self._batch(day, batch) for batch in batches]
+        rows = spark.read.schema(self._schema()).option("basePath", self.root).parquet(*paths)
+        rows = rows.drop("_ingest_date", "_stream_id", "_batch_id").hint("rebalance", "_status", "_table")
+        writer = rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+        writer.partitionBy("_status", "_table").parquet(aside)
+        yield "written"
+        if not batches.items() <= self._complete(spark, day).items():
+            self._undo(spark, day, number)  # a batch was written again before it was planned: its rows may not be those read
+            raise RuntimeError(f"{folder}: a batch has changed while it was folded; run again")
+        write_text(spark, f"{folder}/{_OPEN}/1", f"compacted/{number}")
+        yield "announced"
+        rename(spark, aside, self._batch(day, f"compacted/{number}"))
+        yield "placed"
+        write_text(spark, f"{folder}/{_OPEN}/2", "\n".join(batches))
+        yield "switched"
+        self._clean(spark, day, number)
+        yield "cleaned"
+
+    def _batch(self, day: str, batch: str) -> str:
+        stream, number = batch.rsplit("/", 1)
+        return f"{self._day(day)}/_stream_id={stream}/_batch_id={number}"
+
+    def _complete(self, spark: SparkSession, day: str) -> dict[str, str]:
+        """The complete batches of a day, each with the time of its mark."""
+        system, pattern = file_system(spark, f"{self._day(day)}/_stream_id=*/_batch_id=*/_SUCCESS")
+        found = {}
+        for status in system.globStatus(pattern) or []:
+            batch = status.getPath().getParent()
+            name = "/".join(part.getName().split("=", 1)[1] for part in (batch.getParent(), batch))
+            found[name] = str(status.getModificationTime())
+        return found
+
+    def _clean(self, spark: SparkSession, day: str, number: int) -> None:
+        """Take away the batches of a fold that has been switched to, and nothing else."""
+        plan = f"{number}.plan"
+        for batch in self._planned(spark, day, plan):
+            delete_folder(spark, self._batch(day, batch))
+        delete_folder(spark, f"{self._day(day)}/{_OPEN}")
+        rename(spark, f"{self._day(day)}/{_FOLDS}/{plan}", f"{self._day(day)}/{_FOLDS}/{number}.folded")
+
+    def _undo(self, spark: SparkSession, day: str, number: int) -> None:
+        """As if a fold had never been planned; its batches are all there."""
+        delete_folder(spark, self._batch(day, f"compacted/{number}"))
+        for left in (f".rows-{number}", _OPEN, f"{_FOLDS}/{number}.plan"):
+            delete_folder(spark, f"{self._day(day)}/{left}")
+
+    def _recover(self, spark: SparkSession, day: str) -> None:
+        """Finish a fold that readers have been switched to, undo one that they have not."""
+        for name in list_names(spark, f"{self._day(day)}/{_FOLDS}"):
+            if name.endswith(".plan"):
+                number = int(name.split(".")[0])
+                step = self._clean if "2" in list_names(spark, f"{self._day(day)}/{_OPEN}") else self._undo
+                step(spark, day, number)
 
     @staticmethod
     def _schema() -> T.StructType:
@@ -145,6 +205,9 @@ class BronzeFiles:
                 raise
             frame = spark.createDataFrame([], schema)
         frame = frame.filter(F.col("_status") == status)
+        for hidden_day, batches in self._hidden(spark, day).items():
+            hidden = F.concat_ws("/", "_stream_id", F.col("_batch_id").cast("string")).isin(batches)
+            frame = frame.filter(~((F.col("_ingest_date") == F.lit(hidden_day).cast("date")) & hidden))
         if table != "*":
             frame = frame.filter(F.col("_table") == table)
         frame = frame.select(*columns)
@@ -244,6 +307,37 @@ class SchemaChanged(ValueError):
     """A published table would change its columns."""
 
 
+#: Types that hold every value of another.
+_WIDER = {"smallint": ("int", "bigint", "double"), "int": ("bigint", "double"), "float": ("double",)}
+
+
+def grown_schema(stored: T.StructType, incoming: T.StructType) -> T.StructType:
+    """The columns of a stored table after rows of a contract that has changed: stored ones first, then added ones, then metadata.
+
+    A type becomes the wider of the two if that holds every value; columns that the contract has dropped stay. Anything
+    else is refused.
+    """
+    types = {f.name: f.dataType for f in incoming.fields}
+    fields, refused = [], []
+    for field in stored.fields:
+        old, new = field.dataType, types.pop(field.name, field.dataType)
+        if old != new and new.simpleString() in _WIDER.get(old.simpleString(), ()):
+            old = new
+        if old != new and old.simpleString() not in _WIDER.get(new.simpleString(), ()):
+            refused.append(f"{field.name}: {old.simpleString()} cannot become {new.simpleString()}")
+        fields.append(T.StructField(field.name, old))
+    if refused:
+        raise SchemaChanged("; ".join(refused))
+    added = [T.StructField(f.name, f.dataType) for f in incoming.fields if f.name in types]
+    ends = [f for f in fields if f.name in META_COLUMNS]
+    return T.StructType([*(f for f in fields if f.name not in META_COLUMNS), *added, *ends])
+
+
+def in_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The frame in the columns of a grown schema; those it does not have are null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def _versions(spark: SparkSession, database: str, table: str) -> list[int]:
     pattern = re.compile(rf"{re.escape(table)}__v(\d+)", re.IGNORECASE)
     names = [t.name for t in spark.catalog.listTables(database, f"{table}__v*")]
@@ -261,8 +355,9 @@ def write_version(
     keys: Sequence[str] = (),
     buckets: int | None = None,
     aligned: bool = False,
+    grows: bool = False,
 ) -> int:
-    """Write a frame as the next, not yet visible version of a table; fails if the columns change.
+    """Write a frame as the next, not yet visible version of a table; fails if the columns change, unless it `grows`.
 
     With `buckets` the version is bucketed by its keys, so the next merge on these keys reads it without
     shuffling it. `aligned` says that the rows already lie in tasks by bucket, as they do after a merge
@@ -270,7 +365,7 @@ def write_version(
     """
     database, table = split_name(name)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    if spark.catalog.tableExists(name) and _columns(spark.table(name).schema) != _columns(df.schema):
+    if not grows and spark.catalog.tableExists(name) and _columns(spark.table(name).schema) != _columns(df.schema):
         raise SchemaChanged(f"{name}: columns differ from the published table")
     version = max(_versions(spark, database, table), default=0) + 1
     if buckets and keys:
