@@ -168,9 +168,10 @@ def unique_clashes(
     values = changes.where((F.col("_op") != "d") & F.col("_value").isNotNull()).select("_value").distinct()
     by_key = slim(stored).join(changes.select(*keys), keys, "left_semi").withColumn("_met", F.lit(True))
     by_value = slim(stored).join(values, "_value", "left_semi").join(changes.select(*keys), keys, "left_anti")
-    near = by_key.unionByName(by_value.withColumn("_met", F.lit(False)).select(*by_key.columns)).where(F.col("_op") != "d")
+    near = by_key.unionByName(by_value.where(F.col("_op") != "d").withColumn("_met", F.lit(False)).select(*by_key.columns))
 
-    old = near.where("_met").select(*keys, F.col("_value").alias("_old"), F.col("_order").alias("_old_order"))
+    # A row kept as deleted has no value, but an older change does not apply to it either.
+    old = near.where("_met").select(*keys, F.when(F.col("_op") != "d", F.col("_value")).alias("_old"), F.col("_order").alias("_old_order"))
     told = changes.join(old, keys, "left").withColumn("_applies", F.col("_old_order").isNull() | (F.col("_order") >= F.col("_old_order")))
     told = written(told)
     claims = told.where(F.col("_applies") & (F.col("_op") != "d") & F.col("_value").isNotNull()).select(*keys, "_value", F.lit(1).alias("_turn"), "_order")
