@@ -5,7 +5,7 @@ class. Classes meet in inverted lists of retained values. If two sets are alike
 known number of values, so each class need only be listed under its rarest values: all but one less than that
 number. Values of one class alone make no lists, and common ones are left to classes that have hardly any others.
 
-In each list, classes are first compared with one of them, the hub: groups of near copies become stars and not all pairs.
+In each band of a list, of classes alike enough in size, classes are first compared with one of them, the hub: groups of near copies become stars and not all pairs.
 Pairs pass if the estimate of the union's sketch allows it and the full sets confirm it. What is left are classes of a list
 that no star has joined. They are compared with the others of the hub's component in blocks, by sketches and then by
 full sets, and only links that join components come out.
@@ -13,6 +13,7 @@ full sets, and only links that join components come out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -137,14 +138,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect all that are connected by any."""
     lists = staged(_prefix_lists(classes, percent), "near-lists")
-    # The smallest id is the hub: the lists that two classes share mostly have the same one.
-    hubs = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("members"))
-    listed = lists.join(hubs.where(F.col("members") > 1).select("value", "hub"), "value")
-    listed = listed.where(F.col("rep") != F.col("hub"))
-    sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
-    spokes = listed.select("rep", "hub", "n").distinct().join(sizes, "hub")
-    spokes = spokes.select(F.col("rep").alias("a"), F.col("hub").alias("b"), _alike_in_size(F.col("n"), F.col("n_hub"), percent).alias("alike"))
-    spokes = staged(spokes, "near-spokes")
+    spokes = staged(_spokes(lists, percent), "near-spokes")
+    unstaged(lists)
     likely = _estimated(spokes.where("alike").select("a", "b"), classes).where(F.col("estimate") >= ESTIMATE)
     likely = staged(likely.select("a", "b"), "near-likely")
     ends = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
@@ -158,8 +153,28 @@ def _links(classes: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
     more_sets = _full_sets(more, classes, documents, k)
     confirmed = _in_cells(_counted(open_).join(sets.unionByName(more_sets), "rep"), _Alike(percent), "a long, b long")
     second = staged(confirmed, "near-links")
-    unstaged(lists, spokes, likely, sets, more_sets, open_)
-    return first.unionByName(second)
+    unstaged(spokes, likely, sets, more_sets, open_)
+    links = staged(first.unionByName(second), "near-links")
+    unstaged(first, second)
+    return links
+
+
+def _spokes(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, alike): each class of a list with its hub, and whether their sizes allow a link.
+
+    Sets that are alike are so in size, so a list falls into bands of sizes: the size of a class puts it into two neighbouring
+    ones, and two classes that are alike share one. The smallest id of a band is its hub: the bands that two classes share
+    mostly have the same one. Of a band of two that are not alike in size nothing is left to compare.
+    """
+    # A little wider than the ratio, so that rounding parts no two; at 100 alike sizes are equal ones.
+    width = math.log(100 / percent) * (1 + 1e-9)
+    step = F.floor(F.ln(F.col("n")) / width) if width else 2 * F.col("n")
+    banded = lists.select("value", "rep", "n", F.explode(F.array(step, step + 1)).alias("band")).repartition("value", "band")
+    hubs = banded.groupBy("value", "band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("members"))
+    listed = banded.join(hubs.where(F.col("members") > 1), ["value", "band"]).where(F.col("rep") != F.col("hub.rep"))
+    alike = _alike_in_size(F.col("n"), F.col("hub.n"), percent).alias("alike")
+    spokes = listed.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), alike, "members")
+    return spokes.where(F.col("alike") | (F.col("members") > 2)).select("a", "b", "alike").distinct()
 
 
 # ---------------------------------------------------------------- families
