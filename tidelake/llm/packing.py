@@ -272,7 +272,8 @@ def pack(documents: DataFrame, ranks: str, pattern: str, special: dict[str, int]
     documents = documents.select("doc_id", "text")
     # Where ranges end decides on the layout only, so a sample by hash will do; the texts are encoded once.
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(_key_rows, "key long, bytes long")
-    shares = F.lit(np.arange(1, RANGE_STEPS) / RANGE_STEPS)  # one literal, and not one for each
+    # One literal: an array of them would go to the JVM number by number.
+    shares = F.split(F.lit(",".join(repr(i / RANGE_STEPS) for i in range(1, RANGE_STEPS))), ",").cast("array<double>")
     found, size = sample.agg(F.percentile_approx("key", shares, 10 * RANGE_STEPS), F.sum("bytes")).first()
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partitions = min(RANGE_STEPS, max(partitions, (size or 0) * SAMPLED // RANGE_BYTES))
