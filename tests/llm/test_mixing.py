@@ -90,16 +90,27 @@ def test_mix_gives_the_taken_words(spark):
             assert r.text == texts[r.doc_id]
 
 
+def by_quotients(weights, seats):
+    heap, won = [(-w, k) for k, w in enumerate(weights) if w], [0] * len(weights)
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, k = heapq.heappop(heap)
+        won[k] += 1
+        heapq.heappush(heap, (-weights[k] / (2 * won[k] + 1), k))
+    return won
+
+
 def test_apportion_is_by_highest_quotients(spark):
     rng = random.Random(5)
-    for seats in (0, 1, 7, 100):
-        weights = [rng.choice([0, 1, 1, 2, 5, 13, 40]) for _ in range(12)]
-        frame = spark.createDataFrame([(i, float(w), seats) for i, w in enumerate(weights)], "k int, w double, seats long")
-        got = {r.k: r.won for r in mixing.apportion(frame, [], "k", "w", "seats", "won").collect()}
-        heap, want = [(-w, k) for k, w in enumerate(weights) if w], dict.fromkeys(range(12), 0)
-        heapq.heapify(heap)
-        for _ in range(seats if heap else 0):
-            _, k = heapq.heappop(heap)
-            want[k] += 1
-            heapq.heappush(heap, (-weights[k] / (2 * want[k] + 1), k))
-        assert got == want
+    cases = [([rng.choice([0, 1, 1, 2, 5, 13, 40]) for _ in range(12)], seats) for seats in (0, 1, 7, 100)]
+    # One large and many small: shares below a half, above a half, and ties that only the keys decide.
+    cases += [([9_600_000] + [20] * 1000, 300_625), ([100] + [0.4] * 1000, 500), ([3] * 300, 100), ([0, 0], 5), ([7], 3)]
+    cases += [([rng.paretovariate(0.5) for _ in range(400)], seats) for seats in (3, 390, 20_000)]
+    rows = [(g, k, float(w), seats) for g, (weights, seats) in enumerate(cases) for k, w in enumerate(weights)]
+    frame = spark.createDataFrame(rows, "g int, k int, w double, seats long")
+    got = {(r.g, r.k): r.won for r in mixing.apportion(frame, ["g"], "k", "w", "seats", "won").collect()}
+    assert len(got) == len(rows)
+    for g, (weights, seats) in enumerate(cases):
+        assert [got[g, k] for k in range(len(weights))] == by_quotients(weights, seats), g
+    whole = mixing.apportion(frame.where("g = 5"), [], "k", "w", "seats", "won")
+    assert [r.won for r in whole.orderBy("k").collect()] == by_quotients(*cases[5])

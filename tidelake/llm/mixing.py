@@ -24,6 +24,8 @@ from tidelake.llm._common import SPACED_WORD, in_parts, slices, staged, widened,
 BLOCK_WORDS = 32
 #: Documents of a shard, about: a source has as many shards as its documents need.
 SHARD_DOCUMENTS = 2000
+#: Values at which quotients are counted in one round, and rounds, to find the last winning quotient.
+GRID, ROUNDS = 64, 2
 #: Weights of the sources in order of their names, repeating; share of all words that the mix has; limit of a source.
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
 
@@ -44,22 +46,45 @@ def sized(documents: DataFrame, text: str = "text") -> DataFrame:
 def apportion(frame: DataFrame, of: list[str], key: str, weight: str, seats: str, into: str) -> DataFrame:
     """The frame with the number of seats of each row by Sainte-Lague's method, of those that its group `of` has.
 
-    A row's share of the seats, rounded down, less 2, is certain; the quotients of the next five decide on the rest. Rows
-    without weight get none. Ties go to the smaller key.
+    Rows win a seat for each of their quotients weight / 1, 3, 5, ... that is among the group's highest. Where the last
+    winning quotient lies is narrowed by counting, for a grid of values, the quotients at or above each: one small
+    aggregate a round, folded before the shuffle. Quotients above the range that is left are certain, those inside compete
+    one by one, so the result is exact; the rounds only make them few. Rows without weight get none. Ties go to the
+    smaller key. The frame is read several times: give it a written one.
     """
-    group = Window.partitionBy(*of) if of else Window.partitionBy(F.lit(0))
-    live = F.col(weight) > 0
-    share = F.coalesce(F.col(weight) / F.sum(weight).over(group) * F.col(seats), F.lit(0.0))
-    certain = F.when(live, F.greatest(F.floor(share) - 2, F.lit(0))).otherwise(0)
-    based = frame.withColumn("_certain", certain).withColumn("_open", F.col(seats) - F.sum("_certain").over(group))
-    tries = based.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("_more"))
-    quotient = F.when(live, F.col(weight) / (2 * (F.col("_certain") + F.col("_more")) + 1)).otherwise(0)
-    place = F.row_number().over(group.orderBy(F.col("_quotient").desc(), F.col(key), F.col("_more")))
-    won = (F.col("_place") <= F.col("_open")) & live
-    # The five tries of a row stand next to each other again in its own group; a row is known by its key within the group.
-    ranked = tries.withColumn("_quotient", quotient).withColumn("_place", place).withColumn("_won", won.cast("long"))
-    total = F.sum("_won").over(Window.partitionBy(*of, key))
-    return ranked.withColumn(into, F.col("_certain") + total).where(F.col("_more") == 0).select(*frame.columns, into)
+    group = of or ["_whole"]
+    rows = (frame if of else frame.withColumn("_whole", F.lit(0))).withColumn("_weight", F.col(weight).cast("double"))
+    live = rows.where((F.col("_weight") > 0) & (F.col(seats) > 0))
+    # A row of weight w has between w / 2v - 1/2 and w / 2v + 1/2 quotients at or above v: so v lies between these two.
+    total, most = F.sum("_weight"), F.max("_weight")
+    bounds = live.groupBy(*group).agg(F.max(seats).alias("_all"), total.alias("_total"), most.alias("_most"), F.count("*").alias("_n"))
+    spare = 2 * F.col("_all") - F.col("_n")
+    high = F.when(spare > 0, F.least(2 * F.col("_most"), F.col("_total") / spare * (1 + 1e-9))).otherwise(2 * F.col("_most"))
+    low = F.col("_total") / (2 * F.col("_all") + F.col("_n")) * (1 - 1e-9)
+    bounds = bounds.select(*group, "_all", low.alias("_lowest"), high.alias("_highest"))
+    above = lambda value: F.floor((F.col("_weight") / value + 1) / 2)
+    ratio = F.col("_highest") / F.col("_lowest")
+    grid = F.transform(F.sequence(F.lit(1), F.lit(GRID - 1)), lambda k: F.col("_lowest") * F.pow(ratio, k / F.lit(float(GRID))))
+    enough = F.col("_found") >= F.col("_all")
+    for _ in range(ROUNDS):
+        points = live.join(bounds.withColumn("_grid", grid), group).select(*group, "_all", "_lowest", "_highest", "_weight", F.explode("_grid").alias("_value"))
+        found = points.groupBy(*group, "_all", "_lowest", "_highest", "_value").agg(F.sum(above(F.col("_value"))).alias("_found"))
+        found = found.groupBy(*group, "_all", "_lowest", "_highest").agg(
+            F.max(F.when(enough, F.col("_value"))).alias("_under"), F.min(F.when(~enough, F.col("_value"))).alias("_over")
+        )
+        bounds = found.select(*group, "_all", F.coalesce("_under", "_lowest").alias("_lowest"), F.coalesce("_over", "_highest").alias("_highest"))
+        bounds = staged(bounds, "mix-bounds")
+    ranged = live.join(bounds, group).select(*group, key, "_all", "_weight", above(F.col("_highest")).alias("_certain"), above(F.col("_lowest")).alias("_upto"))
+    left = F.col("_all") - F.coalesce(F.col("_sure"), F.lit(0))
+    sure = ranged.groupBy(*group).agg(F.sum("_certain").alias("_sure"))
+    tries = ranged.where(F.col("_upto") > F.col("_certain")).join(sure, group)
+    tries = tries.withColumn("_try", F.explode(F.sequence(F.col("_certain"), F.col("_upto") - 1)))
+    quotient = F.col("_weight") / (2 * F.col("_try") + 1)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("_quotient").desc(), F.col(key), F.col("_try")))
+    won = tries.withColumn("_quotient", quotient).withColumn("_place", place).where(F.col("_place") <= left)
+    won = won.groupBy(*group, key).agg(F.count("*").alias("_won"))
+    result = ranged.join(won, [*group, key], "left").select(*group, key, (F.col("_certain") + F.coalesce("_won", F.lit(0))).alias(into))
+    return rows.join(result, [*group, key], "left").select(*frame.columns, F.coalesce(into, F.lit(0)).cast("long").alias(into))
 
 
 def source_key(source: Column) -> Column:
@@ -98,12 +123,13 @@ def _sharded(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 
 def _shard_quotas(rows: DataFrame, seed: int) -> DataFrame:
     """For each shard its words, blocks, whole passes, and the run of words that is taken once more."""
-    shards = rows.groupBy("source_key", "_shard", "target").agg(F.sum("size").alias("_words"))
+    shards = staged(rows.groupBy("source_key", "_shard", "target").agg(F.sum("size").alias("_words")), "mix-words")
     # Blocks of the whole mix by source, then of each source by shard.
     sources = shards.groupBy("source_key").agg(F.first("target").alias("target"))
     sources = sources.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK_WORDS).cast("long"))
-    sources = apportion(sources, [], "source_key", "target", "_seats", "_source_blocks")
-    shards = shards.drop("target").join(sources.select("source_key", "_source_blocks"), "source_key")
+    sources = staged(sources.withColumn("_mix", F.lit(0)), "mix-targets")
+    sources = apportion(sources, ["_mix"], "source_key", "target", "_seats", "_source_blocks")
+    shards = staged(shards.drop("target").join(sources.select("source_key", "_source_blocks"), "source_key"), "mix-blocks")
     shards = apportion(shards, ["source_key"], "_shard", "_words", "_source_blocks", "_quota")
     blocks = F.when(F.col("_words") > 0, F.greatest(F.round(F.col("_words") / BLOCK_WORDS).cast("long"), F.lit(1))).otherwise(0)
     shards = shards.withColumn("_blocks", blocks).where(F.col("_blocks") > 0)
