@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from tests.llm.helpers import EDGES, documents, lowered
 from tests.test_queries import DATA
@@ -44,7 +45,7 @@ def test_places_edges_and_repeated_rows(spark):
     ]
     rows = EDGES + extra
     found = check(licenses.scan(documents(spark, rows)), dict(rows))
-    assert len(found) == len({(i, t) for i, t in rows})  # the row that repeats counts once
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows)  # rows that repeat an id each have their row
 
 
 def test_method_labels_bridge_edits_and_need_enough_words(spark):
@@ -55,5 +56,22 @@ def test_method_labels_bridge_edits_and_need_enough_words(spark):
     assert found[2].labels == "" and found[3].labels == "cc"
 
 
+def test_templates_of_any_length(spark):
+    whole = max((t.text for t in licenses.TEXTS), key=len)
+    words = whole.split()
+    assert len(words) > 2 * licenses.BITS
+    half = len(words) // 2
+    broken = " ".join("x" if i % 20 == 5 else w for i, w in enumerate(words))
+    rows = [(1, "a b " + whole), (2, broken), (3, " ".join(words[:40])), (4, " ".join(words[half:] + words[:half])), (5, "c " * 100 + whole + " d " + whole)]
+    found = {r.doc_id: r for r in licenses.scan(documents(spark, rows), texts=[licenses.Template("long", whole)]).collect()}
+    assert (found[1].labels, found[1].score) == ("long", 1.0) and found[5].score == 1.0
+    grams = list(zip(words, words[1:], strict=False))
+    kept = sum(1 for i in range(len(grams)) if i % 20 not in (4, 5))
+    assert found[2].labels == "long" and found[2].score >= kept / len(grams)
+    assert found[3].labels == found[4].labels == ""
+    where = licenses.spans(documents(spark, rows), [licenses.Template("long", whole)]).where("template = 0").collect()
+    assert sorted((r.doc_id, r.start) for r in where if r.votes == 1) == [(1, 2), (5, 100), (5, 101 + len(words))]
+
+
 def test_empty_table(spark):
     assert licenses.scan(documents(spark, [])).count() == 0

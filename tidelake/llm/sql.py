@@ -43,29 +43,29 @@ _TEMPLATES = ", ".join(f"({i}, '{t.label}', {t.phrase}, string_split('{t.text}',
 LICENSE_SCAN = f"""WITH t(template, label, phrase, w) AS (VALUES {_TEMPLATES}
 ), tg AS (SELECT template, label, phrase, len(w) - 1 AS size, unnest(range(1, len(w))) AS p, w FROM t
 ), d AS (
-  SELECT doc_id, regexp_extract_all({_LOWERED},
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWERED},
                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
-), g AS (SELECT doc_id, unnest(range(1, len(w))) AS p, w FROM d
-), pairs AS (SELECT doc_id, p, w[p] AS one, w[p + 1] AS two FROM g
+), g AS (SELECT r, unnest(range(1, len(w))) AS p, w FROM d
+), pairs AS (SELECT r, p, w[p] AS one, w[p + 1] AS two FROM g
 ), votes AS (
-  SELECT DISTINCT doc_id, template, label, phrase, size, tg.p, pairs.p - tg.p AS diagonal
+  SELECT DISTINCT r, template, label, phrase, size, tg.p, pairs.p - tg.p AS diagonal
   FROM pairs JOIN tg ON one = tg.w[tg.p] AND two = tg.w[tg.p + 1]
-), diagonals AS (SELECT doc_id, template, label, phrase, size, diagonal, list(p) AS ps FROM votes GROUP BY ALL
+), diagonals AS (SELECT r, template, label, phrase, size, diagonal, list(p) AS ps FROM votes GROUP BY ALL
 ), apart AS (
   SELECT *, coalesce(diagonal - lag(diagonal) OVER o > CASE WHEN phrase THEN 0 ELSE {GAP} END, TRUE) AS new
-  FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)
+  FROM diagonals WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)
 ), merged AS (
-  SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart
+  SELECT *, sum(new::INT) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM apart
 ), spans AS (
-  SELECT doc_id, label, phrase, min(diagonal) AS start, len(list_distinct(flatten(list(ps)))) / size AS votes
-  FROM merged GROUP BY doc_id, template, label, phrase, size, span
+  SELECT r, label, phrase, min(diagonal) AS start, len(list_distinct(flatten(list(ps)))) / size AS votes
+  FROM merged GROUP BY r, template, label, phrase, size, span
   HAVING len(list_distinct(flatten(list(ps)))) / size >= CASE WHEN phrase THEN 1 ELSE {SHARE} END
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (WHERE phrase) AS n_base,
        min(start) FILTER (WHERE phrase) AS first_word, max(start) FILTER (WHERE phrase) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(votes), 0.0) AS score
-FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, len(d.w)"""
+FROM d LEFT JOIN spans USING (r) GROUP BY r, d.doc_id, len(d.w)"""
 
 RANKED_SEARCH = f"""WITH d AS (
   SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM documents
