@@ -20,13 +20,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tidelake import fixtures as fx  # noqa: E402
 from tidelake.functions.contracts import BrokenContract, Contract, Field  # noqa: E402
 from tidelake.functions.envelope import json_field, parse_records, table_of  # noqa: E402
-from tidelake.operators import bronze, capture, checks, consume, gold, profile, report, silver  # noqa: E402
+from tidelake.operators import bronze, capture, checks, consume, gold, profile, quarantine, report, silver  # noqa: E402
 from tidelake.plans.silver_job import SilverOptions, merge_all, merge_day  # noqa: E402
 from tidelake.session import scratch_dir  # noqa: E402
 from tidelake.sources import kafka, seed  # noqa: E402
 from tidelake.sources.keyed import KeyedTable  # noqa: E402
-from tidelake.sources.lake import BronzeFiles  # noqa: E402
+from tidelake.sources.lake import BronzeFiles, read_counts  # noqa: E402
 from tidelake.streaming.bronze_stream import start_bronze  # noqa: E402
+from tidelake.streaming.progress import ProgressLog  # noqa: E402
 
 MONEY = "decimal(18,2)"
 EVENTS_CUT = "2024-01-16 00:00:00"
@@ -1131,6 +1132,80 @@ def offset_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.offset_gaps(rows.select(*names).withColumnsRenamed(names))
 
 
+@query(
+    "observed_counts",
+    f"""WITH {_EV}, {_OC}
+SELECT 'bronze' AS stage, '' AS table_name, 'n_valid' AS counter,
+       (SELECT count(*) FROM customer) + (SELECT count(*) FROM oc) + (SELECT count(*) FROM ev WHERE NOT broken AND NOT lost) AS n
+UNION ALL SELECT 'bronze', '', 'n_invalid', count(*) FROM ev WHERE broken OR lost
+UNION ALL SELECT 'silver', 'customers', unnest(['n_read', 'n_changes', 'n_keyless', 'n_rejected']), unnest([n, n, 0, 0]) FROM (SELECT count(*) AS n FROM customer)
+UNION ALL SELECT 'silver', 'orders', unnest(['n_read', 'n_changes', 'n_keyless', 'n_rejected']), unnest([n, k, 0, 0])
+  FROM (SELECT count(*) AS n, count(DISTINCT order_id) AS k FROM oc)
+UNION ALL SELECT 'silver', 'events', unnest(['n_read', 'n_changes', 'n_keyless', 'n_rejected']), unnest([n, k, 0, 0])
+  FROM (SELECT count(*) AS n, count(DISTINCT user_id) AS k FROM ev WHERE NOT broken AND NOT lost)""",
+)
+def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream and the batch job counted while they wrote, from their log; nothing is read a second time."""
+    folder = scratch_dir(spark, "observed")
+    store = BronzeFiles(f"{folder}/bronze")
+    changes = fx.all_changes(lambda name: _stream(spark, sf_dir, name))
+    start_bronze(changes, store, f"{folder}/checkpoint", fx.CONTRACTS, interval=None, counts=f"{folder}/bronze-counts").awaitTermination()
+    batch = bronze.to_bronze(fx.all_changes(_load(spark, sf_dir)), fx.CONTRACTS, ingested_at=LATENCY_INGESTED_AT)
+    store = BronzeFiles(f"{folder}/day")
+    store.write(batch, 0)
+    options = SilverOptions(database=f"silver_{os.path.basename(folder).replace('-', '_')}")
+    merge_all(spark, store, fx.CONTRACTS, LATENCY_INGESTED_AT[:10], options=options, counts=f"{folder}/silver-counts")
+    rows = None
+    for stage in ("bronze", "silver"):
+        part = read_counts(spark, f"{folder}/{stage}-counts").groupBy(F.lit(stage).alias("stage"), "table_name", "counter").agg(F.sum("n").alias("n"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query(
+    "quarantine_open",
+    f"""WITH {_EV}
+SELECT count(*) FILTER (WHERE NOT broken AND op = 'd') AS n_valid, count(*) FILTER (WHERE broken OR lost) AS n_open,
+       count(*) FILTER (WHERE NOT broken AND NOT lost AND op <> 'd') AS n_resolved, count(*) AS n_records FROM ev""",
+)
+def quarantine_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day stored under a mistyped contract, reprocessed under the right one by two runs, one of them repeated."""
+    folder = scratch_dir(spark, "quarantine")
+    store = BronzeFiles(f"{folder}/bronze")
+    store.write(bronze.to_bronze(_changes(spark, sf_dir, "events"), {"events": fx.EVENTS_STRICT}, ingested_at=LATENCY_INGESTED_AT), 0)
+    options = SilverOptions(database=f"silver_{os.path.basename(folder).replace('-', '_')}", ledger=f"{folder}/ledger")
+    for run in ("one", "one", "two"):
+        merge_day(spark, store, fx.EVENTS, LATENCY_INGESTED_AT[:10], True, options, run)
+    resolved = quarantine.Ledger(f"{folder}/ledger").read(spark, "events")
+    return quarantine.quarantine_counts(store.read(spark, "events", "valid"), store.read(spark, "events", "invalid"), resolved)
+
+
+@query(
+    "stream_progress",
+    """SELECT batch_id, CAST(n AS BIGINT) AS n_input_rows FROM (
+  SELECT row_number() OVER (ORDER BY k) - 1 AS batch_id, n FROM (
+    SELECT 1 AS k, count(*) AS n FROM customer UNION ALL SELECT 2, count(*) FROM customer))""",
+)
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress that a stream over two files, a trigger each, has left in its log."""
+    folder = scratch_dir(spark, "progress")
+    for _ in range(2):
+        fx.table(spark, sf_dir, "customer").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    landed = spark.readStream.schema(fx.table(spark, sf_dir, "customer").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+    log = ProgressLog(spark, f"{folder}/log")
+    spark.streams.addListener(log)
+    try:
+        # One job a trigger, so that Spark's number of input rows is the number of records.
+        writer = fx.customer_changes(landed).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+        running = writer.trigger(availableNow=True).start(f"{folder}/changes")
+        running.awaitTermination()
+        if not log.wait(running):
+            raise RuntimeError("the stream's progress did not arrive")
+    finally:
+        spark.streams.removeListener(log)
+    return log.read().where(F.col("n_input_rows") > 0).select("batch_id", "n_input_rows")
+
+
 @query(
     "stream_lag",
     f"""SELECT 'cdc.public.events' AS topic, CAST(event_id % 3 AS INTEGER) AS "partition",

@@ -20,6 +20,10 @@ RUN_LOG_SCHEMA = (
 )
 
 
+#: Counts that a stage made while it worked.
+COUNT_LOG_SCHEMA = "run_id string, table_name string, counter string, n bigint"
+
+
 def layer_counts(
     bronze: DataFrame, silver: Mapping[str, DataFrame], gold: Mapping[str, DataFrame]
 ) -> DataFrame:
@@ -145,21 +149,26 @@ def stream_lag(offsets: DataFrame, committed: DataFrame) -> DataFrame:
     )
 
 
-def progress_lag(spark: SparkSession, progress: Mapping) -> DataFrame:
-    """The lag a running Kafka query reports in `StreamingQuery.lastProgress`, one row per partition."""
+def source_lag(source: Mapping) -> list[tuple[str, int, int, int, int]]:
+    """(topic, partition, committed offset, end offset, lag) of one source in a stream's progress; none if its offsets
+    are not by topic and partition."""
 
     def offsets(value) -> dict:
-        if not value:
-            return {}
-        return json.loads(value) if isinstance(value, str) else value
-
-    rows = []
-    for source in progress.get("sources", []):
-        latest, done = offsets(source.get("latestOffset")), offsets(source.get("endOffset"))
-        for topic, partitions in latest.items():
-            for partition, end in partitions.items():
-                at = int(done.get(topic, {}).get(partition, 0))
-                rows.append((topic, int(partition), at, int(end), int(end) - at))
+        value = json.loads(value) if isinstance(value, str) else value
+        return value if isinstance(value, dict) else {}
+
+    latest, done = offsets(source.get("latestOffset")), offsets(source.get("endOffset"))
+    return [
+        (topic, int(partition), at := int((done.get(topic) or {}).get(partition, 0)), int(end), int(end) - at)
+        for topic, partitions in latest.items()
+        if isinstance(partitions, dict)
+        for partition, end in partitions.items()
+    ]
+
+
+def progress_lag(spark: SparkSession, progress: Mapping) -> DataFrame:
+    """The lag a running Kafka query reports in `StreamingQuery.lastProgress`, one row per partition."""
+    rows = [row for source in progress.get("sources", []) for row in source_lag(source)]
     return spark.createDataFrame(
         rows, "topic string, partition int, committed_offset bigint, end_offset bigint, lag bigint"
     )

@@ -6,13 +6,14 @@ import argparse
 import time
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.contracts import BrokenContract, Contract, ContractError, load_contract, load_contracts
 from tidelake.operators.bronze import revalidate, valid_rows
+from tidelake.operators.quarantine import Ledger, open_rows
 from tidelake.operators.report import RUN_LOG_SCHEMA
 from tidelake.operators.silver import (
     META_COLUMNS,
@@ -35,6 +36,7 @@ from tidelake.sources.lake import (
     publish_version,
     silver_ddl,
     silver_schema,
+    write_counts,
     write_version,
 )
 from tidelake.streaming.bronze_stream import add_store_arguments, store_from
@@ -52,6 +54,7 @@ class SilverOptions:
     keep_hours: float = 1.0  # how long readers may use an older version of a table
     key_buckets: int | None = None  # keep the table in so many key buckets, and rewrite those that a batch touches
     key_width: int | None = None  # the same, with ranges of so many numbers of a single key
+    ledger: str | None = None  # folder that lists the quarantined records that reprocessing has resolved
 
     def keyed_table(self, name: str, keys: list[str]) -> KeyedTable | None:
         if self.key_buckets is None and self.key_width is None:
@@ -67,6 +70,7 @@ class Outcome:
     rows: int | None = None
     error: str | None = None
     rejected: int = 0  # changes that were held back by a unique rule
+    counts: Mapping[str, int] = field(default_factory=dict)  # what the run counted while it wrote
 
 
 def day_changes(
@@ -75,11 +79,14 @@ def day_changes(
     contract: Contract,
     day: str,
     reprocess_invalid: bool = False,
+    resolved: DataFrame | None = None,
 ) -> DataFrame:
-    """The bronze rows to merge: the day's valid ones, or the quarantined ones that pass by now."""
+    """The bronze rows to merge: the day's valid ones, or the quarantined ones that pass by now, without those resolved."""
     if not reprocess_invalid:
         return store.read(spark, contract.table, "valid", day)
     invalid = store.read(spark, contract.table, "invalid", day)
+    if resolved is not None:
+        invalid = open_rows(invalid, resolved)
     return valid_rows(revalidate(invalid, {contract.table: contract}))
 
 
@@ -90,6 +97,7 @@ def merge_day(
     day: str,
     reprocess_invalid: bool = False,
     options: SilverOptions = SilverOptions(),
+    run_id: str | None = None,
 ) -> Outcome:
     """Parse, deduplicate and merge one day of one table. Rerunning any day leaves silver as it is.
 
@@ -99,23 +107,49 @@ def merge_day(
     Silver grows with its contract: added fields are null in older rows, a type that holds every value of the stored one
     replaces it, dropped fields stay (null in rows that change later). Any other change fails the table. Changes that
     break a `unique` rule are held back before anything is written.
+
+    With a ledger, reprocessing takes the quarantined rows that are still open and lists what it merged, by `run_id`, after
+    the merge: a run that dies in between merges the same rows again, which changes nothing.
+
+    The outcome's counts come from the write of the batch: bronze rows read, those without a row image or key, and changes left
+    by deduplication. Tasks that are repeated after an executor is lost may be counted twice in the first two, which lie before
+    the shuffle; `n_changes` and `report.offset_gaps` don't depend on that. A row-level merge has no counts.
     """
     start = time.monotonic()
     if isinstance(contract, BrokenContract):
         raise ContractError(contract.reason)
+    contract.require_keys()
+    ledger = Ledger(options.ledger) if options.ledger and reprocess_invalid else None
+    run_id = run_id or f"silver-{day}"
+    resolved = ledger.read(spark, contract.table, but_run=f"{run_id}/{day}") if ledger else None
+    with _Staging(spark, contract.table) as written:
+        bronze = day_changes(spark, store, contract, day, reprocess_invalid, resolved)
+        if ledger:
+            bronze = written(bronze)  # merged and listed: the same rows, whatever is stored meanwhile
+        if bronze.isEmpty():
+            return Outcome(contract.table, "empty", time.monotonic() - start)
+        outcome = _merge_rows(spark, bronze, contract, day, options, start)
+        if ledger:
+            ledger.resolve(bronze, contract.table, f"{run_id}/{day}")
+    return outcome
+
+
+def _merge_rows(spark: SparkSession, bronze: DataFrame, contract: Contract, day: str, options: SilverOptions, start: float) -> Outcome:
     keys = contract.require_keys()
     name = f"{options.database}.{contract.table}"
-    bronze = day_changes(spark, store, contract, day, reprocess_invalid)
-    if bronze.isEmpty():
-        return Outcome(contract.table, "empty", time.monotonic() - start)
-    changes = dedup_changes(parse_envelope(bronze, contract, options.timestamps), contract)
-    rejected = 0
+    rejected, counts = 0, {}
     if options.row_level:
+        changes = dedup_changes(parse_envelope(bronze, contract, options.timestamps), contract)
         spark.sql(silver_ddl(name, contract, options.timestamps))
         merge_into_table(changes, name, keys, options.guard, options.tombstones)
     else:
         with _Staging(spark, contract.table) as written:
-            batch = written(changes)
+            counted = {c: Observation() for c in ("n_read", "n_keyed", "n_changes")}
+            seen = lambda df, counter: df.observe(counted[counter], F.count(F.lit(1)).alias("n"))
+            parsed = seen(parse_envelope(seen(bronze, "n_read"), contract, options.timestamps), "n_keyed")
+            batch = written(seen(dedup_changes(parsed, contract), "n_changes"))
+            counts = {c: o.get.get("n", 0) for c, o in counted.items()}
+            counts["n_keyless"] = counts["n_read"] - counts.pop("n_keyed")
             keyed = options.keyed_table(name, keys)
             if keyed:
                 keyed.create(spark, silver_schema(contract, options.timestamps))
@@ -133,7 +167,7 @@ def merge_day(
                 version = write_version(spark, merged, name, keys, options.buckets, aligned=not grows, grows=grows)
                 publish_version(spark, name, version, keep_hours=options.keep_hours)
     rows = live_rows(spark.table(name)).count() if options.count else None
-    return Outcome(contract.table, "merged", time.monotonic() - start, rows, rejected=rejected)
+    return Outcome(contract.table, "merged", time.monotonic() - start, rows, rejected=rejected, counts={**counts, "n_rejected": rejected})
 
 
 class _Staging:
@@ -210,23 +244,27 @@ def merge_all(
     at_once: int = 4,
     log: str | None = None,
     run_id: str | None = None,
+    counts: str | None = None,
 ) -> list[Outcome]:
     """Every table that has a contract, a few at a time; a table that fails does not stop the others.
 
-    With `log`, the outcomes are appended to the run log in that folder.
+    With `log`, the outcomes are appended to the run log in that folder; with `counts`, their counts go to that count log.
     """
+    run_id = run_id or f"silver-{day}"
 
     def one(table: str) -> Outcome:
         start = time.monotonic()
         try:
-            return merge_day(spark, store, contracts[table], day, reprocess_invalid, options)
+            return merge_day(spark, store, contracts[table], day, reprocess_invalid, options, run_id)
         except Exception as error:  # reported per table, see run_log
             return Outcome(table, "failed", time.monotonic() - start, error=f"{type(error).__name__}: {error}")
 
     with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
         outcomes = list(pool.map(one, sorted(contracts)))
     if log:
-        append_log(log, run_log(spark, run_id or f"silver-{day}", outcomes))
+        append_log(log, run_log(spark, run_id, outcomes))
+    if counts:
+        write_counts(spark, counts, f"{run_id}/{day}", [(o.table, c, n) for o in outcomes for c, n in o.counts.items()])
     return outcomes
 
 
@@ -257,6 +295,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--key-width", type=int, help="the same, with ranges of so many numbers of a single key")
     parser.add_argument("--keep-hours", type=float, default=1.0, help="how long readers may use an older version")
     parser.add_argument("--log", help="folder of the run log")
+    parser.add_argument("--counts", help="folder of the count log")
+    parser.add_argument("--ledger", help="folder that lists the quarantined records that reprocessing has resolved")
     parser.add_argument("--run-id")
     parser.add_argument("--row-level", action="store_true")
     parser.add_argument("--buckets", type=int)
@@ -276,10 +316,19 @@ def main(argv: list[str] | None = None) -> None:
         buckets=args.buckets,
         key_buckets=args.key_buckets,
         key_width=args.key_width,
+        ledger=args.ledger,
         count=True,
     )
     outcomes = merge_all(
-        spark, store_from(args), contracts, args.date, args.reprocess_invalid, options, log=args.log, run_id=args.run_id
+        spark,
+        store_from(args),
+        contracts,
+        args.date,
+        args.reprocess_invalid,
+        options,
+        log=args.log,
+        run_id=args.run_id,
+        counts=args.counts,
     )
     for outcome in outcomes:
         print(outcome)

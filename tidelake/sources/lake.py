@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions.contracts import Contract, check_table_name
 from tidelake.operators.bronze import INVALID_COLUMNS, VALID_COLUMNS, day_slice, is_valid
+from tidelake.operators.report import COUNT_LOG_SCHEMA
 from tidelake.operators.silver import META_COLUMNS, newer
 from tidelake.session import delete_folder, file_system, list_names, read_text, rename, write_text
 
@@ -42,6 +43,18 @@ def batch_day(batch: DataFrame) -> str | None:
     return None if first is None else first[0]
 
 
+def write_counts(spark: SparkSession, folder: str, run_id: str, counts: Sequence[tuple[str, str, int]]) -> None:
+    """Put a run's (table, counter, number) rows into the count log. A run has its own folder, which a repeated run replaces."""
+    name = re.sub(r"[^A-Za-z0-9-]", lambda c: f"%{ord(c[0]):x}.", run_id)
+    rows = spark.createDataFrame([(run_id, *c) for c in counts], COUNT_LOG_SCHEMA)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/run-{name}")
+
+
+def read_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The count log: run_id, table_name, counter, n."""
+    return spark.read.schema(COUNT_LOG_SCHEMA).parquet(f"{folder}/run-*")
+
+
 class BronzeFiles:
     """The bronze pairs of all tables as Parquet below one folder.
 
@@ -59,15 +72,17 @@ class BronzeFiles:
     def _day(self, day: str) -> str:
         return f"{self.root}/_ingest_date={day}"
 
-    def write(self, bronze: DataFrame, batch_id: int, stream_id: str = "batch", day: str | None = None) -> None:
+    def write(
+        self, bronze: DataFrame, batch_id: int, stream_id: str = "batch", day: str | None = None
+    ) -> dict[str, int] | None:
         """Append one micro-batch. All its rows carry the same ingestion instant; empty is a no-op.
 
-        `day`, where the caller knows it, saves a look at the parsed rows. A batch that `compact_day` folds or has
+        Returns the numbers of valid and invalid rows, counted by the write itself; None if nothing was to be written. `day`, where the caller knows it, saves a look at the parsed rows. A batch that `compact_day` folds or has
         folded is not written once more.
         """
         day = day or batch_day(bronze)
         if day is None or f"{stream_id}/{batch_id}" in self._folded(bronze.sparkSession, day):
-            return
+            return None
         same_day = F.date_format("_ingested_at", "yyyy-MM-dd") == day
         stamp = F.when(same_day, F.col("_ingested_at")).otherwise(
             F.raise_error(F.lit("a bronze batch must have one ingestion time"))
@@ -75,11 +90,15 @@ class BronzeFiles:
         rows = bronze.withColumn("_ingested_at", stamp).withColumn(
             "_status", F.when(is_valid(), "valid").otherwise("invalid")
         )
+        counted = Observation()
+        counts = {f"n_{s}": F.count_if(F.col("_status") == s) for s in ("valid", "invalid")}
+        rows = rows.observe(counted, *[c.alias(name) for name, c in counts.items()])
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "_status", "_table"
         ).parquet(self._batch(day, f"{stream_id}/{batch_id}"))
         if f"{stream_id}/{batch_id}" in self._folded(bronze.sparkSession, day):  # planned meanwhile: its rows are in the fold
             delete_folder(bronze.sparkSession, self._batch(day, f"{stream_id}/{batch_id}"))
+        return counted.get
 
     def _folded(self, spark: SparkSession, day: str) -> set[str]:
         """The batches of a day that are part of a compacted one, or are being folded."""

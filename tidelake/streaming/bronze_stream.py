@@ -13,7 +13,8 @@ from tidelake.functions.contracts import BrokenContract, Contract, ContractFolde
 from tidelake.operators.bronze import to_bronze
 from tidelake.session import build_session
 from tidelake.sources import kafka
-from tidelake.sources.lake import BronzeFiles, BronzeTables, batch_day
+from tidelake.sources.lake import BronzeFiles, BronzeTables, batch_day, write_counts
+from tidelake.streaming.progress import ProgressLog
 
 
 # The property in which Spark tells a batch the id that it keeps in the checkpoint.
@@ -28,13 +29,15 @@ def start_bronze(
     on_missing_contract: str = "pass",
     interval: str | None = "10 seconds",
     name: str | None = None,
+    counts: str | None = None,
 ) -> StreamingQuery:
     """Start the bronze stream; `interval=None` reads what is there and stops.
 
     The ingestion time is taken in the streaming plan: Spark keeps it in the checkpoint, so a repeated
     batch gets the same time and overwrites itself. Batches are stored under the id that the checkpoint
     gives the stream. `contracts` may be a function that is called for every batch, so that a new
-    contract takes effect without a restart.
+    contract takes effect without a restart. With `counts`, the numbers of valid and invalid rows of each batch, counted by
+    its write, go to the count log in that folder (`BronzeFiles` only).
     """
     stamped = changes.withColumn("_ingested_at", F.current_timestamp())
 
@@ -46,7 +49,9 @@ def start_bronze(
         stream_id = batch.sparkSession.sparkContext.getLocalProperty(_STREAM_ID)
         if not stream_id:
             raise RuntimeError("the stream's id is not known in this batch")
-        store.write(to_bronze(batch, current, on_missing_contract, F.col("_ingested_at")), batch_id, stream_id, day)
+        done = store.write(to_bronze(batch, current, on_missing_contract, F.col("_ingested_at")), batch_id, stream_id, day)
+        if counts and done:
+            write_counts(batch.sparkSession, counts, f"{stream_id}/{batch_id}", [("", name, n) for name, n in done.items()])
 
     writer = stamped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if name:
@@ -80,9 +85,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--on-missing-contract", choices=("pass", "fail"), default="pass")
     parser.add_argument("--max-offsets-per-trigger", type=int)
     parser.add_argument("--min-partitions", type=int)
+    parser.add_argument("--counts", help="folder of the count log (bronze files only)")
+    parser.add_argument("--progress", help="folder for the progress and lag of every trigger")
     args = parser.parse_args(argv)
 
     spark = build_session("bronze-stream")
+    if args.progress:
+        spark.streams.addListener(ProgressLog(spark, args.progress))
     changes = kafka.read_stream(
         spark,
         args.servers,
@@ -97,6 +106,7 @@ def main(argv: list[str] | None = None) -> None:
         ContractFolder(spark, args.contracts),
         args.on_missing_contract,
         args.interval,
+        counts=args.counts,
     ).awaitTermination()
 
 
