@@ -38,7 +38,7 @@ def judged(spark):
 
 def test_parts_and_rules(spark):
     rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
-    models = url_filter.UrlModels(url_filter.np.zeros((2, url_filter.CELLS), "f4"), -1.0)
+    models = url_filter.UrlModels(spark.createDataFrame([], "gram long, accepted long, rejected long"), -1.0)
     found = {r.page_id: r for r in url_filter.judge(rows, queries.URL_RULES, models).collect()}
     for i, url in enumerate(URLS):
         host, path = plain_parts(url)
@@ -61,7 +61,7 @@ def test_models_block_rejected_hosts_and_spare_others(judged):
 
 
 def test_scores_match_a_plain_model(spark):
-    """With few URLs no cells collide, so the hashed counts are exact."""
+    """Counts are exact, also where a URL has n-grams that the models have never seen."""
     urls = [f"a{i}.com/x{i % 3}" for i in range(12)] + [f"casino{i}.net/win" for i in range(12)]
     labelled = spark.createDataFrame([(u, "casino" in u) for u in urls] + [(None, True), ("z", None)], "url string, rejected boolean")
     models = url_filter.fit(labelled)
@@ -88,9 +88,32 @@ def test_scores_match_a_plain_model(spark):
                 total += sign * math.log(p)
         return total / len(url)
 
-    for url in ("a1.com/x1", "casino3.net/win", "other.org"):
-        got = url_filter.scores(models, url_filter.pa.array([url]))[0]
-        assert got == pytest.approx(plain(url), abs=0.02)
+    wanted = ["a1.com/x1", "casino3.net/win", "other.org", "a1.com/x1", "c", "", None, "a1.com/" * 50]
+    rows = spark.createDataFrame([(u, 5.0, "x") for u in wanted], "url string, ratio double, row string")
+    got = url_filter.score_urls(rows, models).collect()
+    assert sorted(r.url or "" for r in got) == sorted(u or "" for u in wanted) and got[0].asDict().keys() == {"url", "row", "ratio"}
+    for r in got:
+        assert r.ratio == pytest.approx(plain(r.url) if r.url else 0.0, abs=1e-5)
+
+
+def test_rare_ngrams_go_by_the_join(spark, monkeypatch):
+    """The score is the same, whichever n-grams are broadcast."""
+    pages = table(spark, DATA, "pages")
+    labelled = url_filter.seed_labels(pages, queries.REJECT_WORDS)
+    scored = {}
+    for common in (4096, 3):
+        monkeypatch.setattr(url_filter, "COMMON", common)
+        models = url_filter.fit(labelled)
+        scored[common] = models.threshold, sorted(url_filter.score_urls(pages.select("page_id", "url"), models).collect())
+    assert scored[4096] == scored[3]
+
+
+def test_ngrams_cross_the_slices_of_a_batch(monkeypatch):
+    texts = url_filter.pa.array(["http://a.b/c", None, "", "x", "é" * 9])
+    whole = [(int(r), int(g)) for rows, grams in url_filter._places(texts) for r, g in zip(rows, grams, strict=True)]
+    monkeypatch.setattr(url_filter, "SLICE_BYTES", 3)
+    assert [(int(r), int(g)) for rows, grams in url_filter._places(texts) for r, g in zip(rows, grams, strict=True)] == whole
+    assert [r for r, _ in whole] == [0] * 12 + [3] + [4] * 18
 
 
 def test_empty_table_and_one_sided_labels(spark):

@@ -1,10 +1,13 @@
 """URL filter: path rules, then a likelihood ratio of two character language models.
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give each URL the difference of its
-log-likelihoods per character. Each order's estimate leans on the next lower order's (Dirichlet smoothing), so a context
-that was never seen leaves the decision to shorter ones. URLs below a threshold, calibrated on URLs the models have not
-seen, are blocked. The counts cover all labelled URLs and are hashed into a table of fixed size, so what reaches the
-driver and the executors does not grow with the data.
+log-likelihoods per byte. Each order's estimate leans on the next lower order's (Dirichlet smoothing), so a context that
+was never seen leaves the decision to shorter ones. URLs below a threshold, calibrated on a quarter of the labelled URLs
+that the counts leave out, are blocked.
+
+A byte and the five before it are one whole number, so the counts are exact: a table of n-grams that grows with the URLs
+and stays with the executors. Lower orders are sums of it over shorter suffixes. What a byte adds to the score of its URL
+depends on its n-gram alone; it is worked out once for each different n-gram and joined with the places that hold it.
 """
 
 from __future__ import annotations
@@ -14,16 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from tidelake.llm._common import mixed, text_bytes, widened
+from tidelake.llm._common import SLICE_BYTES, staged, text_bytes, unstaged
 
-#: Highest order of the models: characters of context.
+#: Highest order of the models: bytes of context. With the byte itself they fit into a long.
 ORDER = 5
-#: Cells of a model's table; n-grams and contexts of all orders share it.
-CELLS = 1 << 17
+#: Stands for the places before a URL; no byte of UTF-8.
+BEFORE = 0xFF
+#: Scores of n-grams are whole multiples of one in this many, so that their sums do not depend on the order of rows.
+FINE = 1 << 20
+#: The most common n-grams, this many, meet their places by a broadcast; any other holds less than one in as many places.
+COMMON = 4096
 #: Weight of the next lower order's estimate, in characters seen.
 PRIOR = 4.0
 #: Share of accepted URLs, held out from the counts, that the threshold may reject.
@@ -50,9 +56,9 @@ class Rule:
 
 @dataclass(frozen=True)
 class UrlModels:
-    """Counts of accepted (row 0) and rejected (row 1) URLs, and the threshold."""
+    """(gram, accepted, rejected): how often each n-gram of the highest order is in URLs of either kind; and the threshold."""
 
-    counts: np.ndarray
+    counts: DataFrame
     threshold: float
 
 
@@ -82,65 +88,109 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 # ---------------------------------------------------------------- models
 
 
-def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of each character: its text, and for each order the cell of its n-gram and that of the context alone."""
-    lengths = np.diff(offsets)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], lengths)
-    context, ngrams, contexts = np.zeros(len(data), np.uint64), [], []
-    for order in range(ORDER + 1):
-        if order:
-            back = np.zeros(len(data), np.uint64)
-            back[order:] = data[:-order] if len(data) > order else 0
-            back[place < order] = 256 + order  # before the text
-            context = context * np.uint64(1031) + back + np.uint64(1)
-        salted = mixed(context + np.uint64(order << 56))
-        contexts.append((salted % np.uint64(CELLS)).astype(np.int64))
-        ngrams.append((mixed(salted + data + np.uint64(1)) % np.uint64(CELLS)).astype(np.int64))
-    return row, ngrams, contexts
-
-
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, CELLS), np.int64)
+def _places(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every byte the number of its text and its n-gram: the byte itself lowest, the one before it above, and so on."""
+    data, offsets = text_bytes(column)
+    for low in range(0, len(data), SLICE_BYTES):
+        high = min(len(data), low + SLICE_BYTES)
+        at = np.arange(low, high)
+        row = np.searchsorted(offsets, at, "right") - 1
+        place = at - offsets[row]
+        gram = data[low:high].astype(np.int64)
+        for back in range(1, ORDER + 1):
+            gram |= np.where(place >= back, data[np.maximum(at - back, 0)], BEFORE).astype(np.int64) << (8 * back)
+        yield row, gram
+
+
+def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rejected = np.asarray(batch.column("rejected"), bool)
-        row, ngrams, contexts = _cells(*text_bytes(batch.column("url")))
-        for side in (0, 1):
-            of_side = rejected[row] == bool(side)
-            for cells in ngrams + contexts:
-                counts[side] += np.bincount(cells[of_side], minlength=CELLS)
-    side, cell = np.nonzero(counts)
-    yield pa.record_batch({"side": side.astype(np.int32), "cell": cell.astype(np.int32), "n": counts[side, cell]})
+        for row, gram in _places(batch.column("url")):
+            grams, which = np.unique(gram, return_inverse=True)
+            n, bad = np.bincount(which), np.bincount(which, rejected[row]).astype(np.int64)
+            yield pa.record_batch({"gram": grams, "accepted": n - bad, "rejected": bad})
 
 
-def scores(models: UrlModels, column: pa.Array) -> np.ndarray:
-    """Log-likelihood of each URL as accepted less that as rejected, per character; 0 for an empty one."""
-    data, offsets = text_bytes(column)
-    row, ngrams, contexts = _cells(data, offsets)
-    both = []
-    for counts in models.counts:
-        p = np.full(len(data), 1 / 256)
-        for ngram, context in zip(ngrams, contexts, strict=True):
-            p = (np.minimum(counts[ngram], counts[context]) + PRIOR * p) / (counts[context] + PRIOR)
-        both.append(np.log(p))
-    sums = np.bincount(row, both[0] - both[1], len(offsets) - 1)
-    return sums / np.maximum(1, np.diff(offsets))
+def _suffix(gram: Column, order: int) -> Column:
+    """The last bytes of an n-gram: the n-gram of a lower order."""
+    return gram.bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1).cast("long"))
 
 
-def score_urls(urls: DataFrame, models: UrlModels, url: str = "url", into: str = "ratio") -> DataFrame:
-    """The frame with the log-likelihood difference per character of its column `url` (null: 0) as `into`."""
+def _gram_scores(counts: DataFrame, seen: DataFrame) -> DataFrame:
+    """(gram, score, seen) of every n-gram of `seen`: its log-probability as accepted less that as rejected, in steps of 1 / FINE.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    From order to order: the counts of an order are sums over suffixes, those of its contexts sums over the byte that
+    follows (256 rows at most), and the estimate of the order below comes by a join on the suffix. The result is staged.
+    """
+    none = F.lit(0).cast("long")
+    wanted = seen.select("gram", none.alias("accepted"), none.alias("rejected"), "seen")
+    known = staged(
+        counts.withColumn("seen", none).unionByName(wanted).groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected", "seen")]),
+        "url-grams",
+    )
+    below = None
+    for order in range(ORDER + 1):
+        sums = [F.sum(c).alias(c) for c in ("accepted", "rejected", "seen")]
+        level = known.groupBy(_suffix(F.col("gram"), order).alias("gram")).agg(*sums) if order < ORDER else known
+        in_context = Window.partitionBy(F.shiftright("gram", 8))
+        level = level.select("*", *[F.sum(c).over(in_context).alias(f"all_{c}") for c in ("accepted", "rejected")])
+        level = level.where(F.col("seen") > 0)  # what no URL has needs no estimate, here or above
+        if below is None:
+            level = level.select("*", F.lit(1 / 256).alias("p_accepted"), F.lit(1 / 256).alias("p_rejected"))
+        else:
+            level = level.withColumn("suffix", _suffix(F.col("gram"), order - 1)).join(below, "suffix")
+        p = {c: (F.col(c) + F.lit(PRIOR) * F.col(f"p_{c}")) / (F.col(f"all_{c}") + F.lit(PRIOR)) for c in ("accepted", "rejected")}
+        below = level.select(F.col("gram").alias("suffix"), p["accepted"].alias("p_accepted"), p["rejected"].alias("p_rejected"), "seen")
+        if order < ORDER:
+            below = below.drop("seen")
+    score = F.round((F.log("p_accepted") - F.log("p_rejected")) * FINE).cast("long")
+    scores = staged(below.select(F.col("suffix").alias("gram"), score.alias("score"), "seen"), "url-gram-scores")
+    unstaged(known)
+    return scores
+
+
+def _scored(urls: DataFrame, models: UrlModels, url: str, into: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The scored frame and the staged frames that it reads."""
+    row_id = "row"
+    while row_id in urls.columns:
+        row_id += "_"
+    rows = staged(urls.drop(into).withColumn(row_id, F.monotonically_increasing_id()), "urls")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(url)
-            ratio = pa.array(scores(models, batch.column(at)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ratio], names=[*batch.schema.names, into])
+            for _, gram in _places(batch.column(0)):
+                grams, n = np.unique(gram, return_counts=True)
+                yield pa.record_batch({"gram": grams, "seen": n.astype(np.int64)})
 
-    return urls.mapInArrow(score, widened(urls, **{into: DoubleType()}))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for row, gram in _places(batch.column(1)):
+                yield pa.record_batch({"row": ids[row], "gram": gram})
+
+    text = F.col(url).alias("text")
+    seen = rows.select(text).mapInArrow(count, "gram long, seen long").groupBy("gram").agg(F.sum("seen").alias("seen"))
+    scores = _gram_scores(models.counts, seen)
+    common = scores.orderBy(F.desc("seen"), "gram").limit(COMMON).select("gram", F.col("score").alias("common_score"))
+    met = rows.select(F.col(row_id).alias("row"), text).mapInArrow(places, "row long, gram long").join(F.broadcast(common), "gram", "left")
+    near = met.where(F.col("common_score").isNotNull()).select("row", F.col("common_score").alias("score"))
+    far = met.where(F.col("common_score").isNull()).join(scores.select("gram", "score"), "gram").select("row", "score")
+    sums = near.unionByName(far).groupBy(F.col("row").alias(row_id)).agg(F.sum("score").alias("url_score_sum"))
+    per_byte = F.coalesce(F.col("url_score_sum") / F.lit(float(FINE)) / F.octet_length(url), F.lit(0.0))
+    return rows.join(sums, row_id, "left").select(*[c for c in urls.columns if c != into], per_byte.alias(into)), [rows, scores]
+
+
+def score_urls(urls: DataFrame, models: UrlModels, url: str = "url", into: str = "ratio") -> DataFrame:
+    """The frame with the log-likelihood difference per byte of its column `url` (null or empty: 0) as `into`.
+
+    A column that is named like `into` is replaced. Repeated rows each have their score. The rows are staged with a number,
+    since their n-grams leave them and come back as a sum; take only the columns that are needed.
+    """
+    return _scored(urls, models, url, into)[0]
 
 
 def fit(labelled: DataFrame, false_rejects: float = FALSE_REJECTS) -> UrlModels:
-    """Models of all labelled URLs: frame of `url` and boolean `rejected`.
+    """Models of the labelled URLs: frame of `url` and boolean `rejected`.
 
     A quarter of the distinct URLs, by hash, is left out of the counts; on it the threshold is set so that at most
     the share `false_rejects` of accepted URLs falls below. Rows with a null in either column take no part. Without
@@ -148,16 +198,15 @@ def fit(labelled: DataFrame, false_rejects: float = FALSE_REJECTS) -> UrlModels:
     """
     labelled = labelled.select("url", "rejected").where(F.col("url").isNotNull() & F.col("rejected").isNotNull())
     apart = F.crc32(F.col("url").cast("binary")) % 4 == 2
-    cells = labelled.where(~apart).mapInArrow(_count_cells, "side int, cell int, n long").groupBy("side", "cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros((2, CELLS), np.float32)
-    for side, cell, n in cells.collect():  # 2 * CELLS rows at most
-        counts[side, cell] = n
-    models = UrlModels(counts, -np.inf)
-    if not counts.any(axis=1).all():
-        return models
+    counted = labelled.where(~apart).mapInArrow(_count_labelled, "gram long, accepted long, rejected long")
+    counts = staged(counted.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-counts")
+    both = counts.agg(F.max("accepted").alias("accepted"), F.max("rejected").alias("rejected")).first()
+    if not (both["accepted"] and both["rejected"]):
+        return UrlModels(counts, -np.inf)
     step = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("ratio"))) * STEPS)
-    held = score_urls(labelled.where(apart), models).where(~F.col("rejected"))
+    held, read = _scored(labelled.where(apart & ~F.col("rejected")), UrlModels(counts, -np.inf), "url", "ratio")
     steps = sorted(held.groupBy(step.alias("step")).count().collect())  # 2 * LIMIT * STEPS + 1 rows at most
+    unstaged(*read)
     allowed, below, threshold = false_rejects * sum(n for _, n in steps), 0, -float(LIMIT)
     for at, n in steps:
         threshold = at / STEPS
