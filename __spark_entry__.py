@@ -546,6 +546,35 @@ def bronze_compacted_late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_counts(spark, store)
 
 
+@query(
+    "footer_offsets",
+    f"""WITH {_OC}, rec AS (
+  SELECT 'customers' AS table_name, c_custkey % 3 AS p, c_custkey AS o FROM customer
+  UNION ALL SELECT 'orders', order_id % 3, order_id * 3 + step FROM oc
+  UNION ALL SELECT 'events', event_id % 3, event_id FROM events)
+SELECT table_name, CAST(p AS INTEGER) AS "partition", min(o) AS begin_offset, max(o) + 1 AS end_offset, count(*) AS n_records
+FROM rec GROUP BY 1, 2""",
+)
+def footer_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored offsets: of two topics in batches of one partition each from the footers, of one in a mixed batch by reading it."""
+    store = BronzeFiles(f"{scratch_dir(spark, 'footer-offsets')}/bronze")
+    for table in _CHANGES:
+        rows = _changes(spark, sf_dir, table)
+        parts = [rows] if table == "events" else [rows.where(F.col("partition") == p) for p in range(3)]
+        for n, part in enumerate(parts):
+            store.write(bronze.to_bronze(part, fx.CONTRACTS, ingested_at=f"{DAY} 10:00:00"), n, table, DAY)
+    return store.offsets(spark)
+
+
+@query("footer_counts", _ROUTING_SQL)
+def footer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a stored day counted by their footers."""
+    store = BronzeFiles(f"{scratch_dir(spark, 'footer-counts')}/bronze")
+    changes = fx.all_changes(_load(spark, sf_dir))
+    store.write(bronze.to_bronze(changes, fx.CONTRACTS, ingested_at=f"{DAY} 10:00:00"), 0, day=DAY)
+    return store.counts(spark, DAY)
+
+
 @query(
     "preview",
     f"""WITH {_OC} SELECT order_id * 3 + step AS "offset", op AS cdc_op FROM oc ORDER BY 1 LIMIT 10""",
@@ -1053,6 +1082,66 @@ def diff_to_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff("full").unionByName(diff("default"))
 
 
+@query(
+    "diff_by_digest",
+    """WITH d AS (
+  SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 97 = 0 THEN 'd' WHEN c_custkey % 89 = 5 THEN 'u' ELSE 'c' END AS op,
+         CASE WHEN c_custkey % 97 = 0 OR c_custkey % 89 = 5 THEN c_name END AS before_name,
+         CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 89 = 5 THEN upper(c_name) || '!' ELSE c_name END AS after_name
+  FROM customer WHERE c_custkey % 97 = 0 OR c_custkey % 89 = 5 OR c_custkey % 83 = 7)
+SELECT *, (SELECT count(DISTINCT customer_id // 16) FROM d) AS buckets_read FROM d""",
+)
+def diff_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of customers that differ here and there, the older with its stored digest; only ranges that differ are joined."""
+    customers, key = fx.customers(fx.table(spark, sf_dir, "customer")), F.col("customer_id")
+    gone, renamed, fresh = key % 97 == 0, key % 89 == 5, key % 83 == 7
+    old = customers.where(gone | renamed | ~fresh)
+    new = customers.where(~gone).withColumn("name", F.when(renamed, F.concat(F.upper("name"), F.lit("!"))).otherwise(F.col("name")))
+    digest = _stored(spark, capture.snapshot_digest(old, ["customer_id"], width=16), "digest")
+    rows = capture.diff_by_digest(
+        old, new, "customers", ["customer_id"], F.lit(1700000000123), width=16, old_digest=digest, replica_identity="full"
+    )
+    read = capture.differing_buckets(digest, capture.snapshot_digest(new, ["customer_id"], width=16)).count()
+    return rows.select(
+        "customer_id",
+        "op",
+        json_field("value", "before.name").alias("before_name"),
+        json_field("value", "after.name").alias("after_name"),
+        F.lit(read).cast("bigint").alias("buckets_read"),
+    )
+
+
+@query(
+    "profile_by_day",
+    """SELECT 'event_id' AS name, count(*) AS n_rows, count(*) - count(event_id) AS n_null, CAST(min(event_id) AS VARCHAR) AS low,
+       CAST(max(event_id) AS VARCHAR) AS high, TRUE AS distinct_close, TRUE AS median_close FROM events
+UNION ALL SELECT 'user_id', count(*), count(*) - count(user_id), CAST(min(user_id) AS VARCHAR), CAST(max(user_id) AS VARCHAR), TRUE, TRUE FROM events
+UNION ALL SELECT 'event_type', count(*), count(*) - count(event_type), min(event_type), max(event_type), TRUE, NULL FROM events""",
+)
+def profile_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of all events from the stored profiles of their days; its estimates held against exact values."""
+    events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    days = _stored(spark, profile.sketch_profile(events, "day"), "day-profiles")
+    found = profile.read_profile(profile.unite_profiles(days), 0.5)
+    names = ["event_id", "user_id", "event_type"]
+    exact = events.agg(
+        *[F.count_distinct(n).alias(f"d_{n}") for n in names],
+        *[F.percentile(n, F.array(F.lit(0.45), F.lit(0.55))).alias(f"m_{n}") for n in names[:2]],
+    ).first()  # one row
+    d = F.create_map(*[F.lit(v) for n in names for v in (n, exact[f"d_{n}"])])[F.col("name")]
+    low = F.create_map(*[F.lit(v) for n in names[:2] for v in (n, float(exact[f"m_{n}"][0]))])[F.col("name")]
+    high = F.create_map(*[F.lit(v) for n in names[:2] for v in (n, float(exact[f"m_{n}"][1]))])[F.col("name")]
+    return found.select(
+        "name",
+        "n_rows",
+        "n_null",
+        "low",
+        "high",
+        (F.abs(F.col("n_distinct") - d) <= 0.1 * d + 1).alias("distinct_close"),
+        F.col("quantiles")[0].between(low, high).alias("median_close"),
+    )
+
+
 @query(
     "profile_columns",
     """SELECT 'c_custkey' AS name, 'bigint' AS data_type, count(*) > count(c_custkey) AS is_nullable,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,3 +79,66 @@ def propose_contract(table: str, profile: DataFrame) -> Contract:
     keys = [c["name"] for c in columns if c["is_primary_key"]]
     rules += [Rule("unique", keys[0])] if keys else []
     return Contract(table, fields, tuple(rules))
+
+
+def sketch_profile(df: DataFrame, *by: Column | str) -> DataFrame:
+    """A profile that adds up: for each group (such as a day) and column of `df` a row of counts, ends and sketches.
+
+    `name`, `n_rows`, `n_filled`, the `low` and `high` value as text, `distinct_sketch` (HLL; whole numbers, texts, dates and times)
+    and `quantile_sketch` (KLL; numbers). One pass, folded before the shuffle; a row has a bounded size. Store the rows
+    of a day and unite them with those of others: no older day is read again. Columns of other types have counts only.
+    """
+    groups = [F.col(g) if isinstance(g, str) else g for g in by]
+    taken = {c for c in df.select(*groups).columns} if groups else set()
+    fields = [f for f in df.schema.fields if f.name not in taken]
+
+    def measures(field: T.StructField) -> Column:
+        value, kind = F.col(f"`{field.name}`"), field.dataType
+        plain = isinstance(kind, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
+        countable = isinstance(kind, (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        hashed = value if isinstance(kind, (T.IntegerType, T.LongType, T.StringType)) else value.cast("string")
+        number = F.when(~F.isnan(value.cast("double")), value.cast("double")) if isinstance(kind, T.NumericType) else None
+        text, no_sketch = (lambda c: c.cast("string") if plain else F.lit(None).cast("string")), F.lit(None).cast("binary")
+        return F.struct(
+            F.lit(field.name).alias("name"),
+            F.count("*").alias("n_rows"),
+            F.count(value).alias("n_filled"),
+            text(F.min(value) if plain else value).alias("low"),
+            text(F.max(value) if plain else value).alias("high"),
+            (F.hll_sketch_agg(hashed) if countable else no_sketch).alias("distinct_sketch"),
+            (F.kll_sketch_agg_double(number) if number is not None else no_sketch).alias("quantile_sketch"),
+            F.lit(kind.simpleString()).alias("data_type"),
+        )
+
+    grouped = df.groupBy(*groups).agg(F.array(*[measures(f) for f in fields]).alias("_profiles"))
+    names = [c for c in grouped.columns if c != "_profiles"]
+    return grouped.select(*names, F.explode("_profiles").alias("p")).select(*names, "p.*")
+
+
+def unite_profiles(profiles: DataFrame, *by: Column | str) -> DataFrame:
+    """The profile of several groups together, or of the groups of `by`: of the same shape, so it can be united again."""
+    numeric = F.first("data_type").rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+
+    def end(pick, text: Column) -> Column:
+        """The least or greatest end; numbers are compared as such, exactly where they are whole."""
+        whole, number = text.try_cast("decimal(38,0)"), text.try_cast("double")
+        return F.when(numeric, pick(text, F.when(text.isNotNull(), F.struct(number, whole)))).otherwise(pick(text, text))
+
+    return profiles.groupBy(*by, "name").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_filled").alias("n_filled"),
+        end(F.min_by, F.col("low")).alias("low"),
+        end(F.max_by, F.col("high")).alias("high"),
+        F.when(F.count("distinct_sketch") > 0, F.hll_union_agg("distinct_sketch")).alias("distinct_sketch"),
+        F.when(F.count("quantile_sketch") > 0, F.kll_merge_agg_double("quantile_sketch")).alias("quantile_sketch"),
+        F.first("data_type").alias("data_type"),
+    )
+
+
+def read_profile(profiles: DataFrame, *quantiles: float) -> DataFrame:
+    """What a stored or united profile says: the counts and ends (exact), `n_distinct` and `quantiles` (estimates, else null)."""
+    distinct = F.when(F.col("distinct_sketch").isNotNull(), F.hll_sketch_estimate("distinct_sketch"))
+    some = F.col("quantile_sketch").isNotNull() & (F.kll_sketch_get_n_double("quantile_sketch") > 0)
+    at = F.when(some, F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit(float(q)) for q in quantiles])))
+    kept = [c for c in profiles.columns if c not in ("distinct_sketch", "quantile_sketch")]
+    return profiles.select(*kept, (F.col("n_rows") - F.col("n_filled")).alias("n_null"), distinct.alias("n_distinct"), *([at.alias("quantiles")] if quantiles else []))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,9 @@ BRONZE_TYPES = {
 }
 #: Folders of a day, which Spark's readers pass over: the batches of each fold, and what is hidden while one is put in place.
 _FOLDS, _OPEN = ".folds", ".open"
+_V1_SOURCES = "spark.sql.sources.useV1SourceList"
+#: The columns that the folders of bronze files carry.
+FOLDERS = ("_ingest_date", "_stream_id", "_batch_id", "_status", "_table")
 _STATUS_COLUMNS = {"valid": VALID_COLUMNS, "invalid": INVALID_COLUMNS}
 
 
@@ -93,6 +96,8 @@ class BronzeFiles:
         counted = Observation()
         counts = {f"n_{s}": F.count_if(F.col("_status") == s) for s in ("valid", "invalid")}
         rows = rows.observe(counted, *[c.alias(name) for name, c in counts.items()])
+        # Every file has the same columns in the same order: Spark finds a footer's statistics by position.
+        rows = rows.select(*BRONZE_TYPES, "_status", "_table")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "_status", "_table"
         ).parquet(self._batch(day, f"{stream_id}/{batch_id}"))
@@ -216,6 +221,14 @@ class BronzeFiles:
         Spark lists the folders, on the executors where there are many, and prunes by status and table.
         """
         columns = ["_table", *_STATUS_COLUMNS[status]] if table == "*" else list(_STATUS_COLUMNS[status])
+        frame = self._stored_rows(spark, day).filter(F.col("_status") == status)
+        if table != "*":
+            frame = frame.filter(F.col("_table") == table)
+        frame = frame.select(*columns)
+        return frame if day is None else day_slice(frame, day)
+
+    def _stored_rows(self, spark: SparkSession, day: str | None) -> DataFrame:
+        """What the batches hold, with the columns of their folders and without what a fold hides."""
         schema = self._schema()
         try:
             frame = spark.read.schema(schema).option("basePath", self.root).parquet(self.root if day is None else self._day(day))
@@ -223,14 +236,64 @@ class BronzeFiles:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             frame = spark.createDataFrame([], schema)
-        frame = frame.filter(F.col("_status") == status)
         for hidden_day, batches in self._hidden(spark, day).items():
             hidden = F.concat_ws("/", "_stream_id", F.col("_batch_id").cast("string")).isin(batches)
             frame = frame.filter(~((F.col("_ingest_date") == F.lit(hidden_day).cast("date")) & hidden))
-        if table != "*":
-            frame = frame.filter(F.col("_table") == table)
-        frame = frame.select(*columns)
-        return frame if day is None else day_slice(frame, day)
+        return frame
+
+    def _footers(self, spark: SparkSession, day: str | None, *measures: Column) -> DataFrame:
+        """Counts, minima and maxima by batch, status and table, taken from the files' footers: no column is read.
+
+        Spark pushes such aggregates into the scan of its V2 reader where they are grouped by all folders, and finds a column by
+        its position: files need the order that `write` and `compact_day` give them. Partition and offset are the only
+        columns of their types, so in other files the scan fails; it cannot take another column's values. What a fold hides
+        is dropped by folder, after the aggregate.
+        """
+        spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")  # the V1 reader, of all other reads, does not look at it
+        path = self.root if day is None else self._day(day)
+        if not file_system(spark, path)[0].exists(file_system(spark, path)[1]):
+            return spark.createDataFrame([], self._schema()).groupBy(*FOLDERS).agg(*measures)
+        v1_sources = spark.conf.get(_V1_SOURCES)
+        spark.conf.set(_V1_SOURCES, ",".join(name for name in v1_sources.split(",") if name != "parquet"))
+        try:  # the reader is chosen here, for this frame only
+            frame = spark.read.schema(self._schema()).option("basePath", self.root).parquet(path)
+        finally:
+            spark.conf.set(_V1_SOURCES, v1_sources)
+        folders = frame.groupBy(*FOLDERS).agg(*measures)
+        for hidden_day, batches in self._hidden(spark, day).items():
+            hidden = F.concat_ws("/", "_stream_id", F.col("_batch_id").cast("string")).isin(batches)
+            folders = folders.filter(~((F.col("_ingest_date") == F.lit(hidden_day).cast("date")) & hidden))
+        return folders
+
+    def counts(self, spark: SparkSession, day: str | None = None) -> DataFrame:
+        """(table_name, status, n_rows) of all pairs, or of those of one day's folder, from the footers alone."""
+        folders = self._footers(spark, day, F.count("*").alias("n"))
+        return folders.groupBy(F.col("_table").alias("table_name"), F.col("_status").alias("status")).agg(F.sum("n").alias("n_rows"))
+
+    def offsets(self, spark: SparkSession, day: str | None = None) -> DataFrame:
+        """(table_name, partition, begin_offset, end_offset, n_records) of valid and invalid rows together.
+
+        A batch whose footers show one partition of its topic has its offsets there too. Only the batches in which several
+        partitions lie together are read, two columns of them. Where any partition or offset is null, those columns are
+        read of all batches; null partitions are a group of their own, as are those without any offset (null ends).
+        """
+        filled = [F.count(c).alias(f"n{c}") for c in ("_partition", "_offset")]
+        missing = self._footers(spark, day, F.count("*").alias("n"), *filled)
+        missing = missing.agg(F.bool_or((F.col("n") != F.col("n_partition")) | (F.col("n") != F.col("n_offset")))).first()[0]  # one row
+        rows = self._stored_rows(spark, day).select(*FOLDERS, "_partition", "_offset")
+        ends = [F.min("_offset").alias("first"), F.max("_offset").alias("last"), F.count("*").alias("n")]
+        if missing:
+            parts = rows.groupBy("_table", "_partition").agg(*ends)
+        else:
+            of_partition = [F.min("_partition").alias("low"), F.max("_partition").alias("high")]
+            folders = self._footers(spark, day, *of_partition, *ends)
+            single = folders.where(F.col("low") == F.col("high")).select("_table", F.col("low").alias("_partition"), "first", "last", "n")
+            mixed = folders.where(F.col("low") != F.col("high")).select(*FOLDERS)
+            read = rows.join(mixed, list(FOLDERS), "left_semi").groupBy("_table", "_partition").agg(*ends)
+            parts = single.unionByName(read)
+        return parts.groupBy(F.col("_table").alias("table_name"), F.col("_partition").alias("partition")).agg(
+            F.min("first").alias("begin_offset"), (F.max("last") + 1).alias("end_offset"), F.sum("n").alias("n_records")
+        )
 
 
 def bronze_ddl(name: str, status: str, provider: str = "parquet") -> str:
