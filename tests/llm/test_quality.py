@@ -50,3 +50,22 @@ def test_sample_is_bounded_and_leaves_the_held_out_alone(spark):
     labels = docs.selectExpr("doc_id", "1 as quality")
     chosen = training_rows(docs, labels, "quality", 50)
     assert chosen.count() == 50 and chosen.where(held_out()).count() == 0
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    from tidelake.llm._common import held_out, training_rows
+
+    docs = documents(spark, [(i, f"text {i}") for i in range(40)] + [(1, "copy")] * 500 + [(2, "pair")])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    kept = lambda n: [r.doc_id for r in training_rows(docs, labels, "quality", n).collect()]
+    free = {r.doc_id for r in labels.where(~held_out()).collect()}
+    for bound in (2, 10, 100):
+        assert len(kept(bound)) <= bound
+    assert set(kept(100)) == free - {1} and set(kept(1000)) == free and len(kept(1000)) == len(free) + 500 * (1 in free) + (2 in free)
+
+
+def test_a_column_named_like_the_score_is_replaced(spark):
+    docs = documents(spark, [(i, f"some text of row {i}") for i in range(20)])
+    machine = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
+    scored = quality.score_documents(docs, machine, "score")
+    assert scored.columns.count("score") == 1 and all(0 <= r.score <= 1 for r in scored.select("score").collect())

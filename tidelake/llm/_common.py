@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -79,7 +79,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
     """(doc_id, text, metadata, label) of at most `max_rows` labelled rows that are not held out, chosen by a hash of the id.
 
     The bound makes the chosen labels safe to broadcast. Null labels and ids take no part; of an id with several
-    labels the largest counts.
+    labels the largest counts. Of an id that several documents share either all rows or none are taken, those with the
+    fewest rows first; the documents are counted by their ids alone.
     """
     chosen = (
         labels.select("doc_id", F.col(label).alias("label"))
@@ -89,7 +90,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return documents.select("doc_id", "text", *metadata).join(F.broadcast(chosen), "doc_id")
+    counted = documents.select("doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    along = Window.orderBy("n", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # max_rows rows at most
+    bounded = counted.withColumn("so_far", F.sum("n").over(along)).where(F.col("so_far") <= max_rows).select("doc_id", "label")
+    return documents.select("doc_id", "text", *metadata).join(F.broadcast(bounded), "doc_id")
 
 
 # ---------------------------------------------------------------- texts as bytes

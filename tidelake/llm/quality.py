@@ -157,7 +157,9 @@ def score_documents(documents: DataFrame, machine: Machine, into: str = "quality
 
     Null and empty texts have no words and are scored by their statistics, a null length has a bin of its own. Repeated rows
     are scored alike, each on its own. An empty table gives an empty one.
+    A column that is named like `into` is replaced.
     """
+    documents = documents.drop(into)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

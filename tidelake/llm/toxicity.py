@@ -470,7 +470,9 @@ def score_documents(documents: DataFrame, model: ToxicModel, into: str = "toxic_
     """The frame with the score (0 to 1) of its `text` as a further column, called `into`, whatever other columns there are.
 
     Null and empty texts get the score of a text that meets nothing. Repeated rows are scored alike, each on its own.
+    A column that is named like `into` is replaced.
     """
+    documents = documents.drop(into)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = _Restored(model.logp)
