@@ -688,7 +688,7 @@ SELECT order_id, customer_id, status, amount, op AS cdc_op,
 )
 def silver_merge_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot in ranges of keys, all updates and deletes merged, then those of the last day once more."""
-    rows = silver.parse_envelope(_valid(spark, sf_dir, "orders"), fx.ORDERS)
+    rows = _stored(spark, silver.parse_envelope(_valid(spark, sf_dir, "orders"), fx.ORDERS), "touched-rows")
     stored = silver.dedup_changes(rows.filter(F.col("_cdc_op") == "r"), fx.ORDERS)
     changes = silver.dedup_changes(rows.filter(F.col("_cdc_op") != "r"), fx.ORDERS)
     stored, changes = _stored(spark, stored, "touched-stored"), _stored(spark, changes, "touched-changes")

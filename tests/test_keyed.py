@@ -76,6 +76,18 @@ def test_a_crash_between_switches_is_completed_by_a_rerun(spark, tmp_path, monke
     assert names(table.read(spark)) == {**{i: f"n{i}" for i in range(30)}, 1: "new", 11: "new", 21: "new"}
 
 
+def test_new_buckets_are_added_by_few_statements(spark, tmp_path, monkeypatch):
+    table = keyed.KeyedTable("keyed_many.items", ["id"], width=10)
+    first = rows(spark, [(i, f"n{i}", "c", 1) for i in range(-60, 240)], tmp_path / "first")
+    table.create(spark, first.schema)
+    statements, run = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *rest, **named: statements.append(text) or run(self, text, *rest, **named))
+    assert table.merge(first) == list(range(-6, 24)) and sum(" ADD " in s for s in statements) == 1
+    gone = rows(spark, [(i, None, "d", 2) for i in range(-60, -50)] + [(i, "new", "u", 2) for i in range(0, 240, 10)], tmp_path / "second")
+    assert table.merge(gone) == [-6, *range(24)]
+    assert names(table.read(spark)) == {i: "new" if i >= 0 and i % 10 == 0 else f"n{i}" for i in range(-50, 240)}
+
+
 def test_a_bucket_may_lose_all_its_rows(spark, tmp_path):
     table = keyed.KeyedTable("keyed_empty.items", ["id"], width=10)
     first = rows(spark, [(1, "a", "c", 1), (11, "b", "c", 1)], tmp_path / "first")
