@@ -1,5 +1,7 @@
 """The plans that matter at scale, as Spark makes them."""
 
+import re
+
 import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from tests.helpers import changes
 
 from tidelake.functions.contracts import Contract, Field
 from tidelake.functions.rules import with_rules
-from tidelake.operators import consume, silver
+from tidelake.operators import bronze, consume, silver
 from tidelake.operators.profile import profile_columns
 from tidelake.sources import kafka
 
@@ -29,6 +31,16 @@ def test_merge_reads_the_staged_batch_only(spark):
     assert plan.count("merge-changes") <= 3 and "from_json" not in plan
 
 
+def test_the_quarantine_is_judged_once_before_it_is_reprocessed(spark):
+    plan = entry.queries()["reprocess_invalid"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(ArrayType(") == 1 and "to_json" not in plan
+
+
+def test_a_rule_looks_its_text_up_once(spark):
+    rows = bronze.to_bronze(changes(spark, ["{}"]), many_contracts(2, 3))
+    assert len(re.findall(r"_image#\d+\[", rows._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
 def many_contracts(n, fields):
     return {f"t{i}": Contract(f"t{i}", tuple(Field(f"f{j}", "long") for j in range(fields))) for i in range(n)}
 

@@ -85,15 +85,17 @@ def _mistyped(kind: Column, text: Column) -> Column:
 def row_errors(rules: Column, image: Column, op: Column) -> Column:
     """Broken rules of a row image (a map of texts), joined by `; `. A delete only needs its key."""
 
-    def broken(rule: Column) -> Column:
-        text = image[rule["name"]]
+    def broken(pair: Column) -> Column:
+        rule, text = pair["rule"], pair["text"]
         return (
             F.when((op == "d") & ~rule["is_key"], F.lit(None).cast("string"))
             .when(text.isNull(), F.when(rule["required"], F.concat(rule["name"], F.lit(": required"))))
             .when(_mistyped(rule["kind"], text), F.concat(rule["name"], F.lit(": type")))
         )
 
-    return F.array_join(F.transform(rules, broken), "; ")
+    # The text is looked up once per rule, not once for each place in which the check names it.
+    pairs = F.transform(rules, lambda rule: F.struct(rule.alias("rule"), image[rule["name"]].alias("text")))
+    return F.array_join(F.transform(pairs, broken), "; ")
 
 
 def error_column(
