@@ -508,8 +508,12 @@ def bronze_two_streams_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams with checkpoints of their own into one root: both start at batch 0, and all rows stay."""
     folder = scratch_dir(spark, "bronze-two-streams")
     store = BronzeFiles(f"{folder}/bronze")
-    for checkpoint in ("one", "two"):
-        _run_stream(fx.all_changes(lambda name: _stream(spark, sf_dir, name)), store, f"{folder}/{checkpoint}")
+    streams = [
+        start_bronze(fx.all_changes(lambda name: _stream(spark, sf_dir, name)), store, f"{folder}/{checkpoint}", fx.CONTRACTS, interval=None)
+        for checkpoint in ("one", "two")
+    ]  # at once, as two jobs run: one fills the cores that the last tasks of the other leave
+    for stream in streams:
+        stream.awaitTermination()
     return _stored_counts(spark, store)
 
 

@@ -41,6 +41,20 @@ def test_a_rule_looks_its_text_up_once(spark):
     assert len(re.findall(r"_image#\d+\[", rows._jdf.queryExecution().optimizedPlan().toString())) == 1
 
 
+def test_two_streams_run_at_once(spark, monkeypatch):
+    steps = []
+
+    class Stream:
+        def __init__(self, *_, **__):
+            steps.append("start")
+
+        def awaitTermination(self):
+            steps.append("wait")
+
+    monkeypatch.setattr(entry, "start_bronze", Stream)
+    assert entry.queries()["bronze_two_streams_counts"](spark, SMALL).count() == 0 and steps == ["start", "start", "wait", "wait"]
+
+
 def many_contracts(n, fields):
     return {f"t{i}": Contract(f"t{i}", tuple(Field(f"f{j}", "long") for j in range(fields))) for i in range(n)}
 
